@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from fourfold.llm import decontaminate, exact_dedup, mixing, token_count
+from fourfold.llm import decontaminate, exact_dedup, minhash, mixing, suffix_dedup, token_count
 
 QUERIES = {
     "op3_decontaminate": decontaminate.op3_decontaminate,
+    "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
+    "op6_near_duplicates": minhash.op6_near_duplicates,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op9_token_counts": token_count.op9_token_counts,
     "op10_mix": mixing.op10_mix,
