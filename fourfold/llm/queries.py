@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from fourfold.llm import cotrain, decontaminate, exact_dedup, lattice_lm, minhash, mixing, suffix_dedup, token_count, toxicity
+from fourfold.llm import cotrain, decontaminate, exact_dedup, lattice_lm, licence, minhash, mixing, suffix_dedup, token_count, toxicity
 
 QUERIES = {
+    "op1_licence_scan": licence.op1_licence_scan,
     "op2_lattice_lm": lattice_lm.op2_lattice_lm,
     "op3_decontaminate": decontaminate.op3_decontaminate,
     "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
