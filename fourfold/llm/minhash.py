@@ -149,17 +149,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = signed.where("set_key is not null").groupBy("set_key").agg(F.min_by(F.struct(first.alias("first"), "rk", "n_shingles", "sign"), first).alias("x"))
     classes = cut(classes.select("set_key", F.col("x.first").alias("first"), F.col("x.first.tag").alias("node"), "x.rk", "x.n_shingles", "x.sign"))
     width = rows * 2
-    keyed = classes.select("node", F.col("n_shingles").alias("n"), "sign", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda k: F.substring("sign", k * width + 1, F.lit(width)))).alias("band", "part"))
-    keyed = keyed.select(F.xxhash64("band", "part").alias("key"), "node", "n", "sign")
-    buckets = cut(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("node", "n", "sign")).alias("leader")).where("size > 1"))
-    members = cut(keyed.join(buckets.select("key"), "key"))
-    met = members.select("key", "node", "n", "sign").join(buckets.select("key", "leader"), "key").where("node <> leader.node")
-    close = lambda a, b: (100 * F.least(a, b) >= percent * F.greatest(a, b))
-    pairs = met.where(close(F.col("n"), F.col("leader.n"))).select(F.col("leader.node").alias("a"), F.col("leader.sign").alias("sign_a"), F.col("node").alias("b"), F.col("sign").alias("sign_b"))
+    bands_of = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda k: F.xxhash64(k, F.substring("sign", k * width + 1, F.lit(width))))
+    keyed = classes.select("node", F.explode(bands_of).alias("key"))
+    buckets = cut(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("leader")).where("size > 1").select("key", "leader"))
+    members = cut(keyed.join(buckets, "key"))
+    pairs = members.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b"))
+    members = members.select("key", "node")
+    signs = classes.select("node", F.col("n_shingles").alias("n"), "sign")
+    side = lambda x: signs.select(*[F.col(c).alias(f"{c}_{x}" if c != "node" else x) for c in signs.columns])
+    close = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
     texts = None
     links = None
     while True:
-        agreed = cut(pairs.mapInArrow(_agreeing, "a long, b long").distinct())
+        known = cut(pairs.distinct()).join(side("b"), "b").join(side("a"), "a").where(close)
+        agreed = cut(known.select("a", "sign_a", "b", "sign_b").mapInArrow(_agreeing, "a long, b long"))
         if texts is None:
             wanted = cut(members.select("node").distinct().join(classes.select("node", "rk", F.col("first.doc_id").alias("id")), "node"))
             source = base.select("doc_id", "text", "rk")
@@ -170,7 +173,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if links is None or found.limit(1).count():
             links = found if links is None else links.unionByName(found)
             labels = cut(components(links))
-        members = members.select("key", "node", "n", "sign").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        members = members.select("key", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         # what is left of buckets that hold several components
         counts = members.groupBy("key", "label").agg(F.count(F.lit(1)).alias("many"))
         largest = cut(counts.groupBy("key").agg(F.max_by("label", F.struct("many", "label")).alias("main"), F.count(F.lit(1)).alias("labels")).where("labels > 1").select("key", "main"))
@@ -180,9 +183,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             break
         lead = cut(_leaders(outside, leaders))
         left, right = lead.alias("l"), open_members.alias("r")
-        met = left.join(right, F.col("l.key") == F.col("r.key")).where("l.label <> r.label and l.node <> r.node")
-        met = met.where(close(F.col("l.n"), F.col("r.n")))
-        pairs = met.select(F.least("l.node", "r.node").alias("a"), F.when(F.col("l.node") < F.col("r.node"), F.col("l.sign")).otherwise(F.col("r.sign")).alias("sign_a"), F.greatest("l.node", "r.node").alias("b"), F.when(F.col("l.node") < F.col("r.node"), F.col("r.sign")).otherwise(F.col("l.sign")).alias("sign_b"))
+        met = left.join(right, F.col("l.key") == F.col("r.key")).where("l.label <> r.label")
+        pairs = met.select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b"))
         members = cut(open_members.join(lead.select("key", "node"), ["key", "node"], "left_anti"))
     names = classes.select("set_key", "node", "first").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = names.groupBy("label").agg(F.min("first").alias("least"))
