@@ -166,7 +166,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if texts is None:
             wanted = cut(members.select("node").distinct().join(classes.select("node", "rk", F.col("first.doc_id").alias("id")), "node"))
             source = base.select("doc_id", "text", "rk")
-            texts = cut(source.join(wanted, (source["rk"] == wanted["rk"]) & source["doc_id"].eqNullSafe(wanted["id"])).select("node", "text").dropDuplicates(["node"]))
+            texts = cut(source.join(wanted, (source["rk"] == wanted["rk"]) & source["doc_id"].eqNullSafe(wanted["id"])).select("node", "text"))
         with_b = agreed.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
         with_a = with_b.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
         found = cut(with_a.mapInArrow(_verified(percent, shingle), "a long, b long"))
