@@ -276,10 +276,7 @@ def lm_scores(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     spelt = discount * kinds / tokens if tokens else 1.0  # mass of the segmentations into pieces
     log10 = lambda c: float(np.log10((c + SMOOTH) / scale))
     both = lambda c, mark: float(np.logaddexp(np.log((c - discount) / tokens) if c else -np.inf, np.log(spelt) + mark) / np.log(10.0))
-    top = counts.where(F.length("word") <= HEAD_BYTES).orderBy(F.desc("c"), "word").limit(head_words).collect()
-    names = [bytes(r.word) for r in top]
-    marks = Lattice(pieces, logs).run(names)[0].tolist()
-    head = {w: (log10(r.c), both(r.c, m)) for w, r, m in zip(names, top, marks, strict=True)}
+    head = {w: (log10(c), both(c, m)) for w, c, m in _head(counts, head_words, Lattice(pieces, logs))}
     shared = spark.sparkContext.broadcast((pieces, logs, both(n_docs, end), head))
     tagged = rows.withColumn("tag", F.monotonically_increasing_id())
     schema = "tag long, n_tokens long, head double, head_known long, score double, tail array<struct<word:binary,times:long,mark:double>>"
@@ -295,6 +292,17 @@ def lm_scores(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     return out.select("doc_id", "held_out", "n_tokens", (F.col("head_known") + F.coalesce("rest_known", F.lit(0)) + (1 if n_docs else 0)).cast("long").alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"), (F.col("head") + F.coalesce("rest", none) + F.lit(log10(n_docs))).alias("base_score"), (F.col("score") + F.coalesce("rest_score", none)).alias("score"))
 
 
+def _head(counts: DataFrame, most: int, model: Lattice) -> list[tuple[bytes, int, float]]:
+    """Words with counts and lattice scores, from the least count that ``most`` words or fewer reach."""
+    short = counts.where(F.length("word") <= HEAD_BYTES)
+    steps = sorted({round(2 ** (k / 4)) for k in range(200)})
+    reached = short.agg(*[F.count_if(F.col("c") >= t).alias(f"t{k}") for k, t in enumerate(steps)]).first()
+    least = next(t for k, t in enumerate(steps) if reached[k] <= most)
+    table = short.where(F.col("c") >= least).toArrow()
+    words, times = table.column("word").to_pylist(), table.column("c").to_pylist()
+    return [x for k in range(0, len(words), 20_000) for x in zip(words[k : k + 20_000], times[k : k + 20_000], model.run(words[k : k + 20_000])[0].tolist(), strict=True)]
+
+
 def _with(rows: DataFrame, carried: tuple[str, ...], run, schema: str) -> DataFrame:
     """mapInArrow that also passes ``carried`` columns through."""
     from pyspark.sql import types as T
