@@ -53,11 +53,11 @@ def state_encode_fixed(spark, d):
 
 
 @query("""with n as (select event_id, (['PSI', ' delta ', 'hole', 'null', 'resonant', '∅', 'nobody'])[event_id % 7 + 1] as name from events)
-select event_id, cast(case lower(trim(name)) when 'psi' then 3 when 'delta' then 2 when 'hole' then 1 when 'null' then 0 when 'resonant' then 3 when '∅' then 0 end as int) as s from n""")
+select event_id, cast(case lower(trim(name)) when 'psi' then 3 when 'delta' then 2 when 'hole' then 1 when 'null' then 0 when 'resonant' then 3 when '∅' then 0 else -1 end as int) as s from n""")
 def state_decode_symbols(spark, d):
     names = F.array(*map(F.lit, ["PSI", " delta ", "hole", "null", "resonant", "∅", "nobody"]))
     name = F.element_at(names, (F.col("event_id") % 7 + 1).cast("int"))
-    return table(spark, d, "events").select("event_id", st.from_name(name).cast("int").alias("s"))
+    return table(spark, d, "events").select("event_id", F.coalesce(st.from_name(name).cast("int"), F.lit(-1)).alias("s"))
 
 
 @query(f"with {E} select event_type, count(*) as n, count(*) filter (s >= 2) as n_present, count(*) filter (s % 2 = 1) as n_member, count(*) filter (s = 0) as n_empty, cast(sum(s) as bigint) as codes from events_s group by event_type")
@@ -146,10 +146,10 @@ def _levels(spark, d):
 
 _L = """r as (select *, n_regionkey rk, n_nationkey nk from supplier join nation on s_nationkey = n_nationkey),
 c as (select s_suppkey, avg(s_acctbal) over (partition by rk) x0, avg(s_acctbal) over (partition by nk) x1, s_acctbal x2 from r),
-l as (select s_suppkey, list_transform([x0, x1, x2], x -> case when x > 4000 then 2 else 0 end + case when x > 5000 then 1 else 0 end) a from c)"""
+l as (select s_suppkey, list_transform([x0, x1, x2], lambda x: case when x > 4000 then 2 else 0 end + case when x > 5000 then 1 else 0 end) a from c)"""
 
 
-@query(f"with {_L} select s_suppkey, array_to_string(list_transform(a, x -> {SHOWN.format('x')}), '.') as path, cast(len(a) - 1 as int) as depth, cast(64 as bigint) as total_states, cast(a[1] | a[2] | a[3] as int) as \"join\", cast(a[1] & a[2] & a[3] as int) as meet from l")
+@query(f"with {_L} select s_suppkey, array_to_string(list_transform(a, lambda x: {SHOWN.format('x')}), '.') as path, cast(len(a) - 1 as int) as depth, cast(64 as bigint) as total_states, cast(a[1] | a[2] | a[3] as int) as \"join\", cast(a[1] & a[2] & a[3] as int) as meet from l")
 def nested_path(spark, d):
     return _levels(spark, d).select("s_suppkey", ns.path("a").alias("path"), ns.depth("a").alias("depth"), ns.total_states("a").alias("total_states"), ns.join_levels("a").cast("int").alias("join"), ns.meet_levels("a").cast("int").alias("meet"))
 
@@ -159,7 +159,7 @@ def nested_match(spark, d):
     return _levels(spark, d).select("s_suppkey", ns.path_matches("a", "ψ.*.ψ").alias("m1"), ns.path_matches("a", "*.∅.*").alias("m2"), ns.path_matches("a", "ψ.*").alias("m3"))
 
 
-@query(f"with {_L} select s_suppkey, cast(len(list_filter(a, x -> x = 3)) as int) as n_psi, cast(len(list_filter(a, x -> x = 0)) as int) as n_empty, len(list_filter(a, x -> x = 3)) = 3 as all_psi, len(list_filter(a, x -> x = 0)) > 0 as any_empty, cast(a[2] as int) as level1, array_to_string([a[1], 3, a[3]], '') as replaced from l")
+@query(f"with {_L} select s_suppkey, cast(len(list_filter(a, lambda x: x = 3)) as int) as n_psi, cast(len(list_filter(a, lambda x: x = 0)) as int) as n_empty, len(list_filter(a, lambda x: x = 3)) = 3 as all_psi, len(list_filter(a, lambda x: x = 0)) > 0 as any_empty, cast(a[2] as int) as level1, array_to_string([a[1], 3, a[3]], '') as replaced from l")
 def nested_counts(spark, d):
     return _levels(spark, d).select("s_suppkey", ns.count_of("a", 3).alias("n_psi"), ns.count_of("a", 0).alias("n_empty"), ns.all_are("a", 3).alias("all_psi"), ns.any_is("a", 0).alias("any_empty"), ns.level("a", 1).cast("int").alias("level1"), F.array_join(F.transform(ns.set_level("a", 1, 3), lambda x: x.cast("string")), "").alias("replaced"))
 

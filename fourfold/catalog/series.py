@@ -227,7 +227,7 @@ def rolling_psi(spark, d):
 
 @query(f"with x as (select event_id, epoch(timestamp '2024-02-01' - ts) age from events) select event_id, {r('power(0.5, age / 86400.0)')} as freshness from x")
 def score_freshness(spark, d):
-    exact = F.unix_micros(F.lit("2024-02-01").cast("timestamp")) - F.unix_micros("ts")
+    exact = F.unix_micros(F.lit("2024-02-01").cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp"))
     return table(spark, d, "events").select("event_id", near(scoring.freshness(exact / 1e6, 86400.0)).alias("freshness"))
 
 
@@ -360,10 +360,10 @@ def st_drift(spark, d):
 
 def patients(spark, d):
     li = table(spark, d, "lineitem")
-    m = lambda x: F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.concat(F.lit("m"), F.col("l_linenumber").cast("string")), x))))
-    vit = F.struct(F.element_at(F.array(*map(F.lit, apps.VITALS)), F.least(F.lit(5), F.col("l_linenumber"))), F.col("l_quantity") * 2 + 40)
-    v = F.map_from_entries(F.collect_list(F.when(F.col("l_linenumber") <= 5, vit)))
-    return li.groupBy("l_orderkey").agg(m(F.col("l_discount") * 10).alias("symptoms"), m(F.col("l_quantity") / 50).alias("tests"), m(F.col("l_tax") * 12).alias("history"), F.max("l_shipdate").alias("ts"), v.alias("vitals"))
+    m = lambda x: F.map_from_entries(F.transform(F.collect_list(x), lambda v, k: F.struct(k.cast("string"), v)))
+    vital = [F.max(F.when(F.col("l_linenumber") == k + 1, F.col("l_quantity") * 2 + 40)) for k in range(len(apps.VITALS))]
+    v = F.map_filter(F.map_from_arrays(F.array(*map(F.lit, apps.VITALS)), F.array(*vital)), lambda _, x: x.isNotNull())
+    return li.groupBy("l_orderkey").agg(m(F.col("l_discount") * 10).alias("symptoms"), m(F.col("l_quantity") / 50).alias("tests"), m(F.col("l_tax") * 11.7).alias("history"), F.max("l_shipdate").alias("ts"), v.alias("vitals"))
 
 
 def diagnosed(spark, d):
@@ -373,8 +373,8 @@ def diagnosed(spark, d):
     return rows.withColumn("g", apps.diagnosis(*(F.col(k) for k in each))).select("l_orderkey", "ts", "s", "t", "v", "h", "g.*")
 
 
-_V = " + ".join(f"coalesce(max((x < 0.9 * {lo} or x > 1.1 * {hi})::int) filter (l_linenumber = {k + 1}), 0)" for k, (lo, hi) in enumerate(apps.VITALS.values()))
-_M = f"""p as (select *, l_quantity * 2 + 40 x from lineitem), c as (select l_orderkey, max(l_shipdate) ts, avg(l_discount * 10) sy, avg((l_quantity / 50 > 0.5)::int) t1, avg((l_quantity / 50 > 0.8)::int) t2, avg(l_tax * 12) hi, {_V} o from p group by l_orderkey),
+_V = " + ".join(f"coalesce((max(x) filter (l_linenumber = {k + 1}) < 0.9 * {lo} or max(x) filter (l_linenumber = {k + 1}) > 1.1 * {hi})::int, 0)" for k, (lo, hi) in enumerate(apps.VITALS.values()))
+_M = f"""p as (select *, l_quantity * 2 + 40 x from lineitem), c as (select l_orderkey, max(l_shipdate) ts, avg(l_discount * 10) sy, avg((l_quantity / 50 > 0.5)::int) t1, avg((l_quantity / 50 > 0.8)::int) t2, avg(l_tax * 11.7::double) hi, {_V} o from p group by l_orderkey),
 k as (select l_orderkey, ts, (sy > 0.3)::int * 2 + (sy > 0.7)::int s, (t1 > 0.3)::int * 2 + (t2 > 0.2)::int t, (o > 0)::int * 2 + (o > 1)::int v, (hi > 0.5)::int * 2 + (hi > 0.8)::int h from c),
 g as (select *, (s = 3)::int + (t = 3)::int + (v = 3)::int + (h = 3)::int psi, (s >= 2)::int + (t >= 2)::int + (v >= 2)::int + (h >= 2)::int ab from k),
 dx as (select *, case when psi >= 2 then 'CRITICAL' when t = 3 and s >= 2 then 'HIGH' when v = 3 and h = 3 then 'HIGH' when ab >= 2 then 'MEDIUM' else 'LOW' end urgency, case when psi >= 2 then 'immediate_attention' when t = 3 and s >= 2 then 'urgent_care' when v = 3 and h = 3 then 'urgent_care' when ab >= 2 then 'schedule_appointment' when ab = 1 then 'monitor' else 'no_action' end recommendation,
@@ -425,7 +425,7 @@ def stream_sliding(spark, d):
 select user_id, min(ts) as start, max(ts) + interval 6 hour as "end", count(*) as n from i group by user_id, k""")
 def stream_session(spark, d):
     out = windows.sessions(windows.source(spark, f"{d}/events.parquet"), "ts", "6 hours", ["user_id"])
-    return windows.run(out, "complete")
+    return windows.run(out, "complete").select("user_id", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("start", "end")], "n")
 
 
 @query("select distinct user_id, event_type from events")

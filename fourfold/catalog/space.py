@@ -40,7 +40,7 @@ def _mean(spark, d) -> float:
     return table(spark, d, "events").count() / (31 * 24)
 
 
-G = """a as (select day(ts)::int day, hour(ts)::int y, count(*) n, sum(value) v from events group by all), g as (select c.x::int as x, c.y::int as y, coalesce((n >= (select count(*) / 744.0 from events))::int, 0) * 2 + coalesce((v / n > 50)::int, 0) as s
+G = """a as (select day(ts)::int as day, hour(ts)::int as y, count(*) n, sum(value) v from events group by all), g as (select c.x::int as x, c.y::int as y, coalesce((n >= (select count(*) / 744.0 from events))::int, 0) * 2 + coalesce((v / n > 50)::int, 0) as s
 from (select unnest(range(31)) as x, h.y from (select unnest(range(24)) as y) h) c left join a on a.day = c.x + 1 and a.y = c.y)"""
 
 

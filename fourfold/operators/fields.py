@@ -265,9 +265,10 @@ def components(df: DataFrame, target: int | None = 3, full: bool = False) -> Dat
     while True:
         sent = cells.select("field_id", F.explode(where).alias("o"), "x", "y", "label").select("field_id", (F.col("x") + F.col("o.dx")).alias("x"), (F.col("y") + F.col("o.dy")).alias("y"), "label")
         least = cells.select(*KEY, F.col("label").alias("old")).join(sent.groupBy(*KEY).agg(F.min("label").alias("label")), list(KEY))
-        jump = least.select("field_id", F.col("x").alias("__x"), F.col("y").alias("__y"), F.col("label").alias("__l"))
-        moved = least.join(jump, (least["field_id"] == jump["field_id"]) & (least["label.x"] == jump["__x"]) & (least["label.y"] == jump["__y"]), "left")
-        new = written(moved.select(least["field_id"], "x", "y", "old", F.coalesce("__l", "label").alias("label")))
+        step = written(least.select(*KEY, "old", "label", F.col("label.x").alias("lx"), F.col("label.y").alias("ly")))
+        jump = step.select(F.col("field_id").alias("f"), F.col("x").alias("lx"), F.col("y").alias("ly"), F.col("label").alias("next"))
+        moved = step.withColumn("f", F.col("field_id")).join(jump, ["f", "lx", "ly"], "left")
+        new = written(moved.select(*KEY, "old", F.coalesce("next", "label").alias("label")))
         changed = new.where("old <> label").limit(1).count()
         cells = new.drop("old")
         if not changed:

@@ -12,12 +12,13 @@ from fourfold.sources.tables import shared_dir
 
 
 def source(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
-    """Parquet files under a path as a stream, with the schema that they have now."""
-    return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+    """A Parquet file or folder as a stream, with the schema that it has now."""
+    return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_per_batch).parquet(f"{path}*")
 
 
 def late(df: DataFrame, ts: str, delay: str | None) -> DataFrame:
-    return df.withWatermark(ts, delay) if delay else df
+    """With a watermark, which needs a time stamp with zone."""
+    return df.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay) if delay else df
 
 
 def tumbling(df: DataFrame, ts: str, width: str, by: Sequence[str] = (), value: str | None = None, delay: str | None = None) -> DataFrame:
