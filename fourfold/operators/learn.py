@@ -148,8 +148,10 @@ def multi_encode(df: DataFrame, columns: list[str], how: str = "majority_vote",
 
 
 def label_weights(df: DataFrame, columns: list[str], label: str) -> list[float]:
-    """Absolute correlation of each column with the label."""
-    row = df.agg(*[F.abs(F.corr(value(c), F.col(label).cast("double"))) for c in columns]).first()
+    """Absolute correlation of each column with the label; 0 where one of them is constant."""
+    y = F.col(label).cast("double")
+    same = lambda c: F.try_divide(F.covar_pop(value(c), y), F.stddev_pop(value(c)) * F.stddev_pop(y))
+    row = df.agg(*[F.abs(same(c)) for c in columns]).first()
     return [x if x is not None and x == x else 0.0 for x in row]
 
 
