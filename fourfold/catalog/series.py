@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from fourfold.catalog.core import E, coded, near, table
 from fourfold.functions import scoring
 from fourfold.functions import state as st
-from fourfold.operators import adaptive, apps, interpret, metrics, series
+from fourfold.operators import adaptive, apps, interpret, metrics, series, signals
 from fourfold.streaming import stateful, windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -171,7 +171,7 @@ def backtest_performance(spark, d):
 def trading_signals(spark, d):
     rows = apps.trading_channels(bars(spark, d), K, O)
     got = apps.signal(F.col("price"), F.col("volume_state"), F.col("volatility_state"))
-    return rows.select(*K, *O, F.col("price").cast("int").alias("price"), F.col("volume_state").cast("int").alias("volume_state"), got["action"].alias("action"), apps.rsi_state(F.col("rsi")).cast("int").alias("rsi_state"))
+    return rows.select(*K, *O, F.col("price").cast("int").alias("price"), F.col("volume_state").cast("int").alias("volume_state"), got["action"].alias("action"), signals.rsi_state(F.col("rsi")).cast("int").alias("rsi_state"))
 
 
 # sequences
@@ -320,6 +320,44 @@ def topo_strategy(spark, d):
     return out.select("event_type", "strategy", *[near(F.col(c)).alias(c) for c in ("skew", "kurt", "threshold_i", "threshold_q")])
 
 
+# indicators, patterns and signals as states
+
+
+@query(f"""with {B}, i as (select event_type, day, close, {full('avg(close)', 5)} m, {full('stddev_samp(close)', 5)} sd from bars {W})
+select event_type, day, (case when close > m + sd then 3 when close > m then 2 when close > m - sd then 1 else 0 end)::int as band, (case when close is null then 1 when close between 20 and 80 then 3 when close between 8 and 92 then 2 else 0 end)::int as ranged from i""")
+def encode_indicators(spark, d):
+    up, mid, low = series.bollinger("close", series.ordered(K, O), 5, 1.0)
+    rows = bars(spark, d).select(*K, *O, "close", up.alias("u"), mid.alias("m"), low.alias("l"))
+    return rows.select(*K, *O, signals.band_state(F.col("close"), F.col("u"), F.col("m"), F.col("l")).cast("int").alias("band"), signals.range_state(F.col("close"), 20.0, 80.0).cast("int").alias("ranged"))
+
+
+@query(f"""with {E}, x as (select event_id, s, value v, lag(value) over w - lag(value, 2) over w a, value - lag(value) over w b from events_s window w as (partition by user_id order by ts, event_id)),
+p as (select event_id, s, case when a > 0 and b > 0 then case when b > 2 * a then 'accelerating' else 'increasing' end when a < 0 and b < 0 then case when b < 2 * a then 'crashing' else 'decreasing' end when abs(a) + abs(b) > 0.1 * abs(v) then 'volatile' else 'stable' end pattern from x)
+select event_id, pattern, (case pattern when 'accelerating' then s | 1 when 'crashing' then s & 2 when 'volatile' then case s when 2 then 0 else s end else s end)::int as s from p""")
+def encode_pattern(spark, d):
+    rows = signals.recent_pattern(coded(spark, d), "value", BY, ORDER)
+    return rows.select("event_id", "pattern", signals.pattern_adjusted(F.col("s"), F.col("pattern")).cast("int").alias("s"))
+
+
+@query("""with x as (select event_id, value, count(value) over f n, avg(value) over f m, stddev_samp(value) over f s from events window f as (partition by event_type order by ts, event_id rows between 50 preceding and 1 preceding))
+select event_id, coalesce(abs(case when n >= 10 and s > 0 then (value - m) / s end) > 3, false) as anomaly from x""")
+def signal_anomalies(spark, d):
+    return signals.anomalies(table(spark, d, "events"), "value", K, ORDER).select("event_id", "anomaly")
+
+
+@query("""with x as (select event_id, count(value) over b nb, count(value) over o no, avg(value) over b mb, avg(value) over o mo, stddev_pop(value) over z s from events window b as (partition by event_type order by ts, event_id rows between 20 preceding and 1 preceding), o as (partition by event_type order by ts, event_id rows between current row and 19 following), z as (partition by event_type order by ts, event_id rows between 20 preceding and 19 following))
+select event_id, round((mo - mb) / s + 3.21e-11, 6) as shift from x where nb = 20 and no = 20 and abs((mo - mb) / s) > 0.8""")
+def signal_change_points(spark, d):
+    return signals.change_points(table(spark, d, "events"), "value", K, ORDER, 20, 0.8).select("event_id", near(F.col("shift")).alias("shift"))
+
+
+@query("""with h as (select l_orderkey, l_linenumber, l_partkey, l_quantity q, case when l_partkey % 9 = 0 then null else l_extendedprice end p from lineitem), r as (select regr_slope(p, q) a, regr_intercept(p, q) b from h)
+select l_partkey, round(sum(coalesce(p, a * q + b)) + 3.21e-11, 3) as price from h, r group by l_partkey""")
+def impute_predictive(spark, d):
+    rows = table(spark, d, "lineitem").select("l_partkey", "l_quantity", F.when(F.col("l_partkey") % 9 == 0, None).otherwise(F.col("l_extendedprice")).alias("p"))
+    return signals.predicted_fill(rows, "p", "l_quantity").groupBy("l_partkey").agg(near(F.sum("p"), 3).alias("price"))
+
+
 # stability of thresholds
 
 

@@ -54,11 +54,6 @@ MOMENTUM = [
 ]
 
 
-def rsi_state(rsi: Column) -> Column:
-    """Above 50 is presence, outside 30..70 membership."""
-    return F.coalesce((rsi > 50).cast("tinyint") * 2 + ((rsi > 70) | (rsi < 30)).cast("tinyint"), F.lit(0)).cast("tinyint")
-
-
 # patients: maps of measurements by name
 
 #: Normal ranges of vital signs.
