@@ -17,10 +17,10 @@ SHINGLE = 5
 BANDS, ROWS = 32, 4
 #: A link: 100 * intersection >= PERCENT * union.
 PERCENT = 75
-#: Pairs whose signatures agree on a smaller share aren't verified: 6.5 standard deviations under PERCENT.
-AGREE = 0.5
+#: Pairs whose signatures agree on a smaller share aren't verified: 5 standard deviations under PERCENT.
+AGREE = 0.56
 #: Members of a band's bucket that meet all others at once in a round.
-LEADERS = 64
+LEADERS = 256
 
 
 def _signed(bands: int, rows: int, shingle: int):
@@ -105,22 +105,22 @@ def components(links: DataFrame) -> DataFrame:
     their component's smallest node. All steps are minima and joins: a hub's
     links are never gathered.
     """
-    kind = "a long, b long"
-    edges = cut(links.select("a", "b").mapInArrow(_forest, kind).distinct())
+    edges = cut(links.select("a", "b").mapInArrow(_forest, "a long, b long").distinct())
     before = None
     while True:
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = cut(both.groupBy(F.col("b").alias("u")).agg(F.min("a").alias("m")).withColumn("m", F.least("u", "m")))
-        # large star: each larger neighbour of u moves to u's smallest
-        large = cut(both.select(F.col("b").alias("u"), F.col("a").alias("v")).where("v > u").join(least, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).where("a < b").distinct())
-        # small star: u and its smaller neighbours move to the smallest of them
-        down = cut(large.groupBy("b").agg(F.min("a").alias("m")))
-        small = large.join(down, "b").select("m", "a", "b")
-        edges = cut(small.select(F.col("m").alias("a"), "b").unionByName(small.select(F.col("m").alias("a"), F.col("a").alias("b"))).where("a < b").distinct())
         now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if now == before:
+        if now == before or not now[0]:
             break
         before = now
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy(F.col("b").alias("u")).agg(F.min("a").alias("m")).withColumn("m", F.least("u", "m"))
+        # large star: each larger neighbour of u moves to u's smallest
+        larger = both.select(F.col("b").alias("u"), F.col("a").alias("v")).where("v > u")
+        large = cut(larger.join(least, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).where("a < b").distinct())
+        # small star: u and its smaller neighbours move to the smallest of them
+        down = large.groupBy("b").agg(F.min("a").alias("m"))
+        small = large.join(down, "b").select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b"))
+        edges = cut(small.where("a < b").distinct())
     return edges.select(F.col("b").alias("node"), F.col("a").alias("label"))
 
 
@@ -158,8 +158,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     signs = classes.select("node", F.col("n_shingles").alias("n"), "sign")
     side = lambda x: signs.select(*[F.col(c).alias(f"{c}_{x}" if c != "node" else x) for c in signs.columns])
     close = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
-    texts = None
-    links = None
+    texts = labels = None
     while True:
         known = cut(pairs.distinct()).join(side("b"), "b").join(side("a"), "a").where(close)
         agreed = cut(known.select("a", "sign_a", "b", "sign_b").mapInArrow(_agreeing, "a long, b long"))
@@ -170,9 +169,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         with_b = agreed.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
         with_a = with_b.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
         found = cut(with_a.mapInArrow(_verified(percent, shingle), "a long, b long"))
-        if links is None or found.limit(1).count():
-            links = found if links is None else links.unionByName(found)
-            labels = cut(components(links))
+        if labels is None:
+            labels = cut(components(found))
+        elif found.limit(1).count():
+            # components of the components that the new links join
+            own = lambda x: labels.select(F.col("node").alias(x), F.col("label").alias(f"label_{x}"))
+            between = found.join(own("a"), "a", "left").join(own("b"), "b", "left").select(F.coalesce("label_a", "a").alias("x"), F.coalesce("label_b", "b").alias("y")).where("x <> y")
+            joined = cut(components(between.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))))
+            moved = joined.select(F.col("node").alias("label"), F.col("label").alias("to"))
+            fresh = joined.join(labels.select("node"), "node", "left_anti")
+            labels = cut(labels.join(moved, "label", "left").select("node", F.coalesce("to", "label").alias("label")).unionByName(fresh))
         members = members.select("key", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         # what is left of buckets that hold several components
         counts = members.groupBy("key", "label").agg(F.count(F.lit(1)).alias("many"))
