@@ -34,9 +34,11 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of the mix, with how often it takes each and its source's target."""
+    """Documents of the mix, with size, source_size, target, times and taken; names that ``docs`` has too get ``mix_`` before them."""
     mixed = mixing.fair_mix(docs, keep=docs.columns).where("times > 0")
-    return mixed.select("row.*", F.col("size").alias("mix_size"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"), F.col("times").alias("mix_times"), F.col("taken").alias("mix_taken"))
+    known = {c.lower() for c in docs.columns}
+    added = [F.col(c).alias(f"mix_{c}" if c in known else c) for c in ("size", "source_size", "target", "times", "taken")]
+    return mixed.select("row.*", *added)
 
 
 STAGES = [

@@ -185,5 +185,5 @@ def test_pipeline_equals_its_stages(spark):
             assert kept.join(before, docs.columns, "left_anti").count() == 0
         kept = spark.createDataFrame(kept.collect(), kept.schema)
     ran = corpus_pipeline.run(spark, SF)
-    key = lambda df: sorted((r.doc_id, r.mix_times) for r in df.select("doc_id", "mix_times").collect())
+    key = lambda df: sorted((r.doc_id, r.times) for r in df.select("doc_id", "times").collect())
     assert key(ran) == key(kept) and len(key(ran)) > 50
