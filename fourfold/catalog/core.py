@@ -371,6 +371,12 @@ def encode_time_of_day(spark, d):
     return learn.grouped_percentile_encode(e, "value", ["hour"]).groupBy("hour", F.col("s").cast("int").alias("s")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query()
+def encode_density_regions(spark, d):
+    out = learn.density_regions_encode(table(spark, d, "events"), "value")
+    return out.groupBy("event_type", F.col("s").cast("int").alias("s")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("with p as (select quantile_cont(l_quantity, 0.5) a, quantile_cont(l_extendedprice, 0.5) b from lineitem) select l_returnflag, cast(case when l_quantity > a then 2 else 0 end + case when l_extendedprice > b then 1 else 0 end as int) as s, count(*) as n from lineitem, p group by all")
 def encode_dual(spark, d):
     out = learn.dual_encode(table(spark, d, "lineitem"), "l_quantity", "l_extendedprice")

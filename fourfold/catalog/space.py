@@ -248,6 +248,17 @@ def mapper_nodes_edges(spark, d):
     return a.unionByName(edges.select("a", "b", F.col("shared").alias("n")))
 
 
+@query()
+def manifold_features(spark, d):
+    return topology.manifold(points(spark, d))
+
+
+@query()
+def local_curvature(spark, d):
+    p = points(spark, d)
+    return topology.curvature(p, p.where("id % 25 = 0"))
+
+
 @query()
 def persistence_h0(spark, d):
     return topology.persistence_h0(points(spark, d), n=300)

@@ -147,6 +147,27 @@ def multi_encode(df: DataFrame, columns: list[str], how: str = "majority_vote",
     return df.withColumn(out, (side(st.i_bit) * 2 + side(st.q_bit)).cast("tinyint"))
 
 
+def density_regions_encode(df: DataFrame, c: str, regions: int = 5, bins: int = 100, how: str = "own", out: str = "s") -> DataFrame:
+    """Encode by percentiles of regions of equal density: values fall into ``regions`` by how many share their bin.
+
+    ``own`` encodes a value by its region's thresholds, ``middle`` all values by
+    those of the middle region. Regions are few, and their thresholds one row each.
+    """
+    lo, hi = df.agg(F.min(value(c)), F.max(value(c))).first()
+    width = (hi - lo) / bins if lo is not None and hi > lo else 1.0
+    rows = df.withColumn("__bin", F.least(F.lit(bins - 1), F.floor((value(c) - F.lit(lo)) / F.lit(width))))
+    counts = rows.groupBy("__bin").agg(F.count(F.lit(1)).alias("__n")).withColumn("__region", F.ntile(regions).over(Window.orderBy("__n", "__bin")))  # one row a bin
+    placed = rows.join(F.broadcast(counts), rows["__bin"].eqNullSafe(counts["__bin"])).drop(counts["__bin"])
+    q = lambda p: F.percentile(value(c), F.lit(p))
+    marks = {r[0]: (r[1], r[2]) for r in placed.groupBy("__region").agg(q(0.5), q(0.75)).collect()}
+    if how == "middle" and marks:
+        marks = dict.fromkeys(marks, marks[sorted(marks)[len(marks) // 2]])
+    ti, tq = F.lit(None).cast("double"), F.lit(None).cast("double")
+    for k, (a, b) in marks.items():
+        ti, tq = F.when(F.col("__region") == k, F.lit(a)).otherwise(ti), F.when(F.col("__region") == k, F.lit(b)).otherwise(tq)
+    return placed.withColumn(out, st.encode(c, ti, tq)).drop("__bin", "__n", "__region")
+
+
 def label_weights(df: DataFrame, columns: list[str], label: str) -> list[float]:
     """Absolute correlation of each column with the label; 0 where one of them is constant."""
     y = F.col(label).cast("double")

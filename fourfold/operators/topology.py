@@ -253,6 +253,31 @@ def correlation_dimension(pairs: DataFrame, radii: Sequence[float]) -> DataFrame
     return long.agg(F.regr_slope(F.ln("c"), logs).alias("dimension"), F.count(F.lit(1)).alias("n"))
 
 
+def curvature(points: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "id", vec: str = "p") -> DataFrame:
+    """Smallest over largest variance of each query point's k nearest points: 0 where they lie flat."""
+    near = nearest(points, queries, k, id_col, vec)
+    rows = near.join(points.select(F.col(id_col).alias("id"), F.col(vec).cast("array<double>").alias("p")), "id").select("query", "p")
+    kind = rows.schema["query"].dataType.simpleString()
+
+    def local(pdf: pd.DataFrame) -> pd.DataFrame:
+        data = np.array(pdf["p"].tolist(), float)
+        values = np.linalg.eigvalsh(np.cov(data.T)) if len(data) > 1 else np.zeros(1)
+        return pd.DataFrame({"query": [pdf["query"].iloc[0]], "curvature": [float(max(values[0], 0.0) / values[-1]) if values[-1] > 0 else 0.0]})
+
+    return rows.groupBy("query").applyInPandas(local, f"query {kind}, curvature double")
+
+
+def manifold(points: DataFrame, vec: str = "p") -> DataFrame:
+    """Ambient and intrinsic dimension (95 % of the variance), their ratio, and whether it is under 0.7; under 10 rows the ambient one."""
+    n, _, cov = covariance(points, vec)
+    size = len(cov)
+    values = np.sort(np.linalg.eigvalsh(cov))[::-1] if size else np.zeros(1)
+    total = np.cumsum(values) / max(values.sum(), 1e-300)
+    own = int(np.searchsorted(total, 0.95) + 1) if n >= 10 else size
+    share = float(total[own - 1]) if own and size else 1.0
+    return points.sparkSession.createDataFrame([(size, own, own / max(size, 1), bool(own < 0.7 * size), share)], "ambient int, intrinsic int, ratio double, is_manifold boolean, confidence double")
+
+
 def covariance(points: DataFrame, vec: str = "p") -> tuple[int, np.ndarray, np.ndarray]:
     """Rows, mean and covariance by one aggregate; a matrix of the vectors' length."""
     long = points.select(F.posexplode(F.col(vec).cast("array<double>")).alias("k", "x"))
@@ -277,12 +302,72 @@ def pca_dimension(points: DataFrame, vec: str = "p", share: float = 0.95) -> int
     return int(np.searchsorted(total, share) + 1)
 
 
-def mapper(points: DataFrame, intervals: int = 10, overlap: float = 0.3, least: int = 3, id_col: str = "id", vec: str = "p", filter_col: Column | None = None) -> tuple[DataFrame, DataFrame]:
+def distances(data: np.ndarray) -> np.ndarray:
+    return np.sqrt(((data[:, None, :] - data[None, :, :]) ** 2).sum(axis=2))
+
+
+def _reach(near: np.ndarray, core: np.ndarray | None = None) -> np.ndarray:
+    """Component of each point in a neighbour matrix; growth passes through ``core`` points only, others alone are -1."""
+    core = np.ones(len(near), bool) if core is None else core
+    marks = np.full(len(near), -1)
+    for k in np.flatnonzero(core):
+        if marks[k] < 0:
+            todo, marks[k] = [int(k)], k
+            while todo:
+                x = todo.pop()
+                if core[x]:
+                    new = np.flatnonzero(near[x] & (marks < 0))
+                    marks[new] = k
+                    todo += new.tolist()
+    return marks
+
+
+def cluster_components(data: np.ndarray, least: int) -> np.ndarray:
+    """Components of pairs under the 10 % shortest distances."""
+    d = distances(data)
+    upper = d[np.triu_indices(len(d), 1)]
+    return _reach(d <= (np.percentile(upper, 10) if len(upper) else 0.0))
+
+
+def cluster_linkage(data: np.ndarray, least: int) -> np.ndarray:
+    """Single linkage cut into max(2, n // least) clusters."""
+    d = distances(data)
+    cuts = spanning_edges(data)
+    keep = len(data) - max(2, len(data) // least)
+    return _reach(d <= (cuts[keep - 1] if keep > 0 else 0.0))
+
+
+def cluster_density(data: np.ndarray, least: int) -> np.ndarray:
+    """Growth through points with ``least`` neighbours within the median distance of the ``least``-th neighbour; the rest is noise."""
+    d = distances(data)
+    k = min(least, len(data) - 1)
+    near = d <= np.median(np.sort(d, axis=1)[:, k])
+    return _reach(near, near.sum(axis=1) >= least)
+
+
+def cluster_means(data: np.ndarray, least: int, steps: int = 50, seed: int = 42) -> np.ndarray:
+    """Lloyd's iterations with n // least centres."""
+    k = max(1, len(data) // least)
+    centres = data[np.random.default_rng(seed).choice(len(data), k, replace=False)]
+    for _ in range(steps):
+        marks = ((data[:, None, :] - centres[None]) ** 2).sum(axis=2).argmin(axis=1)
+        new = np.array([data[marks == c].mean(axis=0) if (marks == c).any() else centres[c] for c in range(k)])
+        if np.allclose(new, centres):
+            break
+        centres = new
+    return marks
+
+
+CLUSTERINGS = {"components": cluster_components, "single_linkage": cluster_linkage, "dbscan": cluster_density, "kmeans": cluster_means}
+
+
+def mapper(points: DataFrame, intervals: int = 10, overlap: float = 0.3, least: int = 3, id_col: str = "id", vec: str = "p", filter_col: Column | None = None, method: str = "components") -> tuple[DataFrame, DataFrame]:
     """Nodes (node, member) and edges (a, b, shared) of a mapper graph.
 
     Points are sorted into overlapping intervals of a filter (by default the
-    first principal axis); within each, close points form clusters of ``least``
-    or more; clusters that share points are joined.
+    first principal axis); within each, points form clusters of ``least`` or
+    more (components of close points, single_linkage, dbscan or kmeans);
+    clusters that share points are joined.
     """
     p = F.col(vec).cast("array<double>")
     if filter_col is None:
@@ -299,22 +384,14 @@ def mapper(points: DataFrame, intervals: int = 10, overlap: float = 0.3, least:
     parts = valued.join(table, F.col("f").between(F.col("low"), F.col("high"))).select("interval", "id", "p")
 
     def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id")
         data, ids = np.array(pdf["p"].tolist(), float), pdf["id"].to_numpy()
-        d = np.sqrt(((data[:, None, :] - data[None, :, :]) ** 2).sum(axis=2))
-        upper = d[np.triu_indices(len(d), 1)]
-        near = d <= (np.percentile(upper, 10) if len(upper) else 0.0)
-        mark, rows = np.full(len(ids), -1), []
-        for k in np.argsort(ids):
-            if mark[k] < 0:
-                todo, mark[k], own = [k], k, []
-                while todo:
-                    x = todo.pop()
-                    own.append(x)
-                    for y in np.flatnonzero(near[x] & (mark < 0)):
-                        mark[y] = k
-                        todo.append(y)
-                if len(own) >= least:
-                    rows += [(f"{pdf['interval'].iloc[0]}-{ids[own].min()}", ids[x]) for x in own]
+        marks = CLUSTERINGS[method](data, least)
+        name, rows = pdf["interval"].iloc[0], []
+        for m in np.unique(marks[marks >= 0]):
+            own = ids[marks == m]
+            if len(own) >= least:
+                rows += [(f"{name}-{own.min()}", x) for x in own]
         return pd.DataFrame(rows, columns=["node", "member"])
 
     kind = valued.schema["id"].dataType.simpleString()

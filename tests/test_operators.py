@@ -68,6 +68,8 @@ def test_learners(spark):
     assert weights[0] > 0.8 and weights[1] == 0.0
     coded = learn.multi_encode(df.withColumn("z", -F.col("x")), ["x", "z"], "weighted", weights=[3.0, 1.0])
     assert coded.where("x = 100").first().s == 3 and coded.where("x = 1").first().s == 0
+    regions = learn.density_regions_encode(df, "x", 3, 10)
+    assert regions.count() == 100 and regions.where("s = 3").count() > 10 and learn.density_regions_encode(df, "x", 3, 10, "middle").where("s = 3").count() > 10
     hours = df.withColumn("g", F.when(F.col("x") <= 2, 0).otherwise(1))
     assert learn.grouped_percentile_encode(hours, "x", ["g"], least_rows=10).where("x = 2").first().s == 0
 
@@ -194,6 +196,8 @@ def test_point_clouds(spark):
     assert topology.pca_dimension(points) == 1
     near = topology.nearest(points, points.where("id = 0"), 3)
     assert [r.id for r in near.orderBy("rank").collect()] == np.argsort(d[0])[1:4].tolist()
+    assert all(len({m for m in f(data, 5)[:20] if m >= 0} & {m for m in f(data, 5)[20:] if m >= 0}) == 0 for f in (topology.cluster_linkage, topology.cluster_density, topology.cluster_means, topology.cluster_components))
+    assert topology.manifold(points).first()[:4] == (3, 1, pytest.approx(1 / 3), True) and 0 <= topology.curvature(points, points.where("id < 3"), 8).agg(F.max("curvature")).first()[0] < 1
     nodes, edges = topology.mapper(points, 5)
     assert nodes.select("node").distinct().count() >= 2 and edges.where("a >= b").count() == 0
 
