@@ -115,7 +115,7 @@ def toxicity(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: st
     """Probabilities of all categories for every document, in one pass.
 
     Returns doc_id, one double for each category (named p_<category>), toxic
-    (any category at ``threshold`` or above) and, ``with_rows``, the input row as
+    (any category above ``threshold``, so nothing without labels) and, ``with_rows``, the input row as
     struct ``row``. Null and empty texts have no words: their probabilities are
     the chain's for a document without features. Repeated rows score alike.
     """
@@ -141,7 +141,7 @@ def toxicity(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: st
 
     schema = T.StructType([*carried, *(T.StructField(n, T.DoubleType()) for n in names)])
     scored = rows.mapInArrow(run, schema)
-    return scored.withColumn("toxic", F.greatest(*map(F.col, names), F.lit(0.0)) >= threshold)
+    return scored.withColumn("toxic", F.greatest(*map(F.col, names), F.lit(0.0)) > threshold)
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
