@@ -1,7 +1,8 @@
-"""Licence scan: an n-gram classifier over paragraphs, confirmed by templates; DataFrame functions only."""
+"""Licence scan: an n-gram classifier over lines and passages of lines, confirmed by templates; DataFrame functions only."""
 
 from __future__ import annotations
 
+import math
 import re
 from dataclasses import dataclass
 
@@ -14,19 +15,19 @@ from fourfold.llm.linear import fit_softmax
 
 #: Customary licence notices, by family.
 TEMPLATES = {
-    "apache": ["Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.", "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.", "SPDX-License-Identifier: Apache-2.0"],
-    "mit": ["Released under the MIT License.", "Licensed under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction.", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.", "SPDX-License-Identifier: MIT"],
+    "apache": ["Apache License, Version 2.0", "License: Apache-2.0", "Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.", "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.", "SPDX-License-Identifier: Apache-2.0"],
+    "mit": ["MIT License", "License: MIT", "Released under the MIT License.", "Licensed under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction.", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.", "SPDX-License-Identifier: MIT"],
     "gpl": ["This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "You should have received a copy of the GNU General Public License along with this program. If not, see https://www.gnu.org/licenses/.", "Licensed under the GNU General Public License, version 2.", "SPDX-License-Identifier: GPL-3.0-or-later"],
     "lgpl": ["This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation.", "Licensed under the GNU Lesser General Public License, version 2.1.", "SPDX-License-Identifier: LGPL-2.1-or-later"],
     "agpl": ["Licensed under the GNU Affero General Public License, version 3.", "You can redistribute it and/or modify it under the terms of the GNU Affero General Public License.", "SPDX-License-Identifier: AGPL-3.0-only"],
-    "bsd": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:", "Released under the BSD 3-Clause License.", "Licensed under the BSD 2-Clause License.", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.", "SPDX-License-Identifier: BSD-3-Clause"],
-    "mpl": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.", "Licensed under the Mozilla Public License 2.0.", "SPDX-License-Identifier: MPL-2.0"],
-    "isc": ["Released under the ISC License.", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.", "SPDX-License-Identifier: ISC"],
+    "bsd": ["BSD 3-Clause License", "BSD 2-Clause License", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:", "Released under the BSD 3-Clause License.", "Licensed under the BSD 2-Clause License.", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.", "SPDX-License-Identifier: BSD-3-Clause"],
+    "mpl": ["Mozilla Public License, version 2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.", "Licensed under the Mozilla Public License 2.0.", "SPDX-License-Identifier: MPL-2.0"],
+    "isc": ["ISC License", "Released under the ISC License.", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.", "SPDX-License-Identifier: ISC"],
     "cc-by": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
     "cc-by-sa": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
     "cc-by-nc": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "Licensed under CC BY-NC-SA 4.0."],
     "cc0": ["To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work under CC0 1.0.", "This work is dedicated to the public domain under the Creative Commons CC0 license.", "This is free and unencumbered software released into the public domain."],
-    "proprietary": ["All rights reserved. No part of this publication may be reproduced without prior written permission of the publisher.", "Copyright 2020 Example Inc. All rights reserved.", "Proprietary and confidential. Unauthorized copying of this file is strictly prohibited."],
+    "proprietary": ["All rights reserved.", "All rights reserved. No part of this publication may be reproduced without prior written permission of the publisher.", "Copyright 2020 Example Inc. All rights reserved.", "Proprietary and confidential. Unauthorized copying of this file is strictly prohibited."],
 }
 #: Sentences with the same words that grant nothing.
 OTHERS = ["He lost his driver's license last week.", "A fishing license is required at the lake.", "The general public was not admitted.", "They used source material without permission.", "The software crashed when copying files.", "Its license plate was found in the work shed.", "The apache helicopter landed free of charge.", "The foundation published the conditions of its warranty.", "The version of events in the file was public knowledge."]
@@ -38,6 +39,8 @@ VARIANTS = 12
 FALSE_RATE = 0.002
 #: Share of a template's word pairs that a paragraph must hold.
 CONFIRM = 0.6
+#: Runs of non-blank lines, within which a notice may be wrapped.
+BLANK = r"\n(?:[\x09-\x0D\x20]*\n)+"
 TOKEN = r"[a-z0-9]+"
 
 
@@ -52,6 +55,12 @@ class Licences:
     telling: list[str]
 
 
+def stride() -> int:
+    """Words of the longest passage that holds a template's pairs at a density of ``CONFIRM``: blocks
+    of twice as many, one every ``stride`` words, hold each such passage whole."""
+    return math.ceil(max(len(re.findall(TOKEN, t)) for own in TEMPLATES.values() for t in own) / CONFIRM)
+
+
 def _grams(text: str) -> list[str]:
     words = re.findall(TOKEN, text.translate({k: k + 32 for k in range(65, 91)}))
     return words + [f"{a} {b}" for a, b in zip(words, words[1:], strict=False)]
@@ -121,7 +130,7 @@ def lower(text: Column) -> Column:
 
 
 def licence_scan(docs: DataFrame, model: Licences | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Licence families named in each document's paragraphs (lines).
+    """Licence families named in each document's paragraphs: its lines, and passages of several lines.
 
     Every n-gram of the model holds a word that only licence notices have, so
     only paragraphs with such a word can score above the unknown class; the
@@ -131,6 +140,10 @@ def licence_scan(docs: DataFrame, model: Licences | None = None, id_col: str = "
     unknown, and a template of that family must lie in the paragraph by
     ``CONFIRM`` of its word pairs.
 
+    Wrapped notices: in each run of non-blank lines, the words of the lines that
+    no template confirms alone are judged again in blocks of ``2 * stride()``
+    words, the same way.
+
     Returns doc_id, n_paragraphs, n_confirmed, n_unconfirmed, families (sorted,
     comma-joined), best_family and best_probability (null without a confirmed
     one). Null and empty texts have no paragraphs. Repeated rows are each scanned.
@@ -141,29 +154,49 @@ def licence_scan(docs: DataFrame, model: Licences | None = None, id_col: str = "
     rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
     telling = F.array(*map(F.lit, model.telling)).cast("array<string>")
     found = F.arrays_overlap(F.split(lower(F.col("text")), "[^a-z0-9]+"), telling)
-    lines = F.filter(F.split("text", "\n"), lambda p: p != "")
-    flagged = cut(rows.select("doc_id", F.size(lines).cast("long").alias("n_paragraphs"), F.when(found, lines).alias("lines")).withColumn("tag", F.monotonically_increasing_id()))
-    words = F.filter(F.split(lower(F.col("line")), "[^a-z0-9]+"), lambda w: w != "")
-    para = flagged.where("lines is not null").select("tag", F.posexplode("lines").alias("n", "line")).select("tag", "n", words.alias("w")).where(F.arrays_overlap("w", telling))
-    pairs = F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - 2, F.lit(0))), lambda j: F.concat_ws(" ", F.get("w", j), F.get("w", j + 1)))
-    grams = cut(para.select("tag", "n", F.explode(F.array_distinct(F.concat("w", pairs))).alias("gram")))
+    lines = lambda text: F.filter(F.split(text, "\n"), lambda p: p != "")
+    tokens = lambda text: F.filter(F.split(lower(text), "[^a-z0-9]+"), lambda w: w != "")
+    flagged = cut(rows.select("doc_id", F.size(lines(F.col("text"))).cast("long").alias("n_paragraphs"), F.when(found, F.split("text", BLANK)).alias("runs")).withColumn("tag", F.monotonically_increasing_id()))
+    runs = flagged.where("runs is not null").select("tag", F.posexplode("runs").alias("run", "body"))
+    single = runs.select("tag", "run", F.posexplode(lines(F.col("body"))).alias("n", "line")).select("tag", "run", "n", tokens(F.col("line")).alias("w"))
     weights = spark.createDataFrame([(g, [float(x) for x in row]) for g, row in zip(model.grams, model.weights, strict=True)] or [("", [0.0] * k)], "gram string, weight array<double>")
-    sums = grams.join(F.broadcast(weights), "gram").groupBy("tag", "n").agg(*[F.sum(F.col("weight")[j]).alias(f"m{j}") for j in range(k)])
-    margins = F.array(*[(F.col(f"m{j}") + F.lit(float(model.bias[j]))) * F.lit(model.scale) for j in range(k)])
-    top = F.greatest(F.lit(0.0), F.array_max("z"))
-    total = F.aggregate("z", F.exp(-top), lambda a, z: a + F.exp(z - top))
-    named = sums.select("tag", "n", margins.alias("z")).withColumn("best", F.array_position("z", F.array_max("z")).cast("int")).withColumn("p", F.exp(F.array_max("z") - top) / total)
-    names = F.array(*map(F.lit, model.families))
-    named = named.where(F.col("p") >= model.threshold).select("tag", "n", "p", F.element_at(names, F.col("best")).alias("family"))
     parts = [(f, f"{f}{j}", g, float(len(own))) for f in model.families for j, t in enumerate(TEMPLATES[f]) for own in [sorted({g for g in _grams(t) if " " in g})] for g in own]
     templates = spark.createDataFrame(parts, "family string, template string, gram string, size double")
-    shared = grams.join(F.broadcast(templates), "gram").groupBy("tag", "n", "family", "template", "size").agg(F.count(F.lit(1)).alias("shared"))
-    confirmed = shared.groupBy("tag", "n", "family").agg(F.max(F.col("shared") / F.col("size")).alias("cover")).where(F.col("cover") >= CONFIRM)
-    judged = named.join(confirmed, ["tag", "n", "family"], "left")
+    key = ["tag", "run", "n"]
+
+    def judge(para: DataFrame) -> DataFrame:
+        """Named paragraphs with family and probability; cover is null where no template confirms."""
+        pairs = F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - 2, F.lit(0))), lambda j: F.concat_ws(" ", F.get("w", j), F.get("w", j + 1)))
+        grams = cut(para.where(F.arrays_overlap("w", telling)).select(*key, F.explode(F.array_distinct(F.concat("w", pairs))).alias("gram")))
+        sums = grams.join(F.broadcast(weights), "gram").groupBy(*key).agg(*[F.sum(F.col("weight")[j]).alias(f"m{j}") for j in range(k)])
+        margins = F.array(*[(F.col(f"m{j}") + F.lit(float(model.bias[j]))) * F.lit(model.scale) for j in range(k)])
+        top = F.greatest(F.lit(0.0), F.array_max("z"))
+        total = F.aggregate("z", F.exp(-top), lambda a, z: a + F.exp(z - top))
+        named = sums.select(*key, margins.alias("z")).withColumn("best", F.array_position("z", F.array_max("z")).cast("int")).withColumn("p", F.exp(F.array_max("z") - top) / total)
+        names = F.array(*map(F.lit, model.families))
+        named = named.where(F.col("p") >= model.threshold).select(*key, "p", F.element_at(names, F.col("best")).alias("family"))
+        shared = grams.join(F.broadcast(templates), "gram").groupBy(*key, "family", "template", "size").agg(F.count(F.lit(1)).alias("shared"))
+        confirmed = shared.groupBy(*key, "family").agg(F.max(F.col("shared") / F.col("size")).alias("cover")).where(F.col("cover") >= CONFIRM)
+        return cut(named.join(confirmed, [*key, "family"], "left"))
+
+    alone = judge(single)
+    # blocks of the words of a run's other lines
+    done = alone.where("cover is not null").groupBy("tag", "run").agg(F.collect_set("n").alias("done"))
+    left = runs.where(F.size(lines(F.col("body"))) > 1).join(done, ["tag", "run"], "left").withColumn("done", F.coalesce("done", F.array().cast("array<int>")))
+    rest = F.filter(lines(F.col("body")), lambda p, j: ~F.array_contains("done", j))
+    wrapped = left.where(F.size(rest) > 1).select("tag", "run", tokens(F.concat_ws("\n", rest)).alias("w")).where(F.arrays_overlap("w", telling))
+    size = stride()
+    starts = F.sequence(F.lit(0), F.greatest(F.ceil(F.size("w") / F.lit(size)).cast("int") - 2, F.lit(0)))
+    blocks = wrapped.select("tag", "run", F.explode(F.transform(starts, lambda b: F.struct(b.alias("n"), F.slice("w", b * size + 1, 2 * size).alias("w")))).alias("b")).select("tag", "run", "b.n", "b.w")
+    passages = judge(blocks).where("cover is not null")
+    judged = alone.withColumn("line", F.lit(True)).unionByName(passages.withColumn("line", F.lit(False)))
     sure = F.col("cover").isNotNull()
-    best = F.max(F.when(sure, F.struct("p", "family")))
-    by_doc = judged.groupBy("tag").agg(F.count_if(sure).alias("n_confirmed"), F.count_if(~sure).alias("n_unconfirmed"), F.concat_ws(",", F.array_sort(F.collect_set(F.when(sure, F.col("family"))))).alias("families"), best.alias("best"))
-    out = flagged.drop("lines").join(by_doc, "tag", "left")
+    # blocks overlap: a run's passages count as one paragraph a family, and lines named for it are part of it
+    by_run = judged.groupBy("tag", "run", "family").agg(F.count_if(F.col("line") & sure).alias("own"), F.count_if(~sure).alias("parts"), F.max(~F.col("line")).alias("joint"), F.max(F.when(sure, F.col("p"))).alias("p"))
+    some = F.col("p").isNotNull()
+    best = F.max(F.when(some, F.struct("p", "family")))
+    by_doc = by_run.groupBy("tag").agg(F.sum(F.col("own") + F.col("joint").cast("int")).alias("n_confirmed"), F.sum(F.when(F.col("joint"), 0).otherwise(F.col("parts"))).alias("n_unconfirmed"), F.concat_ws(",", F.array_sort(F.collect_set(F.when(some, F.col("family"))))).alias("families"), best.alias("best"))
+    out = flagged.drop("runs").join(by_doc, "tag", "left")
     zero = F.lit(0).cast("long")
     return out.select("doc_id", "n_paragraphs", F.coalesce("n_confirmed", zero).alias("n_confirmed"), F.coalesce("n_unconfirmed", zero).alias("n_unconfirmed"), F.coalesce("families", F.lit("")).alias("families"), F.col("best.family").alias("best_family"), F.col("best.p").alias("best_probability"))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter
 
@@ -187,3 +188,15 @@ def test_pipeline_equals_its_stages(spark):
     ran = corpus_pipeline.run(spark, SF)
     key = lambda df: sorted((r.doc_id, r.times) for r in df.select("doc_id", "times").collect())
     assert key(ran) == key(kept) and len(key(ran)) > 50
+
+
+def test_licences_short_and_wrapped(spark):
+    """A notice counts whole, however short it is and wherever its lines are broken."""
+    ordinary = [f"line {k} of words that say nothing in particular about {w}" for k, w in enumerate("sun moon rain wind snow trees rivers hills cats dogs".split() * 20)]
+    isc, bsd = next(t for t in licence.TEMPLATES["isc"] if t.startswith("Permission")), next(t for t in licence.TEMPLATES["bsd"] if t.startswith("Redistribution"))
+    wrap = lambda t, n: "\n".join(textwrap.wrap(t, n))
+    texts = ["All rights reserved.", "Copyright 2019 Jane Doe. All rights reserved.", wrap(isc, 72), wrap(bsd, 72), wrap(bsd, 20), "\n".join([*ordinary[:9], wrap(isc, 60), *ordinary[:9]]), " ".join(isc.split()[:10]) + "\n\n" + " ".join(isc.split()[10:]), "MIT License"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in licence.licence_scan(docs, licence.fit(ordinary)).collect()}
+    assert [got[k].families for k in range(8)] == ["proprietary", "proprietary", "isc", "bsd", "bsd", "isc", "", "mit"]
+    assert all(got[k].n_confirmed == 1 and got[k].n_paragraphs == texts[k].count("\n") + 1 for k in (0, 1, 2, 3, 4, 5, 7))
