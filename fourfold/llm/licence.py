@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,9 +34,13 @@ TEMPLATES = {
 #: Sentences with the same words that grant nothing.
 OTHERS = ["He lost his driver's license last week.", "A fishing license is required at the lake.", "The general public was not admitted.", "They used source material without permission.", "The software crashed when copying files.", "Its license plate was found in the work shed.", "The apache helicopter landed free of charge.", "The foundation published the conditions of its warranty.", "The version of events in the file was public knowledge."]
 
-#: Paragraphs of the corpus that the unknown class learns from at most, and documents they come from.
+#: Paragraphs, and documents they come from, that ``sample_paragraphs`` takes at most; the operator counts over all lines instead.
 SAMPLE_PARAGRAPHS, SAMPLE_DOCS = 2_000, 200
 VARIANTS = 12
+#: Share of ordinary paragraphs below which a gram is left out of the unknown class, and synthetic paragraphs of that class.
+RARE, DRAWN = 1e-4, 1_500
+#: Word pairs of templates from which on a paragraph is notice-like.
+NOTICE = 3
 #: Share of held-out unknown paragraphs that may score above the calibrated threshold.
 FALSE_RATE = 0.002
 #: Share of a template's word pairs that a paragraph must hold.
@@ -66,39 +72,66 @@ def _grams(text: str) -> list[str]:
     return words + [f"{a} {b}" for a, b in zip(words, words[1:], strict=False)]
 
 
+def known_grams() -> set[str]:
+    return {g for own in TEMPLATES.values() for t in own for g in _grams(t)}
+
+
+def template_pairs() -> list[list[str]]:
+    return [sorted({g for g in _grams(t) if " " in g}) for own in TEMPLATES.values() for t in own]
+
+
+def notice_like(grams: set[str]) -> bool:
+    """As ``ordinary_counts`` has it: NOTICE known pairs, or CONFIRM of a template's."""
+    known = {g for own in template_pairs() for g in own}
+    return len(grams & known) >= NOTICE or any(own and len(grams & set(own)) >= CONFIRM * len(own) for own in template_pairs())
+
+
 def fit(paragraphs: list[str], seed: int = 7) -> Licences:
-    """Train on template variants (words dropped, texts before and after) and on paragraphs of the unknown class.
+    """``fit_counts`` on the paragraphs that are not notice-like."""
+    known = known_grams()
+    plain = [g for g in (known & set(_grams(p)) for p in paragraphs) if not notice_like(g)]
+    return fit_counts(dict(Counter(g for own in plain for g in own)), len(plain), seed)
 
-    Half of the unknown paragraphs and of the variants calibrate: a scale for all
+
+def fit_counts(counts: dict[str, int], n: int, seed: int = 7) -> Licences:
+    """Train on template variants (words dropped, known words added) and on the unknown class.
+
+    counts: in how many of n ordinary paragraphs each template gram lies. The
+    unknown class has each of these grams alone and paragraphs drawn by their
+    rates. Half of its rows and of the variants calibrate: a scale for all
     margins, then the probability above which a family is named at all.
+
+    ``telling`` are the words without which no paragraph can reach probability
+    0.5: all grams of the other words together leave every family's margin
+    below 0. The most frequent words are left out first.
     """
     rng = np.random.default_rng(seed)
     families = list(TEMPLATES)
-    every = {w for f in families for t in TEMPLATES[f] for w in _grams(t) if " " not in w}
-    known = {g for t in (t for f in families for t in TEMPLATES[f]) for g in _grams(t)}
-    plain = [p for p in paragraphs if len(known & {g for g in _grams(p) if " " in g}) < 3]
-    common = {w for p in plain for w in _grams(p)}
-    telling = sorted(every - common - set("abcdefghijklmnopqrstuvwxyz") - {str(k) for k in range(100)})
-    tell = set(telling)
-    useful = sorted(g for g in known if tell & set(g.split()))
+    useful = sorted(known_grams())
     place = {g: k for k, g in enumerate(useful)}
+    rate = np.array([counts.get(g, 0) / max(n, 1) for g in useful])
+    words_only = [k for k, g in enumerate(useful) if " " not in g]
+
+    def drawn(where: list[int]) -> list[str]:
+        return [useful[k] for k in np.array(where)[rng.random(len(where)) < rate[where]]]
+
     rows, marks, half = [], [], []
     for k, family in enumerate(families):
         for template in TEMPLATES[family]:
             words = template.split()
             for v in range(VARIANTS):
                 kept = [w for w in words if v == 0 or rng.random() > 0.08]
-                around = [" ".join(rng.permutation(plain[int(rng.integers(len(plain)))].split())[: int(rng.integers(0, 8))]) for _ in range(2)] if plain and v % 2 else ["", ""]
-                rows.append(" ".join([around[0], *kept, around[1]]))
+                rows.append({*_grams(" ".join(kept)), *(drawn(words_only) if v % 2 else [])})
                 marks.append(k)
                 half.append(v % 2)
-    for n, text in enumerate(OTHERS * 6 + plain):
-        rows.append(text)
+    seen = [{g, *g.split()} for g, r in zip(useful, rate, strict=True) if r >= RARE]
+    for n_row, own in enumerate([set(_grams(t)) for t in OTHERS * 6] + [g for g in seen for _ in range(2)] + [set(drawn(list(range(len(useful))))) for _ in range(DRAWN if n else 0)]):
+        rows.append(own)
         marks.append(len(families))
-        half.append(n % 2)
+        half.append(n_row % 2)
     x = np.zeros((len(rows), len(useful)))
-    for n, text in enumerate(rows):
-        x[n, [place[g] for g in set(_grams(text)) & place.keys()]] = 1.0
+    for row, own in enumerate(rows):
+        x[row, [place[g] for g in own & place.keys()]] = 1.0
     y, half = np.array(marks), np.array(half)
     w, b = fit_softmax(x[half == 0], y[half == 0], len(families) + 1, steps=300, rate=2.0)
     weights, bias = w[:, :-1] - w[:, -1:], b[:-1] - b[-1]
@@ -115,7 +148,25 @@ def fit(paragraphs: list[str], seed: int = 7) -> Licences:
     scale = min((0.25 * 1.25**k for k in range(20)), key=loss)
     unknown = probability(scale)[y[held] == len(families)][:, :-1].max(axis=1)
     threshold = max(0.5, float(np.quantile(unknown, 1 - FALSE_RATE)) if len(unknown) else 0.5)
-    return Licences(families, useful, weights, bias, float(scale), threshold, telling)
+    return Licences(families, useful, weights, bias, float(scale), threshold, _telling(useful, rate, weights, bias))
+
+
+def _telling(grams: list[str], rate: np.ndarray, weights: np.ndarray, bias: np.ndarray) -> list[str]:
+    gain = np.maximum(weights, 0.0)
+    parts = [g.split() for g in grams]
+    of: dict[str, list[int]] = {}
+    for k, own in enumerate(parts):
+        for w in set(own):
+            of.setdefault(w, []).append(k)
+    plain: set[str] = set()
+    reach = bias.copy()
+    for k in sorted((k for k, own in enumerate(parts) if len(own) == 1), key=lambda k: (-rate[k], gain[k].max(), grams[k])):
+        word = grams[k]
+        more = reach + gain[[j for j in of[word] if set(parts[j]) <= plain | {word}]].sum(axis=0)
+        if (more < 0).all():
+            plain.add(word)
+            reach = more
+    return sorted({g for g in grams if " " not in g} - plain)
 
 
 def sample_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> list[str]:
@@ -125,6 +176,34 @@ def sample_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     return [r.line for r in lines.collect()]
 
 
+def _lines(text: Column) -> Column:
+    return F.filter(F.split(text, "\n"), lambda p: p != "")
+
+
+def _tokens(text: Column) -> Column:
+    return F.filter(F.split(lower(text), "[^a-z0-9]+"), lambda w: w != "")
+
+
+def _pairs(words: Column) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.greatest(F.size(words) - 2, F.lit(0))), lambda j: F.concat_ws(" ", F.get(words, j), F.get(words, j + 1)))
+
+
+def ordinary_counts(docs: DataFrame, text_col: str = "text") -> tuple[dict[str, int], int]:
+    """Over all lines that are not notice-like: how many hold each template gram, and how many there are."""
+    known = sorted(known_grams())
+    lines = docs.select(F.explode(_lines(text_of(text_col))).alias("line")).select(_tokens(F.col("line")).alias("w"))
+    grams = lines.select(F.array_distinct(F.filter(F.concat("w", _pairs(F.col("w"))), lambda g: g.isin(known))).alias("g"))
+    # templates of few pairs: with fewer than NOTICE known pairs no other one can be held by CONFIRM
+    short = [own for own in template_pairs() if own and CONFIRM * len(own) < NOTICE]
+    held = [sum((F.array_contains("g", g).cast("int") for g in own), F.lit(0)) >= CONFIRM * len(own) for own in short]
+    n_pairs = F.size(F.filter("g", lambda g: g.contains(" ")))
+    notice = F.when(n_pairs == 0, False).when(n_pairs >= NOTICE, True).otherwise(reduce(lambda a, b: a | b, held))
+    # no filter on g: pushed below, it would compute g once for each mention
+    plain = grams.select(F.explode(F.when(notice, F.array().cast("array<string>")).otherwise(F.concat("g", F.array(F.lit(""))))).alias("gram"))  # the empty gram counts the lines
+    found = {r["gram"]: r["count"] for r in plain.groupBy("gram").count().collect()}
+    return found, found.pop("", 0)
+
+
 def lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -132,10 +211,11 @@ def lower(text: Column) -> Column:
 def licence_scan(docs: DataFrame, model: Licences | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Licence families named in each document's paragraphs: its lines, and passages of several lines.
 
-    Every n-gram of the model holds a word that only licence notices have, so
-    only paragraphs with such a word can score above the unknown class; the
-    others, and documents without any, are judged unknown by that test. For the
-    rest, grams are joined with the model's weights, whose number the templates
+    Without one of the model's telling words no paragraph can score above the
+    unknown class, whatever else it holds; such paragraphs, and documents of
+    nothing else, are judged unknown by that test. Without a ``model`` one is
+    trained on counts over all lines, and the share of ordinary lines above its
+    threshold is held to ``FALSE_RATE`` over all of them. For the rest, grams are joined with the model's weights, whose number the templates
     fix, and summed by paragraph; calibrated probabilities choose a family or
     unknown, and a template of that family must lie in the paragraph by
     ``CONFIRM`` of its word pairs.
@@ -149,16 +229,18 @@ def licence_scan(docs: DataFrame, model: Licences | None = None, id_col: str = "
     one). Null and empty texts have no paragraphs. Repeated rows are each scanned.
     """
     spark = docs.sparkSession
-    model = model or fit(sample_paragraphs(docs, id_col, text_col))
+    ordinary = None
+    if model is None:
+        counts, ordinary = ordinary_counts(docs, text_col)
+        model = fit_counts(counts, ordinary)
+        model.threshold = 0.5  # until all lines are scored
     k = len(model.families)
     rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
     telling = F.array(*map(F.lit, model.telling)).cast("array<string>")
     found = F.arrays_overlap(F.split(lower(F.col("text")), "[^a-z0-9]+"), telling)
-    lines = lambda text: F.filter(F.split(text, "\n"), lambda p: p != "")
-    tokens = lambda text: F.filter(F.split(lower(text), "[^a-z0-9]+"), lambda w: w != "")
-    flagged = cut(rows.select("doc_id", F.size(lines(F.col("text"))).cast("long").alias("n_paragraphs"), F.when(found, F.split("text", BLANK)).alias("runs")).withColumn("tag", F.monotonically_increasing_id()))
+    flagged = cut(rows.select("doc_id", F.size(_lines(F.col("text"))).cast("long").alias("n_paragraphs"), F.when(found, F.split("text", BLANK)).alias("runs")).withColumn("tag", F.monotonically_increasing_id()))
     runs = flagged.where("runs is not null").select("tag", F.posexplode("runs").alias("run", "body"))
-    single = runs.select("tag", "run", F.posexplode(lines(F.col("body"))).alias("n", "line")).select("tag", "run", "n", tokens(F.col("line")).alias("w"))
+    single = runs.select("tag", "run", F.posexplode(_lines(F.col("body"))).alias("n", "line")).select("tag", "run", "n", _tokens(F.col("line")).alias("w"))
     weights = spark.createDataFrame([(g, [float(x) for x in row]) for g, row in zip(model.grams, model.weights, strict=True)] or [("", [0.0] * k)], "gram string, weight array<double>")
     parts = [(f, f"{f}{j}", g, float(len(own))) for f in model.families for j, t in enumerate(TEMPLATES[f]) for own in [sorted({g for g in _grams(t) if " " in g})] for g in own]
     templates = spark.createDataFrame(parts, "family string, template string, gram string, size double")
@@ -166,25 +248,31 @@ def licence_scan(docs: DataFrame, model: Licences | None = None, id_col: str = "
 
     def judge(para: DataFrame) -> DataFrame:
         """Named paragraphs with family and probability; cover is null where no template confirms."""
-        pairs = F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - 2, F.lit(0))), lambda j: F.concat_ws(" ", F.get("w", j), F.get("w", j + 1)))
-        grams = cut(para.where(F.arrays_overlap("w", telling)).select(*key, F.explode(F.array_distinct(F.concat("w", pairs))).alias("gram")))
-        sums = grams.join(F.broadcast(weights), "gram").groupBy(*key).agg(*[F.sum(F.col("weight")[j]).alias(f"m{j}") for j in range(k)])
+        every = F.concat("w", _pairs(F.col("w")))
+        grams = cut(para.where(F.arrays_overlap("w", telling)).select(*key, F.explode(F.array_distinct(F.filter(every, lambda g: g.isin(model.grams)))).alias("gram")))
+        sums = grams.join(F.broadcast(weights), "gram").groupBy(*key).agg(F.count_if(F.col("gram").contains(" ")).alias("n_pairs"), *[F.sum(F.col("weight")[j]).alias(f"m{j}") for j in range(k)])
         margins = F.array(*[(F.col(f"m{j}") + F.lit(float(model.bias[j]))) * F.lit(model.scale) for j in range(k)])
         top = F.greatest(F.lit(0.0), F.array_max("z"))
         total = F.aggregate("z", F.exp(-top), lambda a, z: a + F.exp(z - top))
-        named = sums.select(*key, margins.alias("z")).withColumn("best", F.array_position("z", F.array_max("z")).cast("int")).withColumn("p", F.exp(F.array_max("z") - top) / total)
+        named = sums.select(*key, "n_pairs", margins.alias("z")).withColumn("best", F.array_position("z", F.array_max("z")).cast("int")).withColumn("p", F.exp(F.array_max("z") - top) / total)
         names = F.array(*map(F.lit, model.families))
-        named = named.where(F.col("p") >= model.threshold).select(*key, "p", F.element_at(names, F.col("best")).alias("family"))
+        named = named.where(F.col("p") >= model.threshold).select(*key, "n_pairs", "p", F.element_at(names, F.col("best")).alias("family"))
         shared = grams.join(F.broadcast(templates), "gram").groupBy(*key, "family", "template", "size").agg(F.count(F.lit(1)).alias("shared"))
         confirmed = shared.groupBy(*key, "family").agg(F.max(F.col("shared") / F.col("size")).alias("cover")).where(F.col("cover") >= CONFIRM)
         return cut(named.join(confirmed, [*key, "family"], "left"))
 
     alone = judge(single)
+    if ordinary is not None:
+        plain = alone.where((F.col("n_pairs") < NOTICE) & F.col("cover").isNull())
+        above, allowed = plain.count(), FALSE_RATE * ordinary
+        if above > allowed:
+            model.threshold = plain.agg(F.percentile_approx("p", 1 - allowed / above, 1_000_000)).first()[0]
+            alone = alone.where(F.col("p") >= model.threshold)
     # blocks of the words of a run's other lines
     done = alone.where("cover is not null").groupBy("tag", "run").agg(F.collect_set("n").alias("done"))
-    left = runs.where(F.size(lines(F.col("body"))) > 1).join(done, ["tag", "run"], "left").withColumn("done", F.coalesce("done", F.array().cast("array<int>")))
-    rest = F.filter(lines(F.col("body")), lambda p, j: ~F.array_contains("done", j))
-    wrapped = left.where(F.size(rest) > 1).select("tag", "run", tokens(F.concat_ws("\n", rest)).alias("w")).where(F.arrays_overlap("w", telling))
+    left = runs.where(F.size(_lines(F.col("body"))) > 1).join(done, ["tag", "run"], "left").withColumn("done", F.coalesce("done", F.array().cast("array<int>")))
+    rest = F.filter(_lines(F.col("body")), lambda p, j: ~F.array_contains("done", j))
+    wrapped = left.where(F.size(rest) > 1).select("tag", "run", _tokens(F.concat_ws("\n", rest)).alias("w")).where(F.arrays_overlap("w", telling))
     size = stride()
     starts = F.sequence(F.lit(0), F.greatest(F.ceil(F.size("w") / F.lit(size)).cast("int") - 2, F.lit(0)))
     blocks = wrapped.select("tag", "run", F.explode(F.transform(starts, lambda b: F.struct(b.alias("n"), F.slice("w", b * size + 1, 2 * size).alias("w")))).alias("b")).select("tag", "run", "b.n", "b.w")

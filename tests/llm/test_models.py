@@ -200,3 +200,20 @@ def test_licences_short_and_wrapped(spark):
     got = {r.doc_id: r for r in licence.licence_scan(docs, licence.fit(ordinary)).collect()}
     assert [got[k].families for k in range(8)] == ["proprietary", "proprietary", "isc", "bsd", "bsd", "isc", "", "mit"]
     assert all(got[k].n_confirmed == 1 and got[k].n_paragraphs == texts[k].count("\n") + 1 for k in (0, 1, 2, 3, 4, 5, 7))
+
+
+def test_licences_learn_from_all_lines(spark):
+    """Notices in the corpus don't turn their own words into ordinary ones; counts equal a plain computation."""
+    ordinary = [f"line {k} of the words that say nothing in particular about all {w} and the license" for k, w in enumerate("sun moon rain wind snow trees rivers hills cats dogs".split() * 60)]
+    notices = ["All rights reserved.", "License: MIT", "Released under the ISC License."]
+    docs = spark.createDataFrame(list(enumerate([*notices * 3, *ordinary, None, ""])), "doc_id long, text string")
+    got = {r.doc_id: r.families for r in licence.licence_scan(docs).collect()}
+    assert [got[k] for k in range(9)] == ["proprietary", "mit", "isc"] * 3
+    assert all(v == "" for k, v in got.items() if k >= 9)
+    counts, n = licence.ordinary_counts(docs)
+    known = licence.known_grams()
+    plain = [own for t in [*notices * 3, *ordinary] for own in [set(licence._grams(t)) & known] if not licence.notice_like(own)]
+    assert len(ordinary) - 9 < n == len(plain) <= len(ordinary) and counts == Counter(g for own in plain for g in own)
+    model = licence.fit_counts(counts, n)
+    rest = [k for k, g in enumerate(model.grams) if not set(g.split()) & set(model.telling)]
+    assert rest and (model.bias + np.maximum(model.weights[rest], 0).sum(axis=0) < 0).all()
