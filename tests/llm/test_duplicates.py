@@ -56,9 +56,9 @@ def family(rng, size, copies, changes):
     return out
 
 
-@pytest.mark.parametrize("leaders", [64, 2])
-def test_near_duplicates_equal_brute_force(spark, leaders):
-    rng = random.Random(leaders)
+@pytest.mark.parametrize("rare", [64, 2, 0])
+def test_near_duplicates_equal_brute_force(spark, rare):
+    rng = random.Random(rare)
     texts = ["", None, "  ", "a", "A", "a b c", "a b c d", "a b c d e", "a b c d e f"]
     for _ in range(12):
         texts += family(rng, rng.choice([8, 40, 120]), rng.randrange(1, 14), 3)
@@ -68,7 +68,7 @@ def test_near_duplicates_equal_brute_force(spark, leaders):
     rows = [(k * 13 % 10007, t, True) for k, t in enumerate(texts)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, kept boolean")
     want = grouped({k: t for k, t, _ in rows})
-    out = near.near_duplicates(docs, leaders=leaders).collect()
+    out = near.near_duplicates(docs, rare=rare).collect()
     assert len(out) == len(rows)
     for r in out:
         assert (r.n_shingles, r.component_id) == want[r.doc_id], r
@@ -82,6 +82,31 @@ def test_near_duplicates_odd_rows(spark):
     assert near.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_near_duplicates_across_components(spark):
+    """A large group whose members mostly miss the leader, and two shared templates."""
+    rng = random.Random(5)
+    template = [[f"t{j}w{k}" for k in range(60)] for j in range(2)]
+    texts = []
+    for k in range(160):
+        words = list(template[k % 2]) + ([f"s{k % 7}x{j}" for j in range(rng.choice([0, 4, 16]))])
+        for _ in range(rng.randrange(4)):
+            words[rng.randrange(60)] = f"e{rng.randrange(30)}"
+        texts.append(" ".join(words))
+    rows = list(enumerate(texts))
+    want = grouped(dict(rows))
+    for rare in (64, 1):
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in near.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), rare=rare, with_rows=False).collect()}
+        assert got == want
+
+
+def test_words_of_equal_polynomial_hash():
+    word = "a"
+    for _ in range(10):
+        word += word.translate(str.maketrans("ab", "ba"))
+    a, b = kernels.word_hashes(f"{word} {word.translate(str.maketrans('ab', 'ba'))}".encode())
+    assert a != b
+
+
 def test_superminhash_estimates_similarity():
     rng = np.random.default_rng(1)
     for share in (0.3, 0.75, 0.9):
