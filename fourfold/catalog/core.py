@@ -203,13 +203,14 @@ def parallel_apply(spark, d):
 
 
 def _sides(spark, d):
-    s = table(spark, d, "supplier").where("s_suppkey % 3 <> 0").groupBy(F.col("s_nationkey").alias("nation")).agg(F.avg("s_acctbal").alias("m"))
-    c = table(spark, d, "customer").where("c_nationkey % 5 <> 0").groupBy(F.col("c_nationkey").alias("nation")).agg(F.avg("c_acctbal").alias("m"))
+    """Nations by the mean balance of all their suppliers, and of all their customers; a side has the nations whose mean is high enough."""
+    s = table(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("nation")).agg(F.avg("s_acctbal").alias("m")).where("m > 4000")
+    c = table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("nation")).agg(F.avg("c_acctbal").alias("m")).where("m > 4400")
     return [x.select("nation", st.encode("m", 4400.0, 4700.0).alias("s")) for x in (s, c)]
 
 
-_S = f"""a as (select s_nationkey nation, {_c('avg(s_acctbal)', 4400, 4700)} s from supplier where s_suppkey % 3 <> 0 group by 1),
-b as (select c_nationkey nation, {_c('avg(c_acctbal)', 4400, 4700)} s from customer where c_nationkey % 5 <> 0 group by 1)"""
+_S = f"""a as (select s_nationkey nation, {_c('avg(s_acctbal)', 4400, 4700)} s from supplier group by 1 having avg(s_acctbal) > 4000),
+b as (select c_nationkey nation, {_c('avg(c_acctbal)', 4400, 4700)} s from customer group by 1 having avg(c_acctbal) > 4400)"""
 
 
 def _combine_sql(join: str) -> str:

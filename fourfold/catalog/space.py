@@ -186,38 +186,38 @@ def field_from_array(spark, d):
 
 
 def points(spark, d):
-    return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.slice("embedding", 1, 3).cast("array<double>").alias("p"), "label")
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("p"), "label")
 
 
-T = 0.05
-PTS = "p as (select vec_id id, embedding[1]::double a, embedding[2]::double b, embedding[3]::double c from embeddings), pr as (select l.id a, r.id b, sqrt((l.a - r.a) ** 2 + (l.b - r.b) ** 2 + (l.c - r.c) ** 2) d from p l join p r on l.id < r.id)"
+T = 1.2
+BLOCK = topology.BLOCK_POINTS
+PTS = "p as (select vec_id id, embedding::double[] v from embeddings), pr as (select l.id a, r.id b, list_distance(l.v, r.v) d from p l join p r on l.id < r.id)"
 
 
 @query(f"with {PTS} select a, b, round(d + 3.21e-11, 6) as d from pr where d <= {T}")
 def close_pairs(spark, d):
-    return topology.close_pairs(points(spark, d), T).select("a", "b", near(F.col("d")).alias("d"))
+    return topology.close_pairs(points(spark, d), T, block=BLOCK).select("a", "b", near(F.col("d")).alias("d"))
 
 
 @query(f"""with recursive {PTS}, e as (select a, b from pr where d <= {T} union all select b, a from pr where d <= {T}), t as (select id, id root from p union select e.b, t.root from t join e on e.a = t.id),
 l as (select id, min(root) root from t group by id), n as (select (select count(*) from p) v, (select count(*) // 2 from e) e, (select count(distinct root) from l) b0) select v, e, b0, greatest(0, e - v + b0) as b1, b0 - greatest(0, e - v + b0) as euler from n""")
 def betti_threshold(spark, d):
-    return topology.betti(points(spark, d), T)
+    return topology.betti(points(spark, d), T, block=BLOCK)
 
 
-@query(f"with {PTS}, r as (select unnest([0.02, 0.04, 0.06]) t) select t::double as t, count(*) as e from pr, r where d <= t group by t")
+@query(f"with {PTS}, r as (select unnest([1.1, 1.2, 1.3]) t) select t::double as t, count(*) as e from pr, r where d < t group by t")
 def betti_curve(spark, d):
-    """Edges of the threshold graph as the threshold grows: one pair table for all thresholds."""
-    pairs = topology.close_pairs(points(spark, d), 0.06)
-    return pairs.select("d", F.explode(F.array(*map(F.lit, (0.02, 0.04, 0.06)))).alias("t")).where("d <= t").groupBy("t").agg(F.count(F.lit(1)).alias("e"))
+    """Edges of the threshold graph as the threshold grows: one pass over blocks for all thresholds."""
+    return topology.pair_counts(points(spark, d), [1.1, 1.2, 1.3]).select(F.col("r").alias("t"), F.col("pairs").alias("e"))
 
 
-NN = """p as (select vec_id id, embedding[1]::double a, embedding[2]::double b, embedding[3]::double c from embeddings), n as (select q.id query, p.id id, sqrt((q.a - p.a) ** 2 + (q.b - p.b) ** 2 + (q.c - p.c) ** 2) d from p q, p where q.id % 25 = 0 and p.id <> q.id),
+NN = """p as (select vec_id id, embedding::double[] v from embeddings), n as (select q.id query, p.id id, list_distance(q.v, p.v) d from p q, p where p.id <> q.id),
 k as (select *, row_number() over (partition by query order by d, id) r from n)"""
 
 
 def _near(spark, d, k):
     p = points(spark, d)
-    return topology.nearest(p, p.where("id % 25 = 0"), k)
+    return topology.nearest(p, p, k)
 
 
 @query(f"with {NN} select query, round(1 / (avg(d) + 1e-10) + 3.21e-11, 4) as density from k where r <= 10 group by query")
@@ -230,10 +230,16 @@ def mle_dimension(spark, d):
     return topology.mle_dimension(_near(spark, d, 10)).select(near(F.col("dimension")).alias("dimension"), "n")
 
 
-@query(f"with {PTS}, r as (select unnest([0.1, 0.2, 0.4]) r), c as (select r, avg((d < r)::int) c from pr, r group by r) select round(regr_slope(ln(c), ln(r)) + 3.21e-11, 6) as dimension, count(*) as n from c where c > 0")
+@query(f"with {PTS}, r as (select unnest([1.2, 1.3, 1.4, 1.5]) r), c as (select r, avg((d < r)::int) c from pr, r group by r) select round(regr_slope(ln(c), ln(r)) + 3.21e-11, 6) as dimension, count(*) as n from c where c > 0")
 def correlation_dimension(spark, d):
-    pairs = topology.sample_pairs(points(spark, d), 2_000)
-    return topology.correlation_dimension(pairs, [0.1, 0.2, 0.4]).select(near(F.col("dimension")).alias("dimension"), "n")
+    return topology.correlation_dimension(points(spark, d), [1.2, 1.3, 1.4, 1.5]).select(near(F.col("dimension")).alias("dimension"), "n")
+
+
+@query("""with e as (select vec_id, unnest(range(64))::int i, unnest(embedding)::double x from embeddings), m as (select i, avg(x) m from e group by i), c as (select vec_id, i, x - m x from e join m using (i))
+select a.i as i, b.i as j, count(*) as n, round(sum(a.x * b.x) / greatest(count(*) - 1, 1) + 3.21e-11, 6) as cov from c a join c b on a.vec_id = b.vec_id and a.i <= b.i group by a.i, b.i""")
+def cloud_covariance(spark, d):
+    """What the principal axes of ``pca_dimension``, ``manifold_features`` and ``mapper`` come from."""
+    return topology.covariance_cells(points(spark, d)).select("i", "j", "n", near(F.col("cov")).alias("cov"))
 
 
 @query()
@@ -248,6 +254,18 @@ def mapper_nodes_edges(spark, d):
     return a.unionByName(edges.select("a", "b", F.col("shared").alias("n")))
 
 
+#: The mapper with a given filter, so that SQL can follow it: intervals of the first coordinate, the 10 % shortest distances of each as links.
+@query("""with recursive p as (select vec_id id, embedding::double[] v, embedding[1]::double f from embeddings), b as (select min(f) lo, (max(f) - min(f)) / (5 - 0.3 * 4) len from p), c as (select k, lo + k * (len * 0.7) low, lo + k * (len * 0.7) + len + 1e-12 high from b, (select unnest(range(5)) k)),
+m as (select k, id, v from p join c on f between low and high), d as (select l.k, l.id a, r.id b, list_distance(l.v, r.v) d from m l join m r on l.k = r.k and l.id < r.id), q as (select k, quantile_cont(d, 0.1) t from d group by k),
+e as (select k, a, b from d join q using (k) where d <= t union all select k, b, a from d join q using (k) where d <= t), t as (select k, id, id root from m union select e.k, e.b, t.root from t join e on e.k = t.k and e.a = t.id), l as (select k, id, min(root) root from t group by all),
+n as (select k, root, count(*) n from l group by all having count(*) >= 3), x as (select id, k || '-' || root node, n from l join n using (k, root)), s as (select a.node a, b.node b, count(*) shared from x a join x b on a.id = b.id and a.node < b.node group by all)
+select node as a, null as b, any_value(n) as n from x group by node union all select a, b, shared from s""")
+def mapper_first_coordinate(spark, d):
+    nodes, edges = topology.mapper(points(spark, d), 5, filter_col=F.col("p")[0])
+    a = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("n")).select(F.col("node").alias("a"), F.lit(None).cast("string").alias("b"), "n")
+    return a.unionByName(edges.select("a", "b", F.col("shared").alias("n")))
+
+
 @query()
 def manifold_features(spark, d):
     return topology.manifold(points(spark, d))
@@ -256,17 +274,29 @@ def manifold_features(spark, d):
 @query()
 def local_curvature(spark, d):
     p = points(spark, d)
-    return topology.curvature(p, p.where("id % 25 = 0"))
+    return topology.curvature(p, p, 80)
 
 
-@query()
+@query("""with recursive p as (select vec_id id, embedding::double[] v from embeddings), f as (select min(id) first from p), t as (select id, v, id = first inside, case when id = first then 0.0 else list_distance(v, (select v from p where id = (select first from f))) end best, 1 step from p, f
+union all select id, v, inside or id = next, case when inside or id = next then best else least(best, list_distance(v, nv)) end, step + 1 from (select *, min_by(id, (case when inside then 1e9 else best end, id)) over () next, min_by(v, (case when inside then 1e9 else best end, id)) over () nv, count(*) over () size from t) where step < size)
+select 0::int as dim, 0.0::double as birth, round(best + 3.21e-11, 6) as death from t where step = (select count(*) from p) and id <> (select first from f) union all select 0, 0.0, 'inf'::double""")
 def persistence_h0(spark, d):
-    return topology.persistence_h0(points(spark, d), n=300)
+    return topology.persistence_h0(points(spark, d)).select("dim", "birth", near(F.col("death")).alias("death"))
 
 
-@query()
+@query("""with recursive p as (select label g, vec_id id, embedding::double[] v, min(vec_id) over (partition by label) first, count(*) over (partition by label) size from embeddings), s as (select g, id, v, size, first, id = first inside, case when id = first then 0.0 else list_distance(v, first_value(v) over (partition by g order by id)) end best, 1 step from p),
+t as (select * from s union all select g, id, v, size, first, inside or id = next, case when inside or id = next then best else least(best, list_distance(v, nv)) end, step + 1 from (select *, min_by(id, (case when inside then 1e9 else best end, id)) over (partition by g) next, min_by(v, (case when inside then 1e9 else best end, id)) over (partition by g) nv from t) where step < size),
+f as (select g, best from t where step = size and id <> first), w as (select g, best / sum(best) over (partition by g) s from f) select g as label, 0::int as dim, round(sum(-s * ln(s + 1e-10)) + 3.21e-11, 6) as entropy, count(*) as n from w group by g""")
 def persistence_entropy(spark, d):
-    return topology.entropy(topology.diagrams(points(spark, d), "label", n=25), "label", "dim")
+    """Entropy of the deaths of each whole label group's components."""
+    h0 = topology.persistence_h0(points(spark, d), by="label")
+    return topology.entropy(h0, "label", "dim").select("label", "dim", near(F.col("entropy")).alias("entropy"), "n")
+
+
+@query()
+def persistence_loops(spark, d):
+    """Loops of each whole label group's complex up to distance 1.25, as (label, dim, births and deaths)."""
+    return topology.diagrams(points(spark, d), "label", limit=1.25).where("dim = 1").select("label", "dim", near(F.col("birth")).alias("birth"), near(F.col("death")).alias("death"))
 
 
 # transitions between states

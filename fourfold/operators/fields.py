@@ -250,30 +250,42 @@ def match(df: DataFrame, template: list[tuple[int, int, int]], threshold: float
     return inside.where(F.col("similarity") >= threshold).drop("width", "height")
 
 
+def _cell_id(*coordinates: str) -> Column:
+    """A long that orders cells by field, then last to first coordinate; 21 bits each in a plane, 18 in a volume."""
+    bits = 21 if len(coordinates) == 2 else 18
+    inside = [F.col(c).between(0, (1 << bits) - 1) for c in coordinates] + [F.col("field_id").between(0, (1 << 63 - bits * len(coordinates)) - 1)]
+    packed = F.col("field_id").cast("long") * (1 << bits * len(coordinates))
+    for k, c in enumerate(coordinates):
+        packed = packed + F.col(c).cast("long") * (1 << bits * k)
+    ok = inside[0]
+    for x in inside[1:]:
+        ok = ok & x
+    return F.when(ok, packed).otherwise(F.raise_error(F.lit("a field's number or coordinate is out of range")).cast("long"))
+
+
+def _components(cells: DataFrame, coordinates: tuple[str, ...], offsets: list[tuple[int, ...]]) -> DataFrame:
+    """Cells with ``label``, the rank of their component's first cell in its field."""
+    from fourfold.operators import graphs
+    from fourfold.sources.tables import written
+
+    own = written(cells.select("field_id", *coordinates, _cell_id(*coordinates).alias("id")))
+    where = F.array(*[F.struct(*[F.lit(o).alias(c) for o, c in zip(offset, coordinates, strict=True)]) for offset in offsets])
+    sent = own.select(F.col("id").alias("a"), "field_id", *coordinates, F.explode(where).alias("o")).select("a", "field_id", *[(F.col(c) + F.col(f"o.{c}")).alias(c) for c in coordinates])
+    links = sent.join(own.withColumnRenamed("id", "b"), ["field_id", *coordinates]).select("a", "b")
+    joined = own.join(graphs.components(links).withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("label", "id")).drop("label", "id")
+    joined = written(joined)
+    ranks = joined.select("field_id", "root").distinct().withColumn("label", F.row_number().over(Window.partitionBy("field_id").orderBy("root")))
+    return joined.join(ranks, ["field_id", "root"]).select("field_id", *coordinates, "label")
+
+
 def components(df: DataFrame, target: int | None = 3, full: bool = False) -> DataFrame:
     """Label of each target cell's component: 4 or 8 neighbours; target None joins all cells that aren't empty.
 
-    Labels are ranks of the components' first cells in row order. Minima spread
-    to neighbours and jump to the label of their label until nothing changes.
+    Labels are ranks of the components' first cells in row order; only the
+    roots of a field's components are ranked together.
     """
-    from fourfold.sources.tables import written
-
-    cells = df.where(F.col("s") == target if target is not None else F.col("s") != 0).select(*KEY)
-    cells = written(cells.withColumn("label", F.struct("y", "x")))
-    offsets = square(1) if full else [(0, 0), *cross()]
-    where = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in offsets])
-    while True:
-        sent = cells.select("field_id", F.explode(where).alias("o"), "x", "y", "label").select("field_id", (F.col("x") + F.col("o.dx")).alias("x"), (F.col("y") + F.col("o.dy")).alias("y"), "label")
-        least = cells.select(*KEY, F.col("label").alias("old")).join(sent.groupBy(*KEY).agg(F.min("label").alias("label")), list(KEY))
-        step = written(least.select(*KEY, "old", "label", F.col("label.x").alias("lx"), F.col("label.y").alias("ly")))
-        jump = step.select(F.col("field_id").alias("f"), F.col("x").alias("lx"), F.col("y").alias("ly"), F.col("label").alias("next"))
-        moved = step.withColumn("f", F.col("field_id")).join(jump, ["f", "lx", "ly"], "left")
-        new = written(moved.select(*KEY, "old", F.coalesce("next", "label").alias("label")))
-        changed = new.where("old <> label").limit(1).count()
-        cells = new.drop("old")
-        if not changed:
-            break
-    return cells.select(*KEY, F.dense_rank().over(Window.partitionBy("field_id").orderBy("label")).alias("label"))
+    cells = df.where(F.col("s") == target if target is not None else F.col("s") != 0)
+    return _components(cells, ("x", "y"), [(1, 0), (0, 1), *([(1, 1), (-1, 1)] if full else [])])
 
 
 def euler(df: DataFrame, target: int = 3) -> DataFrame:

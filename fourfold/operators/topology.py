@@ -2,9 +2,9 @@
 
 Pairs of points are made cell by cell: points fall into cubes of the distance
 threshold in their first coordinates, and a point meets only the cubes beside
-its own, so a threshold join never pairs all points with all. Operators that
-are quadratic by definition (nearest neighbours without a radius, complete
-persistence) take a stated query set in blocks or a bounded sample.
+its own. Operators that are quadratic by definition (nearest neighbours without
+a radius, spanning trees, pair counts) take the whole cloud in hashed blocks:
+a task holds two blocks, and only neighbours, tree edges or counts leave it.
 """
 
 from __future__ import annotations
@@ -14,22 +14,69 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from fourfold.operators import graphs
 from fourfold.sources.tables import written
 
 #: Points of a cloud for operators that need its whole distance matrix, taken in the order of a hash of the id.
 MATRIX_POINTS = 1_000
+#: Points of a hashed block; two blocks meet in one task.
+BLOCK_POINTS = 500
 
 
 def l2(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v))
 
 
-def close_pairs(points: DataFrame, threshold: float, id_col: str = "id", vec: str = "p", grid_dims: int = 2) -> DataFrame:
-    """(a, b, d) with a < b for points at most ``threshold`` apart."""
+def _block_pairs(points: DataFrame, size: int, id_col: str, vec: str, by: str | None = None) -> DataFrame:
+    """Rows (i, j, block, id, p) that bring each pair of hashed blocks of about ``size`` points together once."""
+    n = points.count()
+    blocks = max(1, -(-n // size))
+    base = points.select(F.col(by or F.lit(0)).alias("by") if by else F.lit(0).alias("by"), F.col(id_col).alias("id"), F.col(vec).cast("array<double>").alias("p"), F.pmod(F.xxhash64(id_col), F.lit(blocks)).cast("int").alias("block"))
+    return base.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("by", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "p")
+
+
+def _matrix(rows: pd.Series) -> np.ndarray:
+    return np.array(rows.tolist(), float)
+
+
+def block_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Euclidean distances of all rows of two blocks, a few rows at a time."""
+    out = np.empty((len(a), len(b)))
+    step = max(1, 1_000_000 // max(1, b.size))
+    for k in range(0, len(a), step):
+        out[k : k + step] = np.sqrt(((a[k : k + step, None, :] - b[None, :, :]) ** 2).sum(axis=2))
+    return out
+
+
+def _sides(pdf: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame, bool]:
+    """The two blocks of a group, and whether they are one block."""
+    i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
+    return pdf[pdf["block"] == i], pdf[pdf["block"] == j], i == j
+
+
+def close_pairs(points: DataFrame, threshold: float, id_col: str = "id", vec: str = "p", grid_dims: int = 2, block: int | None = None) -> DataFrame:
+    """(a, b, d) with a < b for points at most ``threshold`` apart.
+
+    In few dimensions points fall into cubes of the threshold and meet the cubes
+    beside their own. In many dimensions no grid keeps points apart: then
+    ``block`` gives the points of a hashed block, and blocks meet blocks.
+    """
+    if block:
+        kind = points.schema[id_col].dataType.simpleString()
+
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            left, right, same = _sides(pdf)
+            d = block_distances(_matrix(left["p"]), _matrix(right["p"])) if len(left) and len(right) else np.zeros((0, 0))
+            x, y = np.nonzero(np.triu(d <= threshold, 1) if same else d <= threshold)
+            u, v = left["id"].to_numpy()[x], right["id"].to_numpy()[y]
+            return pd.DataFrame({"a": np.minimum(u, v), "b": np.maximum(u, v), "d": d[x, y]})
+
+        return _block_pairs(points, block, id_col, vec).groupBy("i", "j").applyInPandas(run, f"a {kind}, b {kind}, d double")
     p = F.col(vec).cast("array<double>")
     cell = [F.floor(p[k] / threshold).cast("long") for k in range(grid_dims)]
     base = points.select(F.col(id_col).alias("id"), p.alias("p"), *[c.alias(f"c{k}") for k, c in enumerate(cell)])
@@ -42,6 +89,19 @@ def close_pairs(points: DataFrame, threshold: float, id_col: str = "id", vec: st
     return joined.select(F.col("l.id").alias("a"), F.col("r.id").alias("b"), l2(F.col("l.p"), F.col("r.p")).alias("d")).where(F.col("d") <= threshold)
 
 
+def pair_counts(points: DataFrame, radii: Sequence[float], id_col: str = "id", vec: str = "p", block: int = BLOCK_POINTS) -> DataFrame:
+    """(r, pairs, all_pairs): pairs of the whole cloud closer than each radius, counted block by block."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        left, right, same = _sides(pdf)
+        d = block_distances(_matrix(left["p"]), _matrix(right["p"])) if len(left) and len(right) else np.zeros((0, 0))
+        d = d[np.triu_indices(len(left), 1)] if same else d.ravel()
+        return pd.DataFrame({"r": [float(r) for r in radii], "pairs": [int((d < r).sum()) for r in radii], "all_pairs": len(d)})
+
+    counted = _block_pairs(points, block, id_col, vec).groupBy("i", "j").applyInPandas(run, "r double, pairs long, all_pairs long")
+    return counted.groupBy("r").agg(F.sum("pairs").alias("pairs"), F.sum("all_pairs").alias("all_pairs"))
+
+
 def sample_points(points: DataFrame, n: int = MATRIX_POINTS, id_col: str = "id") -> DataFrame:
     return points.orderBy(F.xxhash64(id_col), id_col).limit(n)
 
@@ -58,52 +118,65 @@ def auto_threshold(points: DataFrame, id_col: str = "id", vec: str = "p") -> flo
     return sample_pairs(points, MATRIX_POINTS, id_col, vec).agg(F.percentile("d", F.lit(0.5))).first()[0]
 
 
-def labels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, label): the smallest id of each node's component, by minima over edges and label jumps."""
-    both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    now = written(nodes.select("id", F.col("id").alias("label")))
-    while True:
-        reached = both.join(now.select(F.col("id").alias("a"), "label"), "a").groupBy(F.col("b").alias("id")).agg(F.min("label").alias("m"))
-        step = now.join(reached, "id", "left").select("id", F.col("label").alias("old"), F.least("label", F.coalesce("m", "label")).alias("label"))
-        jump = step.select(F.col("id").alias("j"), F.col("label").alias("jl"))
-        new = written(step.join(jump, step["label"] == jump["j"], "left").select("id", "old", F.least("label", F.coalesce("jl", "label")).alias("label")))
-        changed = new.where("old <> label").limit(1).count()
-        now = new.drop("old")
-        if not changed:
-            return now
+def betti(points: DataFrame, threshold: float, id_col: str = "id", vec: str = "p", block: int | None = None) -> DataFrame:
+    """b0 components of the graph of close pairs, b1 = E - V + b0 its independent loops, and their Euler number."""
+    edges = written(close_pairs(points, threshold, id_col, vec, block=block))
+    joined = graphs.components(edges).agg(F.count(F.lit(1)).alias("under"))
+    counts = points.agg(F.count(F.lit(1)).alias("v")).join(F.broadcast(edges.agg(F.count(F.lit(1)).alias("e")))).join(F.broadcast(joined))
+    found = counts.select("v", "e", (F.col("v") - F.col("under")).alias("b0"))
+    return found.select("v", "e", "b0", F.greatest(F.lit(0), F.col("e") - F.col("v") + F.col("b0")).alias("b1")).withColumn("euler", F.col("b0") - F.col("b1"))
 
 
-def betti(points: DataFrame, threshold: float, id_col: str = "id", vec: str = "p") -> DataFrame:
-    """b0 components of the graph of close pairs, b1 = E - V + b0 its independent loops, and their Euler number."""
-    edges = written(close_pairs(points, threshold, id_col, vec))
-    nodes = points.select(F.col(id_col).alias("id"))
-    found = labels(nodes, edges).agg(F.count(F.lit(1)).alias("v"), F.countDistinct("label").alias("b0"))
-    return found.join(F.broadcast(edges.agg(F.count(F.lit(1)).alias("e")))).select("v", "e", "b0", F.greatest(F.lit(0), F.col("e") - F.col("v") + F.col("b0")).alias("b1")).withColumn("euler", F.col("b0") - F.col("b1"))
+def spanning_tree(points: DataFrame, by: str | None = None, id_col: str = "id", vec: str = "p", block: int = BLOCK_POINTS) -> DataFrame:
+    """Edges (a, b, d) of the minimum spanning tree of the whole cloud, or of each group of ``by``.
 
+    Every pair of blocks gives the tree of its own points; an edge that is
+    longest in a cycle there is so in the whole cloud, so the tree lies in their
+    union. Ids are longs.
+    """
 
-def persistence_h0(points: DataFrame, id_col: str = "id", vec: str = "p", n: int = MATRIX_POINTS) -> DataFrame:
-    """Births (0) and deaths of components as the threshold grows: edges of the minimum spanning tree of a bounded sample."""
-    pdf = sample_points(points, n, id_col).select(F.col(vec).cast("array<double>").alias("p")).toPandas()
-    data = np.array(pdf["p"].tolist(), float)
-    deaths = spanning_edges(data)
-    rows = [(0, 0.0, float(d)) for d in deaths] + ([(0, 0.0, float("inf"))] if len(data) else [])
-    return points.sparkSession.createDataFrame(rows, "dim int, birth double, death double")
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.drop_duplicates("id").sort_values("id")
+        data, ids = _matrix(pdf["p"]), pdf["id"].to_numpy()
+        d, x, y = _tree(data)
+        return pd.DataFrame({"a": np.minimum(ids[x], ids[y]), "b": np.maximum(ids[x], ids[y]), "d": d})
 
+    kept = _block_pairs(points, block, id_col, vec, by).groupBy("by", "i", "j").applyInPandas(run, "a long, b long, d double")
+    return graphs.spanning_forest(kept)
 
-def spanning_edges(data: np.ndarray) -> np.ndarray:
-    """Sorted edge lengths of the minimum spanning tree (Prim)."""
+
+def persistence_h0(points: DataFrame, id_col: str = "id", vec: str = "p", by: str | None = None) -> DataFrame:
+    """Births (0) and deaths of components as the threshold grows, over the whole cloud (or each whole group of ``by``): edges of the minimum spanning tree, and one that never dies."""
+    tree = spanning_tree(points, by, id_col, vec)
+    named = [F.col(by)] if by else []
+    if by:
+        tree = tree.join(points.select(F.col(id_col).alias("a"), F.col(by)), "a")
+    finite = tree.select(*named, F.lit(0).alias("dim"), F.lit(0.0).alias("birth"), F.col("d").alias("death"))
+    return finite.unionByName(points.select(*(named or [F.lit(1).alias("one")])).distinct().select(*named, F.lit(0).alias("dim"), F.lit(0.0).alias("birth"), F.lit(float("inf")).alias("death")))
+
+
+def _tree(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lengths and ends of the edges of the minimum spanning tree (Prim)."""
     n = len(data)
     if n < 2:
-        return np.zeros(0)
-    best, out = np.full(n, np.inf), []
+        return np.zeros(0), np.zeros(0, int), np.zeros(0, int)
+    best, source = np.full(n, np.inf), np.zeros(n, int)
     inside = np.zeros(n, bool)
-    now = 0
+    now, out = 0, []
     for _ in range(n - 1):
         inside[now] = True
-        best = np.minimum(best, np.sqrt(((data - data[now]) ** 2).sum(axis=1)))
+        d = np.sqrt(((data - data[now]) ** 2).sum(axis=1))
+        nearer = ~inside & (d < best)
+        best[nearer], source[nearer] = d[nearer], now
         now = int(np.where(inside, np.inf, best).argmin())
-        out.append(best[now])
-    return np.sort(np.array(out))
+        out.append((best[now], source[now], now))
+    d, x, y = (np.array(c) for c in zip(*out, strict=True))
+    return d, x, y
+
+
+def spanning_edges(data: np.ndarray) -> np.ndarray:
+    """Sorted edge lengths of the minimum spanning tree."""
+    return np.sort(_tree(data)[0])
 
 
 def rips(data: np.ndarray, limit: float, max_dim: int = 1) -> list[tuple[int, float, float]]:
@@ -136,17 +209,19 @@ def rips(data: np.ndarray, limit: float, max_dim: int = 1) -> list[tuple[int, fl
     return sorted(out)
 
 
-def diagrams(groups: DataFrame, by: str, vec: str = "p", limit: float = math.inf, max_dim: int = 1, n: int = 60) -> DataFrame:
-    """Persistence pairs of each group's cloud (its first ``n`` rows by hash)."""
+def diagrams(groups: DataFrame, by: str, vec: str = "p", limit: float = math.inf, max_dim: int = 1) -> DataFrame:
+    """Persistence pairs of each group's whole cloud up to the distance ``limit``.
+
+    The complex of a group is built in one task and grows with the cliques
+    within ``limit``: use ``persistence_h0`` for components of large clouds.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         key = pdf[by].iloc[0]
-        data = np.array(pdf["p"].tolist(), float)
-        return pd.DataFrame([(key, *r) for r in rips(data, limit, max_dim)], columns=[by, "dim", "birth", "death"])
+        return pd.DataFrame([(key, *r) for r in rips(_matrix(pdf["p"]), limit, max_dim)], columns=[by, "dim", "birth", "death"])
 
-    some = groups.withColumn("__r", F.row_number().over(Window.partitionBy(by).orderBy(F.xxhash64(F.col(vec).cast("string"))))).where(F.col("__r") <= n)
     kind = groups.schema[by].dataType.simpleString()
-    return some.select(by, F.col(vec).cast("array<double>").alias("p")).groupBy(by).applyInPandas(run, f"`{by}` {kind}, dim int, birth double, death double")
+    return groups.select(by, F.col(vec).cast("array<double>").alias("p")).groupBy(by).applyInPandas(run, f"`{by}` {kind}, dim int, birth double, death double")
 
 
 def alive(diagram: DataFrame, threshold: float) -> DataFrame:
@@ -156,10 +231,11 @@ def alive(diagram: DataFrame, threshold: float) -> DataFrame:
 
 def entropy(diagram: DataFrame, *by: str) -> DataFrame:
     """Entropy of finite persistences' shares."""
-    w = Window.partitionBy(*(by or (F.lit(0),)))
     rows = diagram.where(F.col("death") < float("inf")).withColumn("__p", F.col("death") - F.col("birth"))
-    share = F.col("__p") / F.sum("__p").over(w)
-    return rows.withColumn("__s", share).groupBy(*by).agg(F.sum(-F.col("__s") * F.ln(F.col("__s") + 1e-10)).alias("entropy"), F.count(F.lit(1)).alias("n"))
+    total = rows.groupBy(*by).agg(F.sum("__p").alias("__total"))
+    shares = rows.join(F.broadcast(total), list(by)) if by else rows.crossJoin(F.broadcast(total))
+    share = F.col("__p") / F.col("__total")
+    return shares.groupBy(*by).agg(F.sum(-share * F.ln(share + 1e-10)).alias("entropy"), F.count(F.lit(1)).alias("n"))
 
 
 def top_features(diagram: DataFrame, k: int) -> DataFrame:
@@ -226,12 +302,32 @@ def _assignment(cost: np.ndarray) -> float:
     return float(-v[0])
 
 
-def nearest(points: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "id", vec: str = "p") -> DataFrame:
-    """(query, id, d, rank): the k nearest points of each row of a stated, bounded query set, which is broadcast."""
-    q = F.broadcast(queries.select(F.col(id_col).alias("query"), F.col(vec).cast("array<double>").alias("__q")))
-    pairs = points.select(F.col(id_col).alias("id"), F.col(vec).cast("array<double>").alias("__p")).join(q, F.col("id") != F.col("query"))
-    pairs = pairs.select("query", "id", l2(F.col("__p"), F.col("__q")).alias("d"))
-    return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("d", "id"))).where(F.col("rank") <= k)
+def nearest(points: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "id", vec: str = "p", block: int = BLOCK_POINTS) -> DataFrame:
+    """(query, id, d, rank): the k nearest other points of each row of ``queries``, which may be all points.
+
+    Blocks of queries meet blocks of points; each meeting keeps k points a
+    query, and the ranks are taken over those. Equal distances go by id.
+    """
+    kind, query_kind = points.schema[id_col].dataType.simpleString(), queries.schema[id_col].dataType.simpleString()
+    sides, counts = [], [max(1, -(-df.count() // block)) for df in (queries, points)]
+    for side, df in enumerate((queries, points)):
+        own = F.pmod(F.xxhash64(id_col), F.lit(counts[side])).cast("int")
+        other = F.explode(F.sequence(F.lit(0), F.lit(counts[1 - side] - 1)))
+        named = [own.alias("i"), other.alias("j")] if side == 0 else [other.alias("i"), own.alias("j")]
+        sides.append(df.select(*named, F.lit(side).alias("side"), F.col(id_col).alias("id"), F.col(vec).cast("array<double>").alias("p")))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        q, x = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1].sort_values("id")
+        if not len(q) or not len(x):
+            return pd.DataFrame({"query": q["id"][:0], "id": x["id"][:0], "d": np.zeros(0)})
+        d = block_distances(_matrix(q["p"]), _matrix(x["p"]))
+        d[q["id"].to_numpy()[:, None] == x["id"].to_numpy()[None, :]] = np.inf
+        order = np.argsort(d, axis=1, kind="stable")[:, :k]
+        out = pd.DataFrame({"query": np.repeat(q["id"].to_numpy(), order.shape[1]), "id": x["id"].to_numpy()[order.ravel()], "d": np.take_along_axis(d, order, 1).ravel()})
+        return out[np.isfinite(out["d"])]
+
+    met = sides[0].unionByName(sides[1]).groupBy("i", "j").applyInPandas(run, f"query {query_kind}, id {kind}, d double")
+    return met.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("d", "id"))).where(F.col("rank") <= k)
 
 
 def local_density(near: DataFrame) -> DataFrame:
@@ -245,12 +341,10 @@ def mle_dimension(near: DataFrame) -> DataFrame:
     return logs.agg(F.percentile("m", F.lit(0.5)).alias("dimension"), F.count(F.lit(1)).alias("n"))
 
 
-def correlation_dimension(pairs: DataFrame, radii: Sequence[float]) -> DataFrame:
-    """Slope of ln share of pairs within r on ln r."""
-    row = pairs.agg(*[F.avg((F.col("d") < r).cast("double")).alias(f"r{k}") for k, r in enumerate(radii)])
-    long = row.select(F.posexplode(F.array(*row.columns)).alias("k", "c")).where("c > 0")
-    logs = F.element_at(F.array(*[F.lit(math.log(r)) for r in radii]), F.col("k") + 1)
-    return long.agg(F.regr_slope(F.ln("c"), logs).alias("dimension"), F.count(F.lit(1)).alias("n"))
+def correlation_dimension(points: DataFrame, radii: Sequence[float], id_col: str = "id", vec: str = "p") -> DataFrame:
+    """Slope of ln share of all pairs within r on ln r."""
+    counts = pair_counts(points, radii, id_col, vec).where("pairs > 0")
+    return counts.agg(F.regr_slope(F.ln(F.col("pairs") / F.col("all_pairs")), F.ln("r")).alias("dimension"), F.count(F.lit(1)).alias("n"))
 
 
 def curvature(points: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "id", vec: str = "p") -> DataFrame:
@@ -279,23 +373,43 @@ def manifold(points: DataFrame, vec: str = "p") -> DataFrame:
 
 
 def covariance(points: DataFrame, vec: str = "p") -> tuple[int, np.ndarray, np.ndarray]:
-    """Rows, mean and covariance by one aggregate; a matrix of the vectors' length."""
-    long = points.select(F.posexplode(F.col(vec).cast("array<double>")).alias("k", "x"))
-    means = dict(long.groupBy("k").agg(F.avg("x")).collect())
-    n = points.count()
-    size = len(means)
-    mean = np.array([means[k] for k in range(size)])
-    p = F.col(vec).cast("array<double>")
-    cells = points.agg(*[F.sum((p[a] - float(mean[a])) * (p[b] - float(mean[b]))).alias(f"c{a}_{b}") for a in range(size) for b in range(a, size)]).first()
-    cov = np.zeros((size, size))
-    at = 0
-    for a in range(size):
-        for b in range(a, size):
-            cov[a, b] = cov[b, a] = (cells[at] or 0.0) / max(n - 1, 1)
-            at += 1
+    """Rows, mean and covariance; each batch of rows is one matrix product, and only sums leave a task."""
+    cells = covariance_cells(points, vec).collect()
+    size = max((r.i for r in cells), default=-1) + 1
+    n, mean, cov = 0, np.zeros(size), np.zeros((size, size))
+    for r in cells:
+        n, mean[r.i] = r.n, r.mean if r.i == r.j else mean[r.i]
+        cov[r.i, r.j] = cov[r.j, r.i] = r.cov
     return n, mean, cov
 
 
+def covariance_cells(points: DataFrame, vec: str = "p") -> DataFrame:
+    """(i, j, n, mean, cov) for i <= j: the covariance matrix (n - 1) as a table, with the mean of dimension i.
+
+    Values are taken off the cloud's first mean, so that no digits are lost.
+    """
+    p = F.col(vec).cast("array<double>")
+    clean = points.where(F.col(vec).isNotNull()).select(p.alias("p"))
+    centre = {r.k: r.m for r in clean.select(F.posexplode("p").alias("k", "x")).groupBy("k").agg(F.avg("x").alias("m")).collect()}
+    mid = np.array([centre[k] for k in range(len(centre))])
+
+    def sums(batches):
+        size = len(mid)
+        total, first, n = np.zeros((size, size)), np.zeros(size), 0
+        for batch in batches:
+            data = np.array(batch.column("p").to_pylist(), float).reshape(-1, size) - mid
+            total, first, n = total + data.T @ data, first + data.sum(axis=0), n + len(data)
+        if n:
+            i, j = np.triu_indices(size)
+            yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(total[i, j]), pa.array(first[i]), pa.array(first[j]), pa.array(np.full(len(i), n))], ["i", "j", "xy", "x", "y", "n"])
+
+    parts = clean.mapInArrow(sums, "i int, j int, xy double, x double, y double, n long")
+    added = parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("xy", "x", "y", "n")])
+    means = points.sparkSession.createDataFrame([(k, float(m)) for k, m in enumerate(mid)], "i int, centre double")
+    cov = (F.col("xy") - F.col("x") * F.col("y") / F.col("n")) / F.greatest(F.col("n") - 1, F.lit(1))
+    return added.join(F.broadcast(means), "i").select("i", "j", "n", (F.col("centre") + F.col("x") / F.col("n")).alias("mean"), cov.alias("cov"))
+
+
 def pca_dimension(points: DataFrame, vec: str = "p", share: float = 0.95) -> int:
     values = np.sort(np.linalg.eigvalsh(covariance(points, vec)[2]))[::-1]
     total = np.cumsum(values) / max(values.sum(), 1e-300)
@@ -366,8 +480,10 @@ def mapper(points: DataFrame, intervals: int = 10, overlap: float = 0.3, least:
 
     Points are sorted into overlapping intervals of a filter (by default the
     first principal axis); within each, points form clusters of ``least`` or
-    more (components of close points, single_linkage, dbscan or kmeans);
-    clusters that share points are joined.
+    more; clusters that share points are joined. ``components`` of close points
+    are found block by block over any number of points with ids that are longs;
+    single_linkage, dbscan and kmeans hold an interval's distance matrix in one
+    task, so their intervals have to be narrow enough for that.
     """
     p = F.col(vec).cast("array<double>")
     if filter_col is None:
@@ -382,25 +498,66 @@ def mapper(points: DataFrame, intervals: int = 10, overlap: float = 0.3, least:
     cover = [(k, lo + k * step, lo + k * step + length + 1e-12) for k in range(intervals)]
     table = F.broadcast(points.sparkSession.createDataFrame(cover, "interval int, low double, high double"))
     parts = valued.join(table, F.col("f").between(F.col("low"), F.col("high"))).select("interval", "id", "p")
-
-    def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id")
-        data, ids = np.array(pdf["p"].tolist(), float), pdf["id"].to_numpy()
-        marks = CLUSTERINGS[method](data, least)
-        name, rows = pdf["interval"].iloc[0], []
-        for m in np.unique(marks[marks >= 0]):
-            own = ids[marks == m]
-            if len(own) >= least:
-                rows += [(f"{name}-{own.min()}", x) for x in own]
-        return pd.DataFrame(rows, columns=["node", "member"])
-
-    kind = valued.schema["id"].dataType.simpleString()
-    nodes = written(parts.groupBy("interval").applyInPandas(cluster, f"node string, member {kind}"))
+    if method == "components":
+        nodes = _close_components(written(parts), least, intervals)
+    else:
+        cluster_of = CLUSTERINGS[method]
+
+        def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values("id")
+            ids = pdf["id"].to_numpy()
+            marks = cluster_of(_matrix(pdf["p"]), least)
+            name, rows = pdf["interval"].iloc[0], []
+            for m in np.unique(marks[marks >= 0]):
+                own = ids[marks == m]
+                if len(own) >= least:
+                    rows += [(f"{name}-{own.min()}", x) for x in own]
+            return pd.DataFrame(rows, columns=["node", "member"])
+
+        kind = valued.schema["id"].dataType.simpleString()
+        nodes = parts.groupBy("interval").applyInPandas(cluster, f"node string, member {kind}")
+    nodes = written(nodes)
     left, right = nodes.alias("l"), nodes.alias("r")
     edges = left.join(right, F.col("l.member") == F.col("r.member")).where(F.col("l.node") < F.col("r.node")).groupBy(F.col("l.node").alias("a"), F.col("r.node").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
     return nodes, edges
 
 
+def _close_components(parts: DataFrame, least: int, intervals: int) -> DataFrame:
+    """Components of each interval's pairs under the 10 % shortest distances, block by block.
+
+    The 10 % point is taken over the pairs of up to about MATRIX_POINTS points
+    of an interval, picked by a hash of the id: all points where there are fewer.
+    """
+    share = parts.groupBy("interval").agg(F.ceil(F.count(F.lit(1)) / MATRIX_POINTS).cast("long").alias("every"))
+    some = parts.join(F.broadcast(share), "interval").where(F.pmod(F.xxhash64("id"), F.col("every")) == 0)
+
+    def tenth(pdf: pd.DataFrame) -> pd.DataFrame:
+        data = _matrix(pdf["p"])
+        d = block_distances(data, data)[np.triu_indices(len(data), 1)]
+        return pd.DataFrame({"interval": [pdf["interval"].iloc[0]], "radius": [float(np.percentile(d, 10)) if len(d) else 0.0]})
+
+    radii = written(some.select("interval", "id", "p").groupBy("interval").applyInPandas(tenth, "interval int, radius double"))
+    within = written(parts.join(F.broadcast(radii), "interval"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        left, right, same = _sides(pdf)
+        d = block_distances(_matrix(left["p"]), _matrix(right["p"])) if len(left) and len(right) else np.zeros((0, 0))
+        close = d <= pdf["radius"].iloc[0]
+        x, y = np.nonzero(np.triu(close, 1) if same else close)
+        at = int(pdf["interval"].iloc[0])
+        return pd.DataFrame({"a": left["id"].to_numpy()[x] * intervals + at, "b": right["id"].to_numpy()[y] * intervals + at})
+
+    blocks = F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / BLOCK_POINTS)).cast("int")
+    sized = within.join(F.broadcast(within.groupBy("interval").agg(blocks.alias("blocks"))), "interval").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    met = sized.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select("interval", "radius", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "p")
+    links = met.groupBy("interval", "i", "j").applyInPandas(run, "a long, b long")
+    marked = graphs.labels(within.select((F.col("id").cast("long") * intervals + F.col("interval")).alias("id")), links)
+    marked = written(marked)
+    large = marked.groupBy("label").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("label")
+    name = F.concat_ws("-", F.pmod("label", F.lit(intervals)).cast("string"), F.expr(f"(label - pmod(label, {intervals})) div {intervals}").cast("string"))
+    return marked.join(large, "label").select(name.alias("node"), F.expr(f"(id - pmod(id, {intervals})) div {intervals}").alias("member"))
+
+
 #: The default state transitions (from, to, operation, cost, risk).
 DEFAULT_EDGES = [
     (0, 0, "gate", 1.0, 0.0), (2, 0, "gate", 1.0, 0.3), (1, 1, "gate", 1.0, 0.0), (3, 3, "gate", 1.0, 0.0),
