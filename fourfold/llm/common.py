@@ -19,6 +19,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
     told = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not told:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: intermediate tables need a folder that all executors share")
         told = "file:///tmp/checkpoints/fourfold"
         spark.conf.set("spark.checkpoint.dir", told)
     return told.rstrip("/")
@@ -66,6 +68,11 @@ def packed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"), F.struct("*").alias("row"))
 
 
+def quoted(name: str) -> str:
+    """A column's name as a reference, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def row_key(*cols: str) -> Column:
     """A 64-bit key of a row's id and text: rows share one only if both agree."""
     return F.xxhash64(*cols)

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import itertools
 import re
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from fourfold.llm.common import cut, row_key, text_of
+from fourfold.llm.common import cut, text_of
 
 WINDOW = 13
 #: A document is contaminated when COVER_TIMES * hit words >= all words.
@@ -57,6 +60,10 @@ class Automaton:
         self.above = [-1] * len(self.link)  # the nearest state on the way to the root that ends whole short items
         for s in sorted(range(len(self.link)), key=self.length.__getitem__):
             self.above[s] = s if s in short else self.above[self.link[s]] if s else -1
+        self.last = list(range(len(self.link)))  # the last state on the way to the root that is at least a window long
+        for s in sorted(range(1, len(self.link)), key=self.length.__getitem__):
+            if self.length[self.link[s]] >= window:
+                self.last[s] = self.last[self.link[s]]
 
     def _extend(self, last: int, c: int) -> int:
         nxt, link, length = self.next, self.link, self.length
@@ -102,6 +109,7 @@ class Automaton:
         spans: list[list[int]] = []
         found: set[str] = set()
         nxt, link, length, above, window = self.next, self.link, self.length, self.above, self.window
+        seen: set[int] = set()
         state = held = 0
         for k, c in enumerate(map(self.ids.get, words)):
             if c is None:
@@ -119,10 +127,10 @@ class Automaton:
             held += 1
             hit = 0
             if held >= window:
-                s = state
-                while length[link[s]] >= window:
-                    s = link[s]
-                found |= self.items.get(s, set())
+                s = self.last[state]
+                if s not in seen:
+                    seen.add(s)
+                    found |= self.items.get(s, set())
                 hit = window
             s = above[state]
             while s > 0:
@@ -163,7 +171,7 @@ def _digest(spans: list, items: list[str], n_words: int) -> tuple[int, int, str,
     return hit, len(names), hashlib.sha256(",".join(names).encode()).hexdigest(), hit > 0 and COVER_TIMES * hit >= n_words
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", *, window: int = WINDOW, block_words: int = BLOCK_WORDS, with_rows: bool = True) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", *, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Which words of each document lie in passages of benchmark items.
 
     Words stream through a suffix automaton of the items, which gives the length
@@ -173,7 +181,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     block by block, and a document's marks are then united.
 
     Returns doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans
-    (word positions [from, to)), items and, ``with_rows``, the input row as struct ``row``. Null
+    (word positions [from, to)), items, kept_text (the text without its spans,
+    for documents that have some and aren't contaminated, else null) and the input row as struct ``row``. Null
     and empty texts have no words and no hits; items without words are never
     found; an item without an id counts under the empty id. Repeated rows are
     each judged. An empty benchmark finds nothing.
@@ -181,31 +190,54 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"), F.struct("*").alias("row"))
     blocks = item_blocks(benchmark, item_id_col, item_text_col, block_words)
-    parts = [spark.sparkContext.broadcast(vars(Automaton(block, window))) for block in blocks]
-    digest = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<array<int>>, items array<string>"
-    if len(parts) == 1:
-        return rows.mapInArrow(_matcher(parts[0]), _schema(rows, digest))
-    keyed = rows.withColumn("__key", row_key("doc_id", "text"))
-    found = None
-    for machine in parts:
-        one = cut(keyed.select(F.col("__key").alias("doc_id"), "text", F.struct(F.lit(0).alias("none")).alias("row")).dropDuplicates(["doc_id"]).mapInArrow(_matcher(machine), f"doc_id long, row struct<none:int>, {digest}").where("n_hit > 0").select(F.col("doc_id").alias("__key"), "spans", "items"))
-        found = one if found is None else found.unionByName(one)
-    found = found.groupBy("__key").agg(F.flatten(F.collect_list("spans")).alias("__spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("__items"))
-    joined = keyed.join(found, "__key", "left").drop("__key")
-    return joined.mapInArrow(_united, _schema(rows, digest))
-
+    first, second = next(blocks), next(blocks, None)
+    send = lambda block: spark.sparkContext.broadcast(vars(Automaton(block, window)))
+    if second is None:
+        return rows.mapInArrow(_matcher(send(first)), _schema(rows))
+    keyed = rows.withColumn("__key", F.md5(F.encode("text", "UTF-8")))
+    texts = cut(keyed.select("__key", "text").dropDuplicates(["__key"]).select(F.col("__key").alias("doc_id"), "text", F.struct(F.lit(0).alias("none")).alias("row")))
+    found = []
+    for block in itertools.chain([first, second], blocks):
+        machine = send(block)  # one at a time: its matches are written before the next is built
+        found.append(cut(texts.mapInArrow(_matcher(machine), _schema(texts)).where("n_hit > 0").select(F.col("doc_id").alias("__key"), "spans", "items")))
+        machine.destroy()
+    united = functools.reduce(DataFrame.unionByName, found).groupBy("__key").agg(F.flatten(F.collect_list("spans")).alias("__spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("__items"))
+    joined = keyed.join(united, "__key", "left").drop("__key")
+    return joined.mapInArrow(_united, _schema(rows))
+
+
+def decontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", *, length_col: str | None = "n_chars", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """``docs`` without its benchmark passages, in the same columns.
+
+    Documents over the coverage limit (contaminated) go. Of the others, the
+    words of all spans, which are at least ``window`` words or a whole shorter
+    item long, and what lies between them, are cut out of the text; the column
+    ``length_col``, where there is one, then counts the characters left.
+    Documents without a span stay as they are, null texts too.
+    """
+    kept = contamination(docs, benchmark, id_col, text_col, item_id_col, item_text_col, window=window, block_words=block_words).where("not contaminated")
+    changed = F.col("kept_text").isNotNull()
+    out = []
+    for c in docs.columns:
+        old = F.col("row").getField(c)
+        if c == text_col:
+            old = F.coalesce("kept_text", old.cast("string")) if docs.schema[c].dataType.simpleString() == "string" else F.when(changed, F.col("kept_text")).otherwise(old)
+        elif c == length_col:
+            old = F.when(changed, F.char_length("kept_text").cast(docs.schema[c].dataType)).otherwise(old)
+        out.append(old.alias(c))
+    return kept.select(*out)
 
-def _schema(rows: DataFrame, digest: str):
-    from pyspark.sql import types as T
 
-    first = T.StructType([rows.schema["doc_id"], rows.schema["row"]])
-    return T.StructType([*first.fields, *T._parse_datatype_string(digest).fields])
+def _schema(rows: DataFrame) -> T.StructType:
+    digest = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<array<int>>, items array<string>, kept_text string"
+    return T.StructType([rows.schema["doc_id"], rows.schema["row"], *T.StructType.fromDDL(digest).fields])
 
 
-def _batch(batch: pa.RecordBatch, words: list[int], spans: list, items: list) -> pa.RecordBatch:
+def _batch(batch: pa.RecordBatch, texts: list[str], words: list[int], spans: list, items: list) -> pa.RecordBatch:
     hit, n, sha, bad = zip(*map(_digest, spans, items, words), strict=True) if words else ((), (), (), ())
-    columns = [pa.array(words, pa.int64()), pa.array(hit, pa.int64()), pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(bad, pa.bool_()), pa.array(spans, pa.list_(pa.list_(pa.int32()))), pa.array([sorted(set(x)) for x in items], pa.list_(pa.string()))]
-    return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), *columns], ["doc_id", "row", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans", "items"])
+    kept = [without_spans(t, s) if s and not b else None for t, s, b in zip(texts, spans, bad, strict=True)]
+    columns = [pa.array(words, pa.int64()), pa.array(hit, pa.int64()), pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(bad, pa.bool_()), pa.array(spans, pa.list_(pa.list_(pa.int32()))), pa.array([sorted(set(x)) for x in items], pa.list_(pa.string())), pa.array(kept, pa.string())]
+    return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), *columns], ["doc_id", "row", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans", "items", "kept_text"])
 
 
 def _matcher(machine):
@@ -214,20 +246,22 @@ def _matcher(machine):
         vars(automaton).update(machine.value)
         for batch in batches:
             words, spans, items = [], [], []
-            for text in batch.column("text").to_pylist():
+            texts = batch.column("text").to_pylist()
+            for text in texts:
                 own = words_of(text)
                 s, i = automaton.match(own)
                 words.append(len(own))
                 spans.append(s)
                 items.append(list(i))
-            yield _batch(batch, words, spans, items)
+            yield _batch(batch, texts, words, spans, items)
 
     return run
 
 
 def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        words = [len(words_of(t)) for t in batch.column("text").to_pylist()]
+        texts = batch.column("text").to_pylist()
+        words = [len(words_of(t)) for t in texts]
         spans = []
         for found in batch.column("__spans").to_pylist():
             merged: list[list[int]] = []
@@ -237,7 +271,7 @@ def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 else:
                     merged.append([a, b])
             spans.append(merged)
-        yield _batch(batch, words, spans, [x or [] for x in batch.column("__items").to_pylist()])
+        yield _batch(batch, texts, words, spans, [x or [] for x in batch.column("__items").to_pylist()])
 
 
 def without_spans(text: str, spans: list[list[int]]) -> str:
@@ -254,5 +288,5 @@ def without_spans(text: str, spans: list[list[int]]) -> str:
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = contamination(docs, benchmark, with_rows=False)
+    found = contamination(docs, benchmark)
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")

@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from fourfold.llm import kernels
 from fourfold.llm.common import cut, row_key, small, text_of
+from fourfold.operators.graphs import components
 
 SHINGLE = 5
 BANDS, ROWS = 32, 4
@@ -62,56 +63,6 @@ def _sets(shingle: int):
     return run
 
 
-def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Union-find over one partition's links: each node with its set's smallest."""
-    parent: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        root = x
-        while parent.setdefault(root, root) != root:
-            root = parent[root]
-        while parent[x] != root:
-            parent[x], x = root, parent[x]
-        return root
-
-    for batch in batches:
-        for u, v in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
-            x, y = find(u), find(v)
-            if x != y:
-                parent[max(x, y)] = min(x, y)
-    nodes = [x for x in parent if find(x) != x]
-    for k in range(0, len(nodes), 10_000):
-        some = nodes[k : k + 10_000]
-        yield pa.RecordBatch.from_arrays([pa.array([find(x) for x in some], pa.int64()), pa.array(some, pa.int64())], ["a", "b"])
-
-
-def components(links: DataFrame) -> DataFrame:
-    """(node, label) with the smallest node of each component, for nodes with links (a, b).
-
-    Each partition reduces its links to a union-find forest; then links move to
-    smaller neighbours (large-star and small-star steps) until all point at
-    their component's smallest node. All steps are minima and joins: a hub's
-    links are never gathered.
-    """
-    edges = cut(links.select("a", "b").mapInArrow(_forest, "a long, b long").distinct())
-    before = None
-    while True:
-        now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if now == before or not now[0]:
-            break
-        before = now
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy(F.col("b").alias("u")).agg(F.min("a").alias("m")).withColumn("m", F.least("u", "m"))
-        # large star: each larger neighbour of u moves to u's smallest
-        larger = both.select(F.col("b").alias("u"), F.col("a").alias("v")).where("v > u")
-        large = cut(larger.join(least, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).where("a < b").distinct())
-        # small star: u and its smaller neighbours move to the smallest of them
-        down = large.groupBy("b").agg(F.min("a").alias("m"))
-        small = large.join(down, "b").select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b"))
-        edges = cut(small.where("a < b").distinct())
-    return edges.select(F.col("b").alias("node"), F.col("a").alias("label"))
-
-
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those pairs (a, b) whose whole shingle sets are similar enough."""
     size = lambda x: sets.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fourfold.llm.common import WORD, cut, global_running_sum, small, text_of
+from fourfold.llm.common import WORD, cut, global_running_sum, quoted, small, text_of
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
@@ -60,7 +60,7 @@ def fair_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     results.
     """
     size = word_count(text_of(text_col))
-    carried = [F.struct(*keep).alias("row")] if keep else []
+    carried = [F.struct(*map(quoted, keep)).alias("row")] if keep else []
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), *carried)
     rows = rows.withColumn("__shuffle", F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 16))
     rows = cut(rows.withColumn("__tag", F.monotonically_increasing_id()))

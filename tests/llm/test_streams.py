@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -93,6 +94,28 @@ def test_decontamination_on_table(spark):
         assert tuple(r)[1:] == brute(texts[r.doc_id], items, 13)
 
 
+def test_repeated_words_match_in_linear_time():
+    took = []
+    for n in (4_000, 32_000):
+        machine = dec.Automaton([("i", [b"a"] * n)])
+        began = time.perf_counter()
+        spans, items = machine.match([b"a"] * n)
+        took.append(time.perf_counter() - began)
+        assert spans == [[0, n]] and items == {"i"}
+    assert took[1] < 30 * took[0] + 0.2
+
+
+def test_spans_leave_the_texts(spark):
+    item = [f"q{k}" for k in range(15)]
+    clean = " ".join(f"c{k}" for k in range(600))
+    rows = [(1, f"{clean} {' '.join(item)} {clean}", 9), (2, " ".join(item), 9), (3, clean, 9), (4, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars int")
+    benchmark = spark.createDataFrame([(7, " ".join(item)), (8, " ".join(f"z{k}" for k in range(20)))], "item_id long, text string")
+    for words in (1_000_000, 10):
+        got = {r.doc_id: (r.text, r.n_chars) for r in dec.decontaminated(docs, benchmark, block_words=words).collect()}
+        assert got == {1: (f"{clean}  {clean}", len(clean) * 2 + 2), 3: (clean, 9), 4: (None, None)}
+
+
 def test_spans_are_cut_out():
     assert dec.without_spans("Ab, cd! ef gh", [[1, 3]]) == "Ab,  gh"[:4] + " gh"
     assert dec.without_spans("one two", [[0, 2]]) == ""
