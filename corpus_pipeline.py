@@ -1,4 +1,11 @@
-"""A training-data pipeline over ``documents``: five stages, each writing what the next one reads."""
+"""A training-data pipeline over ``documents``: five stages, each writing what the next one reads.
+
+All stages take nulls in any column, empty and very long texts, repeated rows,
+empty tables and further columns of any name, which they carry along. A null or
+empty text isn't toxic, near to nothing and clean; of exact copies of it the one
+with the smallest id stays, and the mix takes it once. Rows without an id count
+as the largest id. Ties go as each operator's docstring says.
+"""
 
 from __future__ import annotations
 
@@ -28,16 +35,21 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that benchmark passages cover by a twentieth or more go; all others stay as they are."""
-    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return decontaminate.contamination(docs, benchmark).where("not contaminated").select("row.*")
+    """Documents that benchmark passages cover by a twentieth or more go; shorter passages are cut out of the others, and n_chars follows. All others stay as they are."""
+    return decontaminate.decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of the mix, with size, source_size, target, times and taken; names that ``docs`` has too get ``mix_`` before them."""
+    """Documents of the mix, with size, source_size, target, times and taken; names that ``docs`` has too get ``mix_`` before them until they are new."""
     mixed = mixing.fair_mix(docs, keep=docs.columns).where("times > 0")
     known = {c.lower() for c in docs.columns}
-    added = [F.col(c).alias(f"mix_{c}" if c in known else c) for c in ("size", "source_size", "target", "times", "taken")]
+    added = []
+    for c in ("size", "source_size", "target", "times", "taken"):
+        name = c
+        while name in known:
+            name = f"mix_{name}"
+        known.add(name)
+        added.append(F.col(c).alias(name))
     return mixed.select("row.*", *added)
 
 

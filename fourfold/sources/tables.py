@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 def shared_dir(spark: SparkSession) -> str:
     told = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not told and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir is not set: written tables need a folder that all executors share")
     return (told or "file:///tmp/checkpoints/fourfold").rstrip("/")
 
 
