@@ -87,18 +87,25 @@ def _tokens(sets: DataFrame) -> DataFrame:
     return sets.select("node", "label", "n", F.explode("hs").alias("h"))
 
 
-def _open_pairs(members: DataFrame, sets: DataFrame, percent: int, rare: int) -> DataFrame:
-    """Pairs that may be links between different components of a bucket, without meeting all members.
-
-    ``members`` is (key, node, label, out): buckets that hold several components,
-    ``out`` marking those outside the bucket's largest. A link between two
-    components shares shingles that both components hold, and at least
-    ``percent`` of either set. So nodes with fewer such shingles have no link
-    to another component and go, whatever their number; this is done twice, as
-    shingles may lose their second holder. Of the rest, a pair either shares a
-    shingle of at most ``rare`` holders (a join on those, from the rarest ones
-    that a link can't miss), or its frequent shingles alone must reach the share
-    (a join on the bucket that keeps only pairs whose counts allow it).
+def _labelled(df: DataFrame, labels: DataFrame) -> DataFrame:
+    """``df`` with each node's component in ``label``; nodes without links are their own."""
+    return df.drop("label").join(small(labels), "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+
+def _opened(members: DataFrame) -> DataFrame:
+    """Members (key, node, label) of buckets that hold several components, with ``out`` for those outside the bucket's largest."""
+    counts = members.groupBy("key", "label").agg(F.count(F.lit(1)).alias("many"))
+    several = counts.groupBy("key").agg(F.max_by("label", F.struct("many", "label")).alias("main"), F.count(F.lit(1)).alias("labels")).where("labels > 1").select("key", "main")
+    return cut(members.join(small(cut(several)), "key").withColumn("out", F.col("label") != F.col("main")).drop("main"))
+
+
+def _alive(sets: DataFrame, percent: int, rare: int) -> tuple[DataFrame, DataFrame]:
+    """Nodes that may have a link to another component, and the shingles (h, c holders) that several components hold.
+
+    A link between two components shares shingles that both hold, and at least
+    ``percent`` of either set; nodes with fewer such shingles (m) go, whatever
+    their number. This is done twice, as shingles may lose their second holder.
+    f of the m shingles have more than ``rare`` holders.
     """
     alive = sets
     for _ in range(2):
@@ -106,6 +113,24 @@ def _open_pairs(members: DataFrame, sets: DataFrame, percent: int, rare: int) ->
         holders = cut(holders)
         shared = _tokens(alive).join(small(holders), "h").groupBy("node").agg(F.count(F.lit(1)).alias("m"), F.count(F.when(F.col("c") > rare, 1)).alias("f"))
         alive = cut(alive.select("node", "label", "n", "hs").join(shared, "node").where(100 * F.col("m") >= percent * F.col("n")))
+    return alive, holders
+
+
+def _central_pairs(members: DataFrame) -> DataFrame:
+    """Each member with its bucket's most central one, that with the largest share of shingles that other components hold too."""
+    central = members.groupBy("key").agg(F.max_by(F.struct("node", "label"), F.struct(F.col("m") / F.col("n"), -F.col("node"))).alias("x"))
+    met = members.join(small(cut(central)), "key").where(F.col("label") != F.col("x.label"))
+    return met.select(F.least("node", "x.node").alias("a"), F.greatest("node", "x.node").alias("b")).distinct()
+
+
+def _open_pairs(members: DataFrame, alive: DataFrame, holders: DataFrame, percent: int, rare: int) -> DataFrame:
+    """Pairs that may yet be links between different components of a bucket, without meeting all members.
+
+    A pair either shares a shingle of at most ``rare`` holders (a join on those,
+    from the rarest ones that a link can't miss), or its frequent shingles alone
+    must reach the share (a join on the bucket that keeps only pairs whose
+    counts allow it).
+    """
     outs = members.where("out").select("node").distinct()
     seldom = _tokens(alive).join(holders.where(F.col("c") <= rare), "h")
     # n - ceil(n * percent / 100) + 1 shingles can't all be missed; those that no other component holds come first and meet nobody
@@ -114,7 +139,7 @@ def _open_pairs(members: DataFrame, sets: DataFrame, percent: int, rare: int) ->
     asked = seldom.join(outs, "node").join(alive.select("node", "m"), "node").withColumn("place", place).where(F.col("place") <= need)
     asked = asked.select(F.col("node").alias("o"), F.col("label").alias("lo"), "h")
     by_shingle = asked.join(seldom.select("node", "label", "h"), "h").where("lo <> label").select(F.least("o", "node").alias("a"), F.greatest("o", "node").alias("b"))
-    often = cut(members.join(alive.where(100 * F.col("f") >= F.col("n") * percent).select("node", "n", "f"), "node"))
+    often = cut(members.where(100 * F.col("f") >= F.col("n") * percent))
     left = often.where("out").select("key", *[F.col(c).alias(f"{c}_o") for c in ("node", "label", "n", "f")])
     common = F.least("f", "f_o")
     may = (F.col("label") != F.col("label_o")) & (100 * common >= percent * (F.col("n") + F.col("n_o") - common)) & (~F.col("out") | (F.col("node_o") < F.col("node")))
@@ -130,9 +155,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Each distinct set has a SuperMinHash signature of bands * rows positions.
     In the bucket of a band, every member meets the smallest; pairs are verified
     on whole shingle sets, and union-find turns links into components. Where a
-    bucket still holds several components, bounds on the shingles that these
-    share leave the pairs that may yet be links (``_open_pairs``); they are
-    verified too. No pair of a bucket is skipped unless it is in one component
+    bucket still holds several components, members with too few shingles in
+    common with other components go (``_alive``), the rest meet the bucket's most
+    central member, and bounds on the shared shingles leave the pairs that may
+    yet be links (``_open_pairs``); they are verified too. No pair of a bucket is skipped unless it is in one component
     already or its counts rule a link out. A pair at 75 % shares no bucket with
     probability 5e-6.
 
@@ -161,12 +187,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = cut(arrays.withColumn("n", F.size("hs").cast("long")))
     pairs = members.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     labels = cut(components(_linked(pairs, sets, percent)))
-    own = members.select("key", "node").join(small(labels), "node", "left").withColumn("label", F.coalesce("label", "node"))
-    counts = own.groupBy("key", "label").agg(F.count(F.lit(1)).alias("many"))
-    several = cut(counts.groupBy("key").agg(F.max_by("label", F.struct("many", "label")).alias("main"), F.count(F.lit(1)).alias("labels")).where("labels > 1").select("key", "main"))
-    left_open = cut(own.join(small(several), "key").select("key", "node", "label", (F.col("label") != F.col("main")).alias("out")))
-    open_sets = sets.join(small(cut(left_open.select("node", "label").distinct())), "node")
-    found = _linked(cut(_open_pairs(left_open, open_sets, percent, rare)), sets, percent)
+    left_open = _opened(_labelled(members.select("key", "node"), labels))
+    alive, holders = _alive(sets.join(small(cut(left_open.select("node", "label").distinct())), "node"), percent, rare)
+    left_open = cut(left_open.select("key", "node", "label").join(alive.select("node", "n", "m", "f"), "node"))
+    labels = _merged(labels, _linked(cut(_central_pairs(left_open)), sets, percent))
+    left_open = _opened(_labelled(left_open, labels))
+    found = _linked(cut(_open_pairs(left_open, cut(_labelled(alive, labels)), holders, percent, rare)), sets, percent)
     labels = _merged(labels, found)
     linked = cut(labels.unionByName(labels.select(F.col("label").alias("node"), "label").distinct()).join(classes.select("node", "first"), "node"))
     least = cut(linked.groupBy("label").agg(F.min("first").alias("least")))
