@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fourfold.catalog import core, series, space
+from fourfold.catalog import core, more, series, space
 
-QUERIES = core.QUERIES | series.QUERIES | space.QUERIES
-SQL = core.SQL | series.SQL | space.SQL
+QUERIES = core.QUERIES | series.QUERIES | space.QUERIES | more.QUERIES
+SQL = core.SQL | series.SQL | space.SQL | more.SQL

@@ -209,23 +209,23 @@ def classify(fm: float, fs: float, ms: float, low: float = 0.5, high: float = 2.
     return next((name for holds, name in table if holds), "unknown")
 
 
-def track_moments(df: DataFrame, c: str, by: Sequence[str], order: Sequence[str], alpha: float = 0.01) -> DataFrame:
+def track_moments(df: DataFrame, c: str, by: Sequence[str], order: Sequence[str], alpha: float = 0.01, carry: Sequence[str] = ()) -> DataFrame:
     """Thresholds and code after each row (update first, then encode)."""
 
     def step(state: dict, row: dict) -> dict:
         t = state.setdefault("t", MomentTracker(alpha)).step(row[c])
         return {"n": t.n, "mean": t.mean, "std": t.std, "threshold_i": t.ti, "threshold_q": t.tq, "s": code(row[c], t.ti, t.tq)}
 
-    return scan(df, by, order, step, dict, {"n": "long", "mean": "double", "std": "double", "threshold_i": "double", "threshold_q": "double", "s": "tinyint"}, [c])
+    return scan(df, by, order, step, dict, {"n": "long", "mean": "double", "std": "double", "threshold_i": "double", "threshold_q": "double", "s": "tinyint"}, [c], carry)
 
 
-def track_shape(df: DataFrame, c: str, by: Sequence[str], order: Sequence[str], window: int = 1000, every: int = 100) -> DataFrame:
+def track_shape(df: DataFrame, c: str, by: Sequence[str], order: Sequence[str], window: int = 1000, every: int = 100, carry: Sequence[str] = ()) -> DataFrame:
     def step(state: dict, row: dict) -> dict:
         t = state.setdefault("t", ShapeTracker(window, every=every)).step(row[c])
         f = t.found or {"modality": 1, "skew": 0.0, "kurt": 0.0}
         return {"threshold_i": t.ti, "threshold_q": t.tq, "strategy": t.strategy, "modality": f["modality"], "skew": f["skew"], "kurt": f["kurt"], "changed": t.changed(), "s": code(row[c], t.ti, t.tq)}
 
-    return scan(df, by, order, step, dict, {"threshold_i": "double", "threshold_q": "double", "strategy": "string", "modality": "int", "skew": "double", "kurt": "double", "changed": "boolean", "s": "tinyint"}, [c])
+    return scan(df, by, order, step, dict, {"threshold_i": "double", "threshold_q": "double", "strategy": "string", "modality": "int", "skew": "double", "kurt": "double", "changed": "boolean", "s": "tinyint"}, [c], carry)
 
 
 def track_scales(df: DataFrame, c: str, by: Sequence[str], order: Sequence[str], every: int = 50) -> DataFrame:

@@ -7,6 +7,7 @@ rules rewrite the coordinates that fall outside.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -288,6 +289,92 @@ def components(df: DataFrame, target: int | None = 3, full: bool = False) -> Dat
     return _components(cells, ("x", "y"), [(1, 0), (0, 1), *([(1, 1), (-1, 1)] if full else [])])
 
 
+VOLUME = ("field_id", "x", "y", "z")
+
+
+def components3(df: DataFrame, target: int | None = 3, connectivity: int = 1) -> DataFrame:
+    """Components of a volume's target cells by 6 (1), 18 (2) or 26 (3) neighbours; labels rank their first cells."""
+    cells = df.where(F.col("s") == target if target is not None else F.col("s") != 0)
+    side = (-1, 0, 1)
+    half = [(dx, dy, dz) for dx in side for dy in side for dz in side if (dz, dy, dx) > (0, 0, 0) and abs(dx) + abs(dy) + abs(dz) <= connectivity]
+    return _components(cells, ("x", "y", "z"), half)
+
+
+def _moved(axis: str, boundary: str) -> Column:
+    """A coordinate that may lie outside, brought back inside by a boundary rule."""
+    x, n = F.col(axis), F.col(f"n_{axis}")
+    if boundary == "periodic":
+        return F.pmod(x, n)
+    if boundary == "extend":
+        return F.least(F.greatest(x, F.lit(0)), n - 1)
+    if boundary == "reflect":
+        return F.when(x < 0, -x).when(x >= n, 2 * n - 1 - x).otherwise(x)
+    return x
+
+
+def convolve3(df: DataFrame, weights: dict[tuple[int, int, int], float] | None = None, boundary: str = "zero") -> DataFrame:
+    """The state with the largest sum of weights around each cell of a volume; ties go by ``TIE``.
+
+    Without ``weights`` all 27 cells count alike. Outside a volume lie empty
+    cells (zero) or its own ones (periodic, reflect, extend); constant leaves
+    out what lies outside. A cell looks at its neighbours' places once moved, by
+    one join on coordinates.
+    """
+    if boundary not in BOUNDARIES:
+        raise ValueError(f"unknown boundary: {boundary}")
+    side = (-1, 0, 1)
+    weights = weights or {(dx, dy, dz): 1.0 for dx in side for dy in side for dz in side}
+    offsets = F.array(*[F.struct(*[F.lit(o).alias(c) for o, c in zip(k, "xyz", strict=True)], F.lit(float(w)).alias("w")) for k, w in weights.items()])
+    size = df.groupBy("field_id").agg(*[(F.max(c) + 1).alias(f"n_{c}") for c in "xyz"])
+    asked = df.select(*VOLUME).join(F.broadcast(size), "field_id").withColumn("o", F.explode(offsets))
+    asked = asked.select("field_id", *[F.col(c).alias(f"to_{c}") for c in "xyz"], *[(F.col(c) + F.col(f"o.{c}")).alias(c) for c in "xyz"], *[f"n_{c}" for c in "xyz"], "o.w")
+    asked = asked.select("field_id", "w", *[f"to_{c}" for c in "xyz"], *[_moved(c, boundary).cast("int").alias(c) for c in "xyz"])
+    found = asked.join(df.select(*VOLUME, "s"), list(VOLUME), "left" if boundary == "zero" else "inner")
+    s = F.coalesce("s", st.lit(0))
+    sums = found.groupBy("field_id", *[f"to_{c}" for c in "xyz"]).agg(*[F.sum(F.when(s == k, F.col("w")).otherwise(0.0)).alias(f"n{k}") for k in range(4)])
+    return sums.select("field_id", *[F.col(f"to_{c}").alias(c) for c in "xyz"], majority().cast("tinyint").alias("s"))
+
+
+def gaussian3(size: int = 3, sigma: float = 1.0) -> dict[tuple[int, int, int], float]:
+    """Weights of a cube of odd ``size``, summing to 1."""
+    r = range(-(size // 2), size // 2 + 1)
+    raw = {(x, y, z): math.exp(-(x * x + y * y + z * z) / (2 * sigma * sigma)) for x in r for y in r for z in r}
+    total = sum(raw.values())
+    return {k: v / total for k, v in raw.items()}
+
+
+def betti3(df: DataFrame, target: int = 3) -> DataFrame:
+    """Betti numbers of a volume's target cells as unit cubes that touch by faces, for each field.
+
+    b0 counts components by 6 neighbours, b2 the holes: components of the rest
+    by 26 neighbours that don't reach the volume's border. b1 follows from the
+    Euler number of cells, faces, edges and corners between them:
+    b1 = b0 + b2 - euler.
+    """
+    own = df.where(F.col("s") == target).select(*VOLUME)
+    parts = []
+    for sign, shifts in ((1, [(0, 0, 0)]), (-1, [(1, 0, 0), (0, 1, 0), (0, 0, 1)]), (1, [(1, 1, 0), (1, 0, 1), (0, 1, 1)]), (-1, [(1, 1, 1)])):
+        for dx, dy, dz in shifts:
+            cells = [(a, b, c) for a in range(dx + 1) for b in range(dy + 1) for c in range(dz + 1)]
+            sent = own.select("field_id", F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(c).alias("c")) for a, b, c in cells])).alias("o"), *"xyz")
+            met = sent.groupBy("field_id", (F.col("x") - F.col("o.a")).alias("x"), (F.col("y") - F.col("o.b")).alias("y"), (F.col("z") - F.col("o.c")).alias("z")).agg(F.count(F.lit(1)).alias("n"))
+            parts.append(met.where(F.col("n") == len(cells)).select("field_id", F.lit(sign).alias("k")))
+    euler = parts[0]
+    for p in parts[1:]:
+        euler = euler.unionByName(p)
+    chi = euler.groupBy("field_id").agg(F.sum("k").alias("euler"))
+    b0 = components3(df, target).groupBy("field_id").agg(F.max("label").alias("b0"))
+    rest = df.withColumn("s", (F.col("s") != target).cast("tinyint"))
+    size = df.groupBy("field_id").agg(*[(F.max(c)).alias(f"n_{c}") for c in "xyz"])
+    border = F.lit(False)
+    for c in "xyz":
+        border = border | (F.col(c) == 0) | (F.col(c) == F.col(f"n_{c}"))
+    holes = components3(rest, 1, 3).join(F.broadcast(size), "field_id").groupBy("field_id", "label").agg(F.bool_or(border).alias("open")).groupBy("field_id").agg(F.count_if(~F.col("open")).alias("b2"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    out = size.select("field_id").join(chi, "field_id", "left").join(b0, "field_id", "left").join(holes, "field_id", "left")
+    return out.select("field_id", zero("b0").alias("b0"), (zero("b0") + zero("b2") - zero("euler")).alias("b1"), zero("b2").alias("b2"), zero("euler").alias("euler"))
+
+
 def euler(df: DataFrame, target: int = 3) -> DataFrame:
     """Cells, edges and faces of the target set (4-neighbours) and their alternating sum, for each field."""
     own = df.where(F.col("s") == target)

@@ -195,3 +195,27 @@ def bootstrap(df: DataFrame, c: str, replicates: int = 100, confidence: float =
     low, high = (1 - confidence) / 2, (1 + confidence) / 2
     parts = [f for k in ("ti", "tq") for f in (F.avg(k).alias(f"{k}_mean"), F.stddev_pop(k).alias(f"{k}_std"), F.percentile(k, F.lit(low)).alias(f"{k}_low"), F.percentile(k, F.lit(high)).alias(f"{k}_high"))]
     return each.agg(*parts, F.count(F.lit(1)).alias("replicates")).withColumn("stability", 1 / (1 + F.col("ti_std") + F.col("tq_std")))
+
+
+class MultiFeatureThresholds:
+    """A threshold learner for each feature; each fits the table's column of its name where there is one."""
+
+    def __init__(self) -> None:
+        self.learners: dict[str, Callable[[DataFrame, str], tuple[float, float]]] = {}
+        self.thresholds: dict[str, tuple[float, float]] = {}
+
+    def add_feature(self, name: str, learner: Callable[[DataFrame, str], tuple[float, float]] = percentile_thresholds) -> MultiFeatureThresholds:
+        self.learners[name] = learner
+        return self
+
+    def fit(self, df: DataFrame) -> MultiFeatureThresholds:
+        self.thresholds = {n: f(df, n) for n, f in self.learners.items() if n in df.columns}
+        return self
+
+    def get_thresholds(self, name: str) -> tuple[float, float]:
+        if name not in self.thresholds:
+            raise KeyError(f"no thresholds for {name}")
+        return self.thresholds[name]
+
+    def get_all_thresholds(self) -> dict[str, tuple[float, float]]:
+        return dict(self.thresholds)

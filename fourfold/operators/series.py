@@ -99,9 +99,12 @@ def fold(df: DataFrame, by: Sequence[str], order: Sequence[str], row: Column, st
     return df.groupBy(*by).agg(done.alias(out))
 
 
-def scan(df: DataFrame, by: Sequence[str], order: Sequence[str], step: Callable[[dict, pd.Series], dict], start: Callable[[], dict], outputs: dict[str, str], inputs: Sequence[str]) -> DataFrame:
-    """The state after every row, in order; one pass over each key's rows, which are sorted by the shuffle."""
-    keep = list(dict.fromkeys([*by, *order, *inputs]))
+def scan(df: DataFrame, by: Sequence[str], order: Sequence[str], step: Callable[[dict, pd.Series], dict], start: Callable[[], dict], outputs: dict[str, str], inputs: Sequence[str], carry: Sequence[str] = ()) -> DataFrame:
+    """The state after every row, in order; one pass over each key's rows, which are sorted by the shuffle.
+
+    Rows keep ``by``, ``order``, ``inputs`` and those of ``carry`` that no output replaces.
+    """
+    keep = list(dict.fromkeys([*by, *order, *inputs, *(c for c in carry if c not in outputs)]))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema.fields) + ", " + ", ".join(f"`{k}` {t}" for k, t in outputs.items())
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -149,14 +152,14 @@ def macd(df: DataFrame, c: str, by: Sequence[str], order: Sequence[str], fast: i
     return scan(df, by, order, step, dict, {"macd": "double", "signal": "double", "histogram": "double"}, [c])
 
 
-def score_fold(df: DataFrame, s: str, by: Sequence[str], order: Sequence[str], scores: dict[int, float], decay: float = 0.9, bound: float = 10.0, buy: float = 0.7, sell: float = -0.7) -> DataFrame:
+def score_fold(df: DataFrame, s: str, by: Sequence[str], order: Sequence[str], scores: dict[int, float], decay: float = 0.9, bound: float = 10.0, buy: float = 0.7, sell: float = -0.7, carry: Sequence[str] = ()) -> DataFrame:
     """score = clip(decay * score + weight of the state, +-bound) after each row, and its decision."""
 
     def step(state: dict, row: dict) -> dict:
         state["v"] = max(-bound, min(bound, decay * state.get("v", 0.0) + scores[int(row[s])]))
         return {"score": state["v"], "decision": "buy" if state["v"] >= buy else "sell" if state["v"] <= sell else "hold"}
 
-    return scan(df, by, order, step, dict, {"score": "double", "decision": "string"}, [s])
+    return scan(df, by, order, step, dict, {"score": "double", "decision": "string"}, [s], carry)
 
 
 def accumulate(df: DataFrame, s: str, by: Sequence[str], order: Sequence[str], weights: dict[int, float], threshold: float = 3.0, decay: float = 0.9) -> DataFrame:

@@ -155,6 +155,40 @@ def persistence_h0(points: DataFrame, id_col: str = "id", vec: str = "p", by: st
     return finite.unionByName(points.select(*(named or [F.lit(1).alias("one")])).distinct().select(*named, F.lit(0).alias("dim"), F.lit(0.0).alias("birth"), F.lit(float("inf")).alias("death")))
 
 
+def betti_curves(points: DataFrame, thresholds: Sequence[float], id_col: str = "id", vec: str = "p") -> DataFrame:
+    """(threshold, b0, b1) of the whole cloud as the threshold grows: deaths of the spanning tree and counts of pairs up to it.
+
+    One spanning tree and one pass over blocks serve all thresholds.
+    """
+    n = points.count()
+    tree = written(spanning_tree(points, None, id_col, vec))
+    steps = points.sparkSession.createDataFrame([(float(t),) for t in thresholds], "threshold double")
+    joined = steps.join(tree, F.col("d") <= F.col("threshold"), "left").groupBy("threshold").agg(F.count("d").alias("under"))
+    pairs = pair_counts(points, [math.nextafter(float(t), math.inf) for t in thresholds], id_col, vec)
+    edges = steps.join(pairs, F.abs(F.col("r") - F.col("threshold")) <= 1e-12 * F.abs(F.col("threshold"))).select("threshold", "pairs")
+    b0 = F.lit(n) - F.col("under")
+    return joined.join(edges, "threshold").select("threshold", b0.alias("b0"), F.greatest(F.lit(0), F.col("pairs") - n + b0).alias("b1"))
+
+
+def clusters_by_betti(curves: DataFrame) -> DataFrame:
+    """The most frequent b0 over the thresholds; ties go to the smallest."""
+    counts = curves.groupBy("b0").agg(F.count(F.lit(1)).alias("n"))
+    return counts.agg(F.min_by("b0", F.struct(-F.col("n"), F.col("b0"))).alias("clusters"))
+
+
+def loops_by_betti(curves: DataFrame) -> DataFrame:
+    """The largest b1 over the thresholds."""
+    return curves.agg(F.max("b1").alias("loops"))
+
+
+def betti_signature(b0: Column, b1: Column, b2: Column | None = None) -> Column:
+    return F.format_string("β₀=%d-β₁=%d-β₂=%d", b0, b1, F.lit(0) if b2 is None else b2)
+
+
+def complexity(b0: Column, b1: Column, b2: Column | None = None) -> Column:
+    return b0 + 2 * b1 + 3 * (F.lit(0) if b2 is None else b2)
+
+
 def _tree(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Lengths and ends of the edges of the minimum spanning tree (Prim)."""
     n = len(data)
@@ -600,3 +634,35 @@ def transition_matrix(edges: DataFrame) -> DataFrame:
     """Share of each target among a state's edges."""
     counts = edges.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
     return counts.select("a", "b", (F.col("n") / F.sum("n").over(Window.partitionBy("a"))).alias("p"))
+
+
+def reachability(edges: DataFrame) -> DataFrame:
+    """(source, target, reachable) for all sixteen pairs of states."""
+    found = paths(edges.sparkSession, edges).select("source", "target").distinct().withColumn("reachable", F.lit(True))
+    every = edges.sparkSession.range(16).select(F.expr("cast(id div 4 as int)").alias("source"), (F.col("id") % 4).cast("int").alias("target"))
+    return every.join(F.broadcast(found), ["source", "target"], "left").withColumn("reachable", F.coalesce("reachable", F.lit(False)))
+
+
+def compare_strategies(found: DataFrame, strategies: Sequence[str] = ("cost", "risk", "length")) -> DataFrame:
+    """The best path of each pair by each strategy, one under the other."""
+    out = None
+    for by in strategies:
+        one = best_path(found, by).withColumn("strategy", F.lit(by))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def mapper_values(nodes: DataFrame, points: DataFrame, value: Column, id_col: str = "id") -> DataFrame:
+    """Mean of a value over each node's members."""
+    return nodes.join(points.select(F.col(id_col).alias("member"), value.alias("v")), "member").groupBy("node").agg(F.avg("v").alias("value"), F.count(F.lit(1)).alias("n"))
+
+
+def mapper_summary(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Nodes, edges, mean node size, mean degree and components of a mapper graph."""
+    each = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("n"))
+    numbered = written(each.select("node", "n", F.monotonically_increasing_id().alias("id")))
+    at = lambda x: numbered.select(F.col("node").alias(x), F.col("id").alias(f"id_{x}"))
+    links = written(edges.join(at("a"), "a").join(at("b"), "b").select(F.col("id_a").alias("a"), F.col("id_b").alias("b")))
+    under = graphs.components(links).agg(F.count(F.lit(1)).alias("under"))
+    counts = numbered.agg(F.count(F.lit(1)).alias("nodes"), F.avg("n").alias("mean_size")).join(F.broadcast(links.agg(F.count(F.lit(1)).alias("edges")))).join(F.broadcast(under))
+    return counts.select("nodes", "edges", "mean_size", F.coalesce(F.try_divide(2 * F.col("edges"), F.col("nodes")), F.lit(0.0)).alias("mean_degree"), (F.col("nodes") - F.col("under")).alias("components"))

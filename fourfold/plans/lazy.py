@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from fourfold.functions import state as st
 from fourfold.operators import fields
+from fourfold.sources.tables import written
 
 _POINT = ("gate", "admit", "comp", "neg_i", "neg_q")
 _NEAR = {"dilate": fields.dilate, "erode": fields.erode, "smooth": fields.smooth, "detect_boundaries": lambda df, radius=1: fields.boundaries(df)}
@@ -95,6 +96,48 @@ class FieldQuery:
                 df = _NEAR[name](df, arg)
         return df
 
+    @property
+    def padding(self) -> int:
+        """Cells around a region that its result depends on; -1 where a step isn't known to be local."""
+        total = 0
+        for name, arg in self.steps:
+            if name == "apply":
+                return -1
+            if name in {"overlay", "weave"} and isinstance(arg, FieldQuery):
+                inner = arg.padding
+                if inner < 0:
+                    return -1
+                total = max(total, inner)
+            elif name in _NEAR:
+                total += arg
+        return total
+
+    def materialize_region(self, x0: int, x1: int, y0: int, y1: int) -> DataFrame:
+        """The result in a half-open rectangle, in the field's own coordinates.
+
+        Only the rectangle and its padding are read, so the filter reaches the
+        source; at the field's own edges the padding ends with the field.
+        """
+        inside = lambda df, p: df.where(F.col("x").between(x0 - p, x1 - 1 + p) & F.col("y").between(y0 - p, y1 - 1 + p))
+        if self.padding < 0:
+            return inside(self.compute(), 0)
+        cut_steps = tuple((n, replace(a, source=inside(a.source, self.padding)) if isinstance(a, FieldQuery) else a) for n, a in self.steps)
+        return inside(replace(self, source=inside(self.source, self.padding), steps=cut_steps).compute(), 0)
+
+    def materialize_all(self) -> DataFrame:
+        """The whole result, written once and read back."""
+        return written(self.compute())
+
+    def stream_rows(self, rows: int = 64) -> Iterator[DataFrame]:
+        """The result in bands of ``rows`` lines, each computed on its own with its padding."""
+        lo, hi, left, right = self.source.agg(F.min("y"), F.max("y"), F.min("x"), F.max("x")).first()
+        for y in range(lo, hi + 1, rows) if lo is not None else ():
+            yield self.materialize_region(left, right + 1, y, min(y + rows, hi + 1))
+
+    def estimate_memory_mb(self) -> float:
+        """Two bytes a cell."""
+        return self.source.count() * 2 / 1e6
+
     def explain(self) -> str:
         show = lambda steps: " -> ".join(n if n != "point" else f"point{st.simplify(a)}" for n, a in steps) or "nothing"
         return f"steps: {show(self.steps)}\nafter folding: {show(self.optimised())}"

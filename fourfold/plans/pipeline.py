@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fourfold.functions import state as st
-from fourfold.operators import interpret, learn
-from fourfold.operators.preprocess import Imputer, Outliers, RobustScaler, StandardScaler, Step, value
+from fourfold.operators import adaptive, interpret, learn, series
+from fourfold.operators.preprocess import Imputer, Outliers, RobustScaler, StandardScaler, Step, series_features, value
 
 
 @dataclass
@@ -27,15 +27,19 @@ class ChannelPipeline:
     rules: dict[int, str] | None = None
     label: str | None = None
     params: dict | None = None
+    #: A table transform that gives ``s`` itself (an encoder that follows the rows' order), and one that gives ``decision``.
+    encode_rows: Callable[[DataFrame], DataFrame] | None = None
+    decide_rows: Callable[[DataFrame], DataFrame] | None = None
+    verbose: bool = False
 
     def fit(self, df: DataFrame) -> ChannelPipeline:
         rows = df
         for s in self.steps:
             rows = s.fit_transform(rows)
-        ti, tq = self.encoder(rows, self.column)
+        ti, tq = (None, None) if self.encode_rows else self.encoder(rows, self.column)
         self.params = {"threshold_i": ti, "threshold_q": tq, "table": None}
         if self.label:
-            coded = rows.withColumn("s", st.encode(self.column, ti, tq))
+            coded = self.encode_rows(rows) if self.encode_rows else rows.withColumn("s", st.encode(self.column, ti, tq))
             table = {int(r.s): str(r.decision) for r in interpret.modal_labels(coded, "s", self.label).collect()}
             mode = coded.where(F.col(self.label).isNotNull()).groupBy(self.label).count().orderBy(F.desc("count"), self.label).first()
             self.params["table"] = {k: table.get(k, str(mode[0]) if mode else st.SYMBOLS[k]) for k in range(4)}
@@ -49,17 +53,42 @@ class ChannelPipeline:
             df = s.transform(df)
         if until == "preprocess":
             return df
-        df = df.withColumn("s", st.encode(self.column, self.params["threshold_i"], self.params["threshold_q"]))
-        return df if until == "encode" else df.withColumn("decision", interpret.rules("s", self.params["table"] or self.rules))
+        df = self.encode_rows(df) if self.encode_rows else df.withColumn("s", st.encode(self.column, self.params["threshold_i"], self.params["threshold_q"]))
+        if until == "encode":
+            return df
+        return self.decide_rows(df) if self.decide_rows else df.withColumn("decision", interpret.rules("s", self.params["table"] or self.rules))
+
+    def get_stage_output(self, df: DataFrame, stage: str) -> DataFrame:
+        """The rows after ``preprocess``, ``encode`` or ``interpret``."""
+        if stage not in {"preprocess", "encode", "interpret"}:
+            raise ValueError(f"unknown stage: {stage}")
+        return self.transform(df, stage)
 
     def fit_transform(self, df: DataFrame) -> DataFrame:
-        return self.fit(df).transform(df)
+        out = self.fit(df).transform(df)
+        if self.verbose:
+            print(self.summary())
+        return out
 
     def summary(self) -> str:
         lines = [f"column {self.column}", *(f"preprocess {type(s).__name__}({', '.join(s.columns)})" for s in self.steps), f"encode {getattr(self.encoder, '__name__', 'encoder')}"]
         return "\n".join([*lines, f"interpret {'lookup by ' + self.label if self.label else 'rules'}", "fitted" if self.params else "not fitted"])
 
 
+class SeriesFeatures(Step):
+    """Features of each group's series, one row a group; the column becomes one of them. Nothing to fit."""
+
+    def __init__(self, column: str, order: list[str], by: list[str], window: int = 10, feature: str = "mean"):
+        super().__init__(column)
+        self.order, self.by, self.window, self.feature = order, by, window, feature
+
+    def fit(self, df: DataFrame) -> SeriesFeatures:
+        return self
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return series_features(df, self.columns[0], self.order, self.by, self.window).withColumn(self.columns[0], F.col(self.feature))
+
+
 class PipelineBuilder:
     """Fluent construction of a pipeline over one column."""
 
@@ -91,6 +120,30 @@ class PipelineBuilder:
         self._made.encoder = lambda df, c: (ti, tq)
         return self
 
+    def with_time_series_features(self, order: list[str], by: list[str], window: int = 10, feature: str = "mean") -> PipelineBuilder:
+        """Features of the value column's series within ``by`` in the order of ``order``; ``feature`` is encoded."""
+        return self._step(SeriesFeatures(self._made.column, order, by, window, feature))
+
+    def with_adaptive_encoding(self, order: list[str], by: list[str], alpha: float = 0.01) -> PipelineBuilder:
+        """States by thresholds that follow each group's values."""
+        self._made.encode_rows = lambda df: adaptive.track_moments(df, self._made.column, by, order, alpha, df.columns)
+        return self
+
+    def with_topology_encoding(self, order: list[str], by: list[str], window: int = 1000, every: int = 100) -> PipelineBuilder:
+        """States by thresholds that follow the shape of each group's recent values."""
+        self._made.encode_rows = lambda df: adaptive.track_shape(df, self._made.column, by, order, window, every, df.columns)
+        return self
+
+    def with_score_based_interpretation(self, order: list[str], by: list[str], scores: dict[int, float] | None = None) -> PipelineBuilder:
+        """Decisions by a score that adds up over each group's states and fades."""
+        self._made.decide_rows = lambda df: series.score_fold(df, "s", by, order, scores or interpret.DEFAULT_SCORES, carry=df.columns)
+        return self
+
+    def verbose(self, on: bool = True) -> PipelineBuilder:
+        """Print the summary after ``fit_transform``."""
+        self._made.verbose = on
+        return self
+
     def with_rule_based_interpretation(self, rules: dict[int, str] | None = None) -> PipelineBuilder:
         self._made.rules = rules
         return self

@@ -15,6 +15,8 @@ SF = "/root/testdata/sf0.001"
 SOME = [
     "state_histogram", "state_fractions", "algebra_binary", "lattice_chains", "nested_match", "weighted_vote", "combine_full", "impute_linear", "ts_features", "encode_multi_vote", "learn_mutual_info", "interpret_ensemble",
     "pattern_sequences", "pipeline_end_to_end", "q_consistency", "ind_rsi", "ind_macd", "fsm_fold", "backtest_fold", "adaptive_streaming", "longest_gap", "score_density", "st_mann_whitney", "med_alerts", "stream_session",
+    "close_pairs", "correlation_dimension", "cloud_covariance", "mapper_first_coordinate", "persistence_h0", "persistence_entropy", "scorer_explain", "quality_report", "stability_report", "compare_explainability", "combinator_edges",
+    "volume_components_2", "volume_convolve_periodic", "volume_betti", "field_lazy_region", "builder_score", "betti_tracker", "mapper_summary", "transition_strategies",
     "field_convolve_reflect", "field_smooth", "field_components", "betti_threshold", "transition_paths",
 ]
 

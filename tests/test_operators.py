@@ -9,9 +9,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fourfold.functions import scoring
+from fourfold.functions import scorer, scoring
 from fourfold.functions import state as st
-from fourfold.operators import adaptive, apps, fields, interpret, learn, metrics, preprocess, series, topology
+from fourfold.operators import adaptive, apps, combinators, fields, graphs, interpret, learn, metrics, preprocess, series, topology
 from fourfold.plans import pipeline
 from fourfold.plans.lazy import query
 from fourfold.sources import generators
@@ -290,3 +290,45 @@ def test_generators(spark):
     assert generators.state_chain(spark, 20).first().s == 3 and generators.state_cycle(spark, 30).count() == 30
     assert generators.nested_states(spark).agg(F.max(F.size("levels"))).first()[0] <= 3 and generators.parallel_channels(spark).first().channels.keys() == {"technical", "business", "team", "market"}
     assert generators.signal(spark, 10).count() == 10 and generators.states(spark, 4, 2).agg(F.sum("s")).first()[0] == 8 and generators.rate_stream(spark).isStreaming
+
+
+def test_spanning_forest_over_rounds(spark):
+    """Rounds of joins give the edges that one sorted pass gives."""
+    rng = np.random.default_rng(4)
+    data = rng.normal(size=(90, 5))
+    points = spark.createDataFrame([(k, p.tolist()) for k, p in enumerate(data)], "id long, p array<double>")
+    want = np.sort(topology.spanning_edges(data))
+    tree = topology.spanning_tree(points, block=20)
+    assert np.allclose(np.sort([r.d for r in tree.collect()]), want)
+    d = topology.distances(data)
+    edges = spark.createDataFrame([(a, b, float(d[a, b])) for a in range(90) for b in range(a + 1, 90)], "a long, b long, d double")
+    assert np.allclose(np.sort([r.d for r in graphs.spanning_forest(edges, limit=200).collect()]), want)
+
+
+def test_hollow_volume(spark):
+    """A hollow cube has one hole, a frame around a tunnel one loop."""
+    inside = (F.col("x").between(1, 3)) & (F.col("y").between(1, 3)) & (F.col("z").between(1, 3))
+    core = (F.col("x") == 2) & (F.col("y") == 2) & (F.col("z") == 2)
+    tunnel = (F.col("x") == 2) & (F.col("y") == 2)
+    for keep, want in ((inside & ~core, (1, 0, 1)), (inside & ~tunnel, (1, 1, 0)), (inside & ~core & ~tunnel & (F.col("z") > 9), (0, 0, 0))):
+        v = fields.grid3(spark, 5, 5, 5, F.when(keep, 3).otherwise(0))
+        assert tuple(fields.betti3(v).select("b0", "b1", "b2").first()) == want
+
+
+def test_scorer_history(spark, tmp_path):
+    df = spark.createDataFrame([(0.2, 1.0), (0.8, 0.0), (None, 1.0)], "v double, y double")
+    made = scorer.FeatureScorer().add_dimension("v2", lambda: F.col("v") * 1, 2.0).add_dimension("half", lambda: F.lit(None).cast("double"))
+    made.record_score(df, str(tmp_path / "h"), "y")
+    made.record_score(df, str(tmp_path / "h"))
+    history = spark.read.parquet(str(tmp_path / "h"))
+    got = {r.dimension: (r.n, r.min, r.max) for r in made.get_dimension_statistics(history).collect()}
+    assert got == {"v2": (6, 0.2, 0.8), "half": (6, 0.5, 0.5)} and history.where("outcome is null").count() == 3
+    with pytest.raises(ValueError):
+        scorer.preset("medical", strength=lambda: F.lit(1.0))
+
+
+def test_steps_of_combinators(spark):
+    f = fields.grid(spark, 4, 4, F.lit(2).cast("tinyint"))
+    made = combinators.Pipeline(f).apply_if(False, fields.erode).apply_if(lambda d: d.count() == 16, combinators.lift_point_to_field(st.admit)).get()
+    assert {r.s for r in made.collect()} == {3} and combinators.ReductionCombinator()(made).first().s == 3
+    assert combinators.feature_extraction_pipeline(made).count() == 16
