@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from fourfold.operators.quantiles import quantiles
 from fourfold.operators.series import scan
 
 
@@ -240,7 +241,7 @@ def gaps(df: DataFrame, c: str, *by: str, times: float = 3.0) -> DataFrame:
     """Steps between neighbouring values above ``times`` the median step, for each group."""
     w = Window.partitionBy(*by).orderBy(c)
     steps = df.select(*by, F.col(c).alias("low"), F.lead(c).over(w).alias("high")).where("high is not null")
-    typical = steps.groupBy(*by).agg(F.median(F.col("high") - F.col("low")).alias("__m"))
+    typical = quantiles(steps, [(F.col("high") - F.col("low"), {"__m": 0.5})], *by)
     return steps.join(typical, list(by)).where((F.col("__m") > 0) & (F.col("high") - F.col("low") > times * F.col("__m"))).drop("__m")
 
 
@@ -257,9 +258,9 @@ def histogram_modes(df: DataFrame, c: str, *by: str, bins: int = 50, share: floa
 
 
 def strategy(df: DataFrame, c: str, *by: str) -> DataFrame:
-    """Skewness, kurtosis and the strategy they ask for, and the thresholds, for each group in one aggregate."""
-    q = lambda p: F.percentile(c, F.lit(p))
-    agg = df.groupBy(*by).agg(F.coalesce(F.skewness(c), F.lit(0.0)).alias("skew"), F.coalesce(F.kurtosis(c), F.lit(0.0)).alias("kurt"), F.avg(c).alias("mean"), F.stddev_pop(c).alias("std"), q(0.5).alias("p50"), (q(0.75) - q(0.25)).alias("iqr"))
+    """Skewness, kurtosis and the strategy they ask for, and the thresholds, for each group."""
+    moments = [F.coalesce(F.skewness(c), F.lit(0.0)).alias("skew"), F.coalesce(F.kurtosis(c), F.lit(0.0)).alias("kurt"), F.avg(c).alias("mean"), F.stddev_pop(c).alias("std")]
+    agg = quantiles(df, [(F.col(c), {"p25": 0.25, "p50": 0.5, "p75": 0.75})], *by, also=moments).withColumn("iqr", F.col("p75") - F.col("p25"))
     heavy, right, left = F.col("kurt") > 3, F.col("skew") > 1, F.col("skew") < -1
     name = F.when(heavy, "heavy_tailed").when(right | left, "skewed").otherwise("normal")
     ti = F.when(heavy | right, F.col("p50")).when(left, F.col("p50") - 0.5 * F.col("iqr")).otherwise(F.col("mean"))

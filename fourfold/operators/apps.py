@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from fourfold.functions import state as st
 from fourfold.operators import series
+from fourfold.operators.quantiles import quantiles
 
 # trading
 
@@ -23,7 +24,7 @@ def trading_channels(bars: DataFrame, by: Sequence[str], order: Sequence[str]) -
     mean = series.sma("volume", w, 50)
     rows = rows.withColumn("__ma", mean).withColumn("price", (bit(F.col("close") > series.sma("close", w, 20)) * 2 + bit((F.col("rsi") > 60) | (F.col("rsi") < 40))).cast("tinyint"))
     rows = rows.withColumn("volume_state", (bit(F.col("volume") > F.col("__ma")) * 2 + bit(F.col("volume") > 1.5 * F.col("__ma"))).cast("tinyint")).drop("__ma")
-    marks = rows.groupBy(*by).agg(F.percentile("atr", F.lit(0.5)).alias("__m"), F.percentile("atr", F.lit(0.75)).alias("__h"))
+    marks = quantiles(rows, [(F.col("atr"), {"__m": 0.5, "__h": 0.75})], *by)
     rows = rows.join(marks, list(by)) if by else rows.join(F.broadcast(marks))
     return rows.withColumn("volatility_state", (bit(F.col("atr") > F.col("__m")) * 2 + bit(F.col("atr") > F.col("__h"))).cast("tinyint")).drop("__m", "__h")
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from fourfold.functions import state as st
+from fourfold.operators.quantiles import values
 
 KEY = ("field_id", "x", "y")
 BOUNDARIES = ("zero", "periodic", "reflect", "extend", "constant")
@@ -67,7 +68,7 @@ def mandelbrot(width: int, height: int, iterations: int = 30) -> Column:
 def from_values(df: DataFrame, c: str, method: str = "percentile", out: str = "s") -> DataFrame:
     """Cells with numbers into states: thresholds median and 75 % (percentile), or mean and mean + half a deviation."""
     if method in {"percentile", "threshold"}:
-        row = df.agg(F.percentile(c, F.lit(0.5)), F.percentile(c, F.lit(0.75))).first()
+        row = values(df, (F.col(c), 0.5), (F.col(c), 0.75))
         return df.withColumn(out, st.encode(c, row[0], row[1]))
     row = df.agg(F.avg(c), F.stddev_pop(c)).first()
     return df.withColumn(out, st.encode(c, row[0], row[0] + 0.5 * row[1]))

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from fourfold.functions import state as st
 from fourfold.operators.preprocess import value
+from fourfold.operators.quantiles import at, quantiles, values
 
 #: Thresholds by domain and feature.
 DOMAIN_RULES = {
@@ -19,8 +20,8 @@ DOMAIN_RULES = {
 
 
 def percentile_thresholds(df: DataFrame, c: str, pi: float = 0.5, pq: float = 0.75) -> tuple[float, float]:
-    row = df.agg(F.percentile(value(c), F.lit(pi)), F.percentile(value(c), F.lit(pq))).first()
-    return row[0], row[1]
+    ti, tq = values(df, (value(c), pi), (value(c), pq))
+    return ti, tq
 
 
 def grouped_percentile_encode(df: DataFrame, c: str, by: list[str], pi: float = 0.5, pq: float = 0.75, out: str = "s", least_rows: int = 0) -> DataFrame:
@@ -28,13 +29,12 @@ def grouped_percentile_encode(df: DataFrame, c: str, by: list[str], pi: float =
 
     The thresholds are one row a group and joined back.
     """
-    q = lambda p: F.percentile(value(c), F.lit(p))
-    own = df.groupBy(*by).agg(q(pi).alias("__ti"), q(pq).alias("__tq"), F.count(F.lit(1)).alias("__n"))
+    own = quantiles(df, [(value(c), {"__ti": pi, "__tq": pq})], *by, also=[F.count(F.lit(1)).alias("n_rows")])
     if least_rows:
         ti, tq = percentile_thresholds(df, c, pi, pq)
-        few = F.col("__n") <= least_rows
+        few = F.col("n_rows") <= least_rows
         own = own.withColumn("__ti", F.when(few, F.lit(ti)).otherwise(F.col("__ti"))).withColumn("__tq", F.when(few, F.lit(tq)).otherwise(F.col("__tq")))
-    return df.join(own.drop("__n"), by).withColumn(out, st.encode(c, F.col("__ti"), F.col("__tq"))).drop("__ti", "__tq")
+    return df.join(own.drop("n_rows"), by).withColumn(out, st.encode(c, F.col("__ti"), F.col("__tq"))).drop("__ti", "__tq")
 
 
 def scored_candidates(df: DataFrame, c: str, label: str, candidates: list[float], metric: str = "correlation") -> DataFrame:
@@ -74,7 +74,7 @@ def supervised_thresholds(df: DataFrame, c: str, label: str, metric: str = "mutu
 
     def candidates(rows: DataFrame) -> list[float]:
         steps = [0.1 + 0.8 * k / (n_candidates - 1) for k in range(n_candidates)]
-        return list(rows.agg(F.percentile(value(c), F.array(*map(F.lit, steps)))).first()[0] or [])
+        return [t for t in values(rows, *[(value(c), p) for p in steps]) if t is not None]
 
     def best(of: list[float]) -> float:
         return scored_candidates(df, c, label, of, metric).orderBy(F.desc(F.round("score", 12)), "k").first()["t"]
@@ -90,8 +90,7 @@ def optimal_threshold(df: DataFrame, c: str, label: str | None = None, objective
     With labels the correlation of the bit; without, the binary entropy of its
     share; or ``objective`` of the bit column, an aggregate. One pass each.
     """
-    q = F.percentile(value(c), F.array(*[F.lit(k / steps) for k in range(1, steps)]))
-    cuts = df.agg(q).first()[0]
+    cuts = values(df, *[(value(c), k / steps) for k in range(1, steps)])
     if objective is None and label is not None:
         return scored_candidates(df, c, label, cuts, "correlation").orderBy(F.desc(F.round("score", 12)), "k").first()["t"]
 
@@ -124,15 +123,14 @@ def kmeans_thresholds(df: DataFrame, c: str, seed: int = 42) -> tuple[float, flo
 
 def dual_encode(df: DataFrame, ci: str, cq: str, out: str = "s", p: float = 0.5) -> DataFrame:
     """Presence from one column, membership from another, each against its percentile."""
-    row = df.agg(F.percentile(value(ci), F.lit(p)), F.percentile(value(cq), F.lit(p))).first()
+    row = values(df, (value(ci), p), (value(cq), p))
     above = lambda c, t: F.coalesce(value(c) > F.lit(t), F.lit(False)).cast("tinyint")
     return df.withColumn(out, (above(ci, row[0]) * 2 + above(cq, row[1])).cast("tinyint"))
 
 
 def multi_encode(df: DataFrame, columns: list[str], how: str = "majority_vote", out: str = "s", weights: list[float] | None = None) -> DataFrame:
     """Bits of every column against its percentiles 50 and 75, joined by majority (strict), all, any or weights."""
-    q = lambda c, p: F.percentile(value(c), F.lit(p))
-    row = df.agg(*[q(c, p) for c in columns for p in (0.5, 0.75)]).first()
+    row = values(df, *[(value(c), p) for c in columns for p in (0.5, 0.75)])
     each = [st.encode(c, row[2 * k], row[2 * k + 1]) for k, c in enumerate(columns)]
 
     def side(bit: Callable[[Column], Column]) -> Column:
@@ -158,8 +156,7 @@ def density_regions_encode(df: DataFrame, c: str, regions: int = 5, bins: int =
     rows = df.withColumn("__bin", F.least(F.lit(bins - 1), F.floor((value(c) - F.lit(lo)) / F.lit(width))))
     counts = rows.groupBy("__bin").agg(F.count(F.lit(1)).alias("__n")).withColumn("__region", F.ntile(regions).over(Window.orderBy("__n", "__bin")))  # one row a bin
     placed = rows.join(F.broadcast(counts), rows["__bin"].eqNullSafe(counts["__bin"])).drop(counts["__bin"])
-    q = lambda p: F.percentile(value(c), F.lit(p))
-    marks = {r[0]: (r[1], r[2]) for r in placed.groupBy("__region").agg(q(0.5), q(0.75)).collect()}
+    marks = {r[0]: (r[1], r[2]) for r in quantiles(placed, [(value(c), {"ti": 0.5, "tq": 0.75})], "__region").collect()}
     if how == "middle" and marks:
         marks = dict.fromkeys(marks, marks[sorted(marks)[len(marks) // 2]])
     ti, tq = F.lit(None).cast("double"), F.lit(None).cast("double")
@@ -191,7 +188,9 @@ def bootstrap(df: DataFrame, c: str, replicates: int = 100, confidence: float =
     normal = F.sqrt(-2 * F.ln(u)) * F.cos(2 * F.pi() * v)
     weight = F.when(F.col("n") == 1, one).otherwise(F.greatest(F.lit(0), F.round(F.col("n") + F.sqrt("n") * normal).cast("int")))
     drawn = drawn.withColumn("w", weight.cast("long")).where("w > 0")
-    each = drawn.groupBy("rep").agg(F.expr(f"percentile(x, {pi}D, w)").alias("ti"), F.expr(f"percentile(x, {pq}D, w)").alias("tq"))
+    rep = Window.partitionBy("rep")
+    ranked = drawn.withColumn("r", F.sum("w").over(rep.orderBy("x"))).withColumn("all", F.sum("w").over(rep))
+    each = ranked.groupBy("rep").agg(*[at(F.col("x"), F.col("r"), F.col("all"), p).alias(k) for k, p in (("ti", pi), ("tq", pq))])
     low, high = (1 - confidence) / 2, (1 + confidence) / 2
     parts = [f for k in ("ti", "tq") for f in (F.avg(k).alias(f"{k}_mean"), F.stddev_pop(k).alias(f"{k}_std"), F.percentile(k, F.lit(low)).alias(f"{k}_low"), F.percentile(k, F.lit(high)).alias(f"{k}_high"))]
     return each.agg(*parts, F.count(F.lit(1)).alias("replicates")).withColumn("stability", 1 / (1 + F.col("ti_std") + F.col("tq_std")))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from fourfold.functions.checks import fitted
+from fourfold.operators import quantiles
 
 
 def value(c: str | Column) -> Column:
@@ -29,13 +30,20 @@ class Step:
     def stats(self, c: str) -> dict[str, Column]:
         return {}
 
+    def percentiles(self) -> dict[str, float]:
+        return {}
+
+    def derived(self, p: dict[str, float | None]) -> dict[str, float | None]:
+        return p
+
     def fit(self, df: DataFrame) -> Step:
+        points = [(c, k, q) for c in self.columns for k, q in self.percentiles().items()]
         wanted = {(c, k): x for c in self.columns for k, x in self.stats(c).items()}
+        got = quantiles.values(df, *[(value(c), q) for c, _, q in points], also=list(wanted.values()))
         self.params = {c: {} for c in self.columns}
-        if wanted:
-            row = df.agg(*[x.alias(f"c{n}") for n, x in enumerate(wanted.values())]).first()
-            for n, (c, k) in enumerate(wanted):
-                self.params[c][k] = row[n]
+        for (c, k), x in zip([(c, k) for c, k, _ in points] + list(wanted), got, strict=True):
+            self.params[c][k] = x
+        self.params = {c: self.derived(p) for c, p in self.params.items()}
         return self
 
     def expr(self, c: str) -> Column:
@@ -67,9 +75,11 @@ class StandardScaler(Step):
 class RobustScaler(Step):
     """(x - median) / interquartile range; a range of 0 counts as 1."""
 
-    def stats(self, c):
-        q = lambda p: F.percentile(value(c), F.lit(p))
-        return {"median": q(0.5), "iqr": q(0.75) - q(0.25)}
+    def percentiles(self):
+        return {"median": 0.5, "q1": 0.25, "q3": 0.75}
+
+    def derived(self, p):
+        return {"median": p["median"], "iqr": None if p["q1"] is None else p["q3"] - p["q1"]}
 
     def expr(self, c):
         p = self.params[c]
@@ -102,7 +112,10 @@ class Imputer(Step):
         self.strategy, self.constant = strategy, constant
 
     def stats(self, c):
-        return {"mean": {"fill": F.avg(value(c))}, "median": {"fill": F.median(value(c))}, "most_frequent": {"fill": F.mode(value(c), True)}}.get(self.strategy, {})
+        return {"mean": {"fill": F.avg(value(c))}, "most_frequent": {"fill": F.mode(value(c), True)}}.get(self.strategy, {})
+
+    def percentiles(self):
+        return {"fill": 0.5} if self.strategy == "median" else {}
 
     def expr(self, c):
         fill = self.constant if self.strategy == "constant" else self.params[c].get("fill")
@@ -131,13 +144,17 @@ class Outliers(Step):
         self.method, self.bounds, self.low, self.high, self.width = method, bounds, low, high, width
 
     def stats(self, c):
-        q = lambda p: F.percentile(value(c), F.lit(p))
-        if self.bounds == "percentile":
-            return {"lo": q(self.low), "hi": q(self.high)}
-        middle, spread = (F.avg(value(c)), F.stddev_pop(value(c))) if self.bounds == "zscore" else (None, q(0.75) - q(0.25))
-        if self.bounds == "zscore":
-            return {"lo": middle - self.width * spread, "hi": middle + self.width * spread}
-        return {"lo": q(0.25) - self.width * spread, "hi": q(0.75) + self.width * spread}
+        middle, spread = F.avg(value(c)), F.stddev_pop(value(c))
+        return {"lo": middle - self.width * spread, "hi": middle + self.width * spread} if self.bounds == "zscore" else {}
+
+    def percentiles(self):
+        return {"percentile": {"lo": self.low, "hi": self.high}, "iqr": {"lo": 0.25, "hi": 0.75}}.get(self.bounds, {})
+
+    def derived(self, p):
+        if self.bounds != "iqr" or p["lo"] is None:
+            return p
+        spread = p["hi"] - p["lo"]
+        return {"lo": p["lo"] - self.width * spread, "hi": p["hi"] + self.width * spread}
 
     def expr(self, c):
         p = self.params[c]
@@ -202,8 +219,6 @@ def series_features(df: DataFrame, c: str, order: list[str], by: list[str], wind
 def shape_features(df: DataFrame, c: str, *by: str) -> DataFrame:
     """For each group: mean, median, deviation, population skewness and excess kurtosis, quartiles, range, IQR."""
     x = F.col(c).cast("double")
-    q = lambda p: F.percentile(x, F.lit(p))
-    return df.groupBy(*by).agg(
-        F.avg(x).alias("mean"), F.median(x).alias("median"), F.stddev_pop(x).alias("std"), F.coalesce(F.skewness(x), F.lit(0.0)).alias("skew"), F.coalesce(F.kurtosis(x), F.lit(0.0)).alias("kurt"),
-        q(0.25).alias("p25"), q(0.75).alias("p75"), (F.max(x) - F.min(x)).alias("range"), (q(0.75) - q(0.25)).alias("iqr"),
-    )
+    moments = [F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"), F.coalesce(F.skewness(x), F.lit(0.0)).alias("skew"), F.coalesce(F.kurtosis(x), F.lit(0.0)).alias("kurt"), (F.max(x) - F.min(x)).alias("range")]
+    out = quantiles.quantiles(df, [(x, {"p25": 0.25, "median": 0.5, "p75": 0.75})], *by, also=moments)
+    return out.select(*by, "mean", "median", "std", "skew", "kurt", "p25", "p75", "range", (F.col("p75") - F.col("p25")).alias("iqr"))

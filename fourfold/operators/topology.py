@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from fourfold.operators import graphs
+from fourfold.operators.quantiles import quantiles
 from fourfold.sources.tables import written
 
 #: Points of a cloud for operators that need its whole distance matrix, taken in the order of a hash of the id.
@@ -372,7 +373,7 @@ def mle_dimension(near: DataFrame) -> DataFrame:
     """Median over queries of the likelihood estimate of intrinsic dimension from neighbour distances."""
     far = Window.partitionBy("query")
     logs = near.withColumn("__k", F.max("d").over(far)).where("d > 0 and d < __k").groupBy("query").agg((F.count(F.lit(1)) / F.sum(F.ln(F.col("__k") / F.col("d")))).alias("m"))
-    return logs.agg(F.percentile("m", F.lit(0.5)).alias("dimension"), F.count(F.lit(1)).alias("n"))
+    return quantiles(logs, [(F.col("m"), {"dimension": 0.5})], also=[F.count(F.lit(1)).alias("n")])
 
 
 def correlation_dimension(points: DataFrame, radii: Sequence[float], id_col: str = "id", vec: str = "p") -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fourfold.functions import state as st
-from fourfold.operators import adaptive, interpret, learn, series
+from fourfold.operators import adaptive, interpret, learn, quantiles, series
 from fourfold.operators.preprocess import Imputer, Outliers, RobustScaler, StandardScaler, Step, series_features, value
 
 
@@ -159,12 +159,11 @@ class PipelineBuilder:
 def auto_pipeline(df: DataFrame, column: str, label: str | None = None) -> ChannelPipeline:
     """Steps by one look at the data: imputation where values are missing, clipping where the tails are long; always scaled."""
     x = value(column)
-    q = lambda p: F.percentile(x, F.lit(p))
-    row = df.agg(F.count_if(x.isNull()).alias("missing"), (q(0.99) - q(0.01)).alias("span"), (q(0.75) - q(0.25)).alias("iqr")).first()
+    low, q1, q3, high, missing = quantiles.values(df, *[(x, p) for p in (0.01, 0.25, 0.75, 0.99)], also=[F.count_if(x.isNull())])
     b = PipelineBuilder(column)
-    if row.missing:
+    if missing:
         b.with_missing_data_handling()
-    if row.span is not None and row.span > 10 * row.iqr:
+    if low is not None and high - low > 10 * (q3 - q1):
         b.with_outlier_removal()
     b.with_standard_scaling().with_learned_encoding()
     return (b.with_lookup_interpretation(label) if label else b).build()
