@@ -7,11 +7,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fourfold.llm import kernels
-from fourfold.llm.common import cut, partitions, row_key, text_of
+from fourfold.llm.common import cut, partitions, text_of
 
 LENGTH = 200
 #: Bytes whose hash picks the cover sample.
@@ -22,12 +22,16 @@ BUCKET_WINDOWS = 1_000_000
 SORTED_BLOCKS = 20_000
 
 
+#: Bytes put through a nonlinear table, for a second hash that is independent of the first.
+OTHER_BYTES = kernels.mix(np.arange(256, dtype=np.uint64))
+
+
 def _runs(raw: bytes, length: int, gram: int) -> Iterator[tuple[np.ndarray, ...]]:
     """Blocks of starts of ``length``-byte windows that share their sample position.
 
     A window's sample position is the leftmost one with the least hash of
     ``gram`` bytes inside it, so equal windows have it in the same place. Gives
-    (sample hash, start, windows, hash of all bytes of the block) arrays.
+    (sample hash, start, windows, two hashes of all bytes of the block) arrays.
     """
     width = length - gram + 1
     b = np.frombuffer(raw, np.uint8)
@@ -41,21 +45,23 @@ def _runs(raw: bytes, length: int, gram: int) -> Iterator[tuple[np.ndarray, ...]
         starts = np.flatnonzero(new)
         n = np.diff(np.append(starts, len(m)))
         name = kernels.mix((sums[starts + n - 1 + length] - sums[starts]) * down[starts] + n.astype(np.uint64))
-        yield m[starts], starts + first, n, name
+        twice, _ = kernels.prefix_hash(OTHER_BYTES[part])
+        twin = kernels.mix((twice[starts + n - 1 + length] - twice[starts]) * down[starts])
+        yield m[starts], starts + first, n, name, twin
 
 
 def _blocks(length: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["sample", "name", "rk", "start", "n"]
+        names = ["sample", "name", "twin", "rk", "start", "n"]
         for batch in batches:
             found: list[tuple] = []
-            for rk, text in zip(batch.column("rk").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            for row, text in enumerate(batch.column("text").to_pylist()):
                 raw = text.encode("utf-8", "surrogatepass")
                 if len(raw) >= length:
-                    found += [(m, name, np.full(len(m), rk, np.int64), at, n) for m, at, n, name in _runs(raw, length, gram)]
+                    found += [(m, name, twin, np.full(len(m), row), at, n) for m, at, n, name, twin in _runs(raw, length, gram)]
             if found:
-                m, name, rk, at, n = (np.concatenate(x) for x in zip(*found, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(m.view(np.int64)), pa.array(name.view(np.int64)), pa.array(rk), pa.array(at.astype(np.int64)), pa.array(n.astype(np.int32))], names)
+                m, name, twin, row, at, n = (np.concatenate(x) for x in zip(*found, strict=True))
+                yield pa.RecordBatch.from_arrays([*(pa.array(x.view(np.int64)) for x in (m, name, twin)), batch.column("rk").take(pa.array(row)), pa.array(at.astype(np.int64)), pa.array(n.astype(np.int32))], names)
 
     return run
 
@@ -79,7 +85,7 @@ def _contexts(length: int, gram: int):
                         out.append((x["sample"], own, place, n, 1 if x["single"] else 2, rk, at, x["hot"]))
             if out:
                 columns = list(zip(*out, strict=True))
-                kinds = [pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_()]
+                kinds = [pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.bool_()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["sample", "bytes", "place", "n", "copies", "rk", "start", "hot"])
 
     return run
@@ -132,7 +138,7 @@ def _sort_buckets(length: int, bucket_windows: int):
         found = sort_bucket(np.array(sample), list(parts), np.array(place), n_of, np.array(copies), length)
         single = np.flatnonzero((np.array(copies) == 1) & found.any(axis=1))
         bits = [np.packbits(found[k, : n_of[k]]).tobytes() for k in single]
-        return pa.RecordBatch.from_arrays([pa.array([rk[k] for k in single], pa.int64()), pa.array([start[k] for k in single], pa.int64()), pa.array(bits, pa.binary())], ["rk", "start", "bits"])
+        return pa.RecordBatch.from_arrays([pa.array([rk[k] for k in single], pa.binary()), pa.array([start[k] for k in single], pa.int64()), pa.array(bits, pa.binary())], ["rk", "start", "bits"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -159,10 +165,10 @@ def _windows(length: int):
             for own, n, copies, rk, start in zip(*(batch.column(c).to_pylist() for c in ("bytes", "n", "copies", "rk", "start")), strict=True):
                 b = np.frombuffer(own, np.uint8)
                 sums, down = kernels.prefix_hash(b)
-                twice, _ = kernels.prefix_hash(kernels.mix(b.astype(np.uint64)).astype(np.uint8))
+                twice, _ = kernels.prefix_hash(OTHER_BYTES[b])
                 one = (sums[length:] - sums[:-length]) * down[:n]
                 two = kernels.mix((twice[length:] - twice[:-length]) * down[:n])
-                yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(np.full(n, copies, np.int64)), pa.array(np.full(n, rk, np.int64)), pa.array(np.arange(start, start + n))], ["one", "two", "copies", "rk", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(np.full(n, copies, np.int64)), pa.array([rk] * n, pa.binary()), pa.array(np.arange(start, start + n))], ["one", "two", "copies", "rk", "at"])
 
     return run
 
@@ -194,6 +200,12 @@ def _removal(length: int):
     return run
 
 
+def _row(id_col: str, text_col: str) -> Column:
+    """128 bits of a row's id and text; the id's length keeps the two apart."""
+    own = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
+    return F.unhex(F.md5(F.concat(F.length(own).cast("string"), F.col(id_col).isNull().cast("string"), own, F.col(text_col))))
+
+
 def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, length: int = LENGTH, gram: int = GRAM, bucket_windows: int = BUCKET_WINDOWS, sorted_blocks: int = SORTED_BLOCKS) -> DataFrame:
     """Bytes covered by a ``length``-byte string that also starts somewhere else.
 
@@ -206,6 +218,8 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     are sorted, in tasks that take them sample by sample; samples with more than
     ``sorted_blocks`` different blocks are counted window by window over all
     tasks instead. All joins are on hashes and may be split where a key is hot.
+    Blocks and counted windows are told by 128 bits of two hashes, rows by the
+    128 bits of an MD5 of id and text.
 
     Returns doc_id, n_bytes, n_removed, n_spans, kept_sha256 and spans (byte
     offsets [from, to)). Null texts are empty; texts under ``length`` bytes keep
@@ -213,14 +227,14 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     lose what the other repeats.
     """
     spark = docs.sparkSession
-    base = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")).withColumn("rk", row_key("doc_id", "text"))
-    blocks = cut(base.mapInArrow(_blocks(length, gram), "sample long, name long, rk long, start long, n int"))
-    samples = cut(blocks.groupBy("sample").agg(F.count(F.lit(1)).alias("c"), F.min("name").alias("lo"), F.max("name").alias("hi")).where("c > 1").select("sample", (F.col("lo") == F.col("hi")).alias("same")))
+    base = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")).withColumn("rk", _row("doc_id", "text"))
+    blocks = cut(base.mapInArrow(_blocks(length, gram), "sample long, name long, twin long, rk binary, start long, n int"))
+    samples = cut(blocks.groupBy("sample").agg(F.count(F.lit(1)).alias("c"), F.min("name").alias("lo"), F.max("name").alias("hi"), F.min("twin").alias("lo2"), F.max("twin").alias("hi2")).where("c > 1").select("sample", ((F.col("lo") == F.col("hi")) & (F.col("lo2") == F.col("hi2"))).alias("same")))
     met = cut(blocks.join(samples, "sample"))
     mixed = met.where("not same").drop("same")
-    classes = cut(mixed.groupBy("sample", "name").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("rk", "start")).alias("first")))
+    classes = cut(mixed.groupBy("sample", "name", "twin").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("rk", "start")).alias("first")))
     groups = cut(classes.groupBy("sample").agg(F.min("c").alias("least"), (F.count(F.lit(1)) > sorted_blocks).alias("hot")).where("least = 1").select(F.col("sample").alias("s"), "hot"))
-    judged = mixed.join(classes, ["sample", "name"])
+    judged = mixed.join(classes, ["sample", "name", "twin"])
     judged = cut(judged.select("sample", "rk", "start", "n", (F.col("c") == 1).alias("single"), (F.struct("rk", "start") == F.col("first")).alias("is_first")))
     asked = judged.where("single or is_first").join(groups, F.col("sample") == F.col("s"))
     asked = asked.select("rk", F.struct("start", "n", "sample", "single", F.lit(False).alias("covered"), F.lit(True).alias("wanted"), "hot").alias("x"))
@@ -228,17 +242,17 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     whole = [df.select("rk", F.struct("start", "n", "sample", no.alias("single"), F.lit(True).alias("covered"), no.alias("wanted"), no.alias("hot")).alias("x")) for df in (met.where("same"), judged.where("not single"))]
     of_docs = asked.unionByName(whole[0]).unionByName(whole[1]).groupBy("rk").agg(F.collect_list("x").alias("blocks"))
     texts = cut(base.select("rk", "text").join(of_docs, "rk"))
-    contexts = texts.mapInArrow(_contexts(length, gram), "sample long, bytes binary, place int, n int, copies int, rk long, start long, hot boolean")
+    contexts = texts.mapInArrow(_contexts(length, gram), "sample long, bytes binary, place int, n int, copies int, rk binary, start long, hot boolean")
     contexts = cut(contexts)
-    bits = contexts.where("not hot").drop("hot").repartition(partitions(spark), "sample").sortWithinPartitions("sample").mapInArrow(_sort_buckets(length, bucket_windows), "rk long, start long, bits binary")
+    bits = contexts.where("not hot").drop("hot").repartition(partitions(spark), "sample").sortWithinPartitions("sample").mapInArrow(_sort_buckets(length, bucket_windows), "rk binary, start long, bits binary")
     bits = cut(bits).groupBy("rk").agg(F.collect_set(F.struct("start", "bits")).alias("bits"))
     if contexts.where("hot").limit(1).count():
-        windows = cut(contexts.where("hot").mapInArrow(_windows(length), "one long, two long, copies long, rk long, at long"))
+        windows = cut(contexts.where("hot").mapInArrow(_windows(length), "one long, two long, copies long, rk binary, at long"))
         twice = cut(windows.groupBy("one", "two").agg(F.sum("copies").alias("c")).where("c > 1").select("one", "two"))
         alone = windows.where("copies = 1").join(twice, ["one", "two"]).groupBy("rk").agg(F.collect_set("at").alias("alone"))
     else:
-        alone = spark.createDataFrame([], "rk long, alone array<long>")
-    done = texts.dropDuplicates(["rk"]).join(bits, "rk", "left").join(alone, "rk", "left").mapInArrow(_removal(length), "rk long, n_removed long, spans array<array<long>>, kept_sha256 string")
+        alone = spark.createDataFrame([], "rk binary, alone array<long>")
+    done = texts.dropDuplicates(["rk"]).join(bits, "rk", "left").join(alone, "rk", "left").mapInArrow(_removal(length), "rk binary, n_removed long, spans array<array<long>>, kept_sha256 string")
     plain = base.select("doc_id", "rk", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.encode("text", "UTF-8"), 256).alias("sha"))
     out = plain.join(done, "rk", "left")
     spans = F.coalesce("spans", F.array().cast("array<array<long>>"))

@@ -98,7 +98,7 @@ def counter(model: dict):
     special = regex.compile("|".join(map(regex.escape, sorted(model["special"], key=len, reverse=True)))) if model["special"] else None
     first = model["special"][0] if model["special"] else ""
     memory = sys.__dict__.setdefault("_fourfold_bpe", {})  # lives as long as the worker
-    key = (len(model["ranks"]), hash(frozenset(list(model["ranks"].items())[-100:])))
+    key = (len(model["ranks"]), hash(frozenset(model["ranks"].items())))
     counts = memory.get(key)
     if counts is None:
         memory.clear()

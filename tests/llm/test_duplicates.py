@@ -193,7 +193,7 @@ def test_pieces_of_long_texts(monkeypatch):
     monkeypatch.setattr(kernels, "PIECE", 64)
     assert (kernels.word_hashes(raw) == want).all()
     windows = defaultdict(int)
-    for _, at, n, _ in suffix._runs(raw, 20, 5):
+    for _, at, n, *_ in suffix._runs(raw, 20, 5):
         for s, k in zip(at.tolist(), n.tolist()):
             for j in range(k):
                 windows[s + j] += 1
