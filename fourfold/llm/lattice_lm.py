@@ -5,10 +5,11 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fourfold.llm import kernels
@@ -17,14 +18,17 @@ from fourfold.llm.common import cut, text_of
 FOLDS = 10
 SMOOTH = 0.1
 #: Rounds of expectation maximisation over the words of the training documents.
-ROUNDS = 2
+ROUNDS = 4
+#: Classes of documents with less than this share of the training documents count as one.
+CLASS_SHARE = 0.01
 #: The most frequent words whose counts are broadcast; those of others are joined.
 HEAD_WORDS = 200_000
 HEAD_BYTES = 64
 #: Different words a task counts before it hands them on.
 HELD_WORDS = 200_000
-#: Longer words go through the recursion by themselves.
+#: Longer words go through the recursion by themselves, this many positions at a time.
 LONG_WORD = 96
+BLOCK = 8192
 
 _words = re.compile(rb"[^\x20\x09-\x0D]+").findall
 
@@ -105,12 +109,12 @@ class Lattice:
                 step = max(1, 400_000 // int(size))
                 for first in range(0, len(every), step):
                     own = every[first : first + step]
-                    rows = np.frombuffer(b"".join(b" " + words[k] for k in own), np.uint8).reshape(len(own), size)
-                    edges = self._edges(rows)
                     if size > LONG_WORD and len(own) < 32:
-                        for line, k in enumerate(own):
-                            scores[k] = self._long(edges, line, int(size), None if weights is None else weights[k], uses)
+                        for k in own:
+                            scores[k] = self._long(b" " + words[k], None if weights is None else weights[k], uses)
                         continue
+                    rows = np.frombuffer(b"".join(b" " + words[k] for k in own), np.uint8).reshape(len(own), size)
+                    edges = self._edges(rows)
                     alpha = self._forward(edges, len(own), int(size))
                     scores[own] = alpha[:, -1]
                     if uses is not None:
@@ -129,47 +133,64 @@ class Lattice:
             hit = piece >= 0
             uses += np.bincount(piece[hit], weights=share[hit], minlength=len(uses))
 
-    def _long(self, edges: list, line: int, size: int, weight: float | None, uses: np.ndarray | None) -> float:
-        """The same recursion for one word, over positions."""
+    def _starts(self, word: bytes, first: int) -> list[list[tuple[int, int, float]]]:
+        """Of each position in the block from ``first``: (length, piece, log probability) of the pieces there."""
+        size = min(BLOCK, len(word) - first)
+        longest = self.tables[-1][0]
+        rows = np.frombuffer(word[first : first + size + longest - 1], np.uint8).reshape(1, -1)
         starts: list[list[tuple[int, int, float]]] = [[] for _ in range(size)]
-        for n, piece, logs in edges:
-            for i in np.flatnonzero(piece[line] >= 0).tolist():
-                starts[i].append((n, int(piece[line, i]), float(logs[line, i])))
+        for n, piece, logs in self._edges(rows):
+            for i in np.flatnonzero(piece[0, :size] >= 0).tolist():
+                starts[i].append((n, int(piece[0, i]), float(logs[0, i])))
+        return starts
+
+    def _long(self, word: bytes, weight: float | None, uses: np.ndarray | None) -> float:
+        """The same recursion for one word, over positions; pieces are looked up by the block."""
+        size = len(word)
         alpha = np.full(size + 1, -np.inf)
         alpha[0] = 0.0
-        for i in range(size):
-            for n, _, log in starts[i]:
-                alpha[i + n] = np.logaddexp(alpha[i + n], alpha[i] + log)
+        for first in range(0, size, BLOCK):
+            for i, own in enumerate(self._starts(word, first), first):
+                for n, _, log in own:
+                    alpha[i + n] = np.logaddexp(alpha[i + n], alpha[i] + log)
         if weight is not None and uses is not None:
             beta = np.full(size + 1, -np.inf)
             beta[size] = 0.0
-            for i in range(size - 1, -1, -1):
-                for n, piece, log in starts[i]:
-                    beta[i] = np.logaddexp(beta[i], log + beta[i + n])
-                    uses[piece] += weight * np.exp(alpha[i] + log + beta[i + n] - alpha[size])
+            for first in reversed(range(0, size, BLOCK)):
+                starts = self._starts(word, first)
+                for i in range(first + len(starts) - 1, first - 1, -1):
+                    for n, piece, log in starts[i - first]:
+                        beta[i] = np.logaddexp(beta[i], log + beta[i + n])
+                        uses[piece] += weight * np.exp(alpha[i] + log + beta[i + n] - alpha[size])
         return float(alpha[size])
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: Counter = Counter()
+    counts: dict[int, Counter] = {}
 
     def flush() -> pa.RecordBatch:
-        out = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["word", "c"])
+        words = pa.array([w for own in counts.values() for w in own], pa.binary())
+        kinds = pa.array(np.repeat(np.array(list(counts), np.int32), [len(own) for own in counts.values()]))
+        times = pa.array([c for own in counts.values() for c in own.values()], pa.int64())
         counts.clear()
-        return out
+        return pa.RecordBatch.from_arrays([words, kinds, times], ["word", "k", "c"])
 
     for batch in batches:
-        for text in batch.column("text").to_pylist():
-            counts.update(words_of(text))
-            if len(counts) > HELD_WORDS:
+        for k, text in zip(batch.column("k").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            counts.setdefault(k, Counter()).update(words_of(text))
+            if sum(map(len, counts.values())) > HELD_WORDS:
                 yield flush()
     if counts:
         yield flush()
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
-    """(word, c) over all rows of column ``text``; counted in tasks before the shuffle."""
-    return texts.select("text").mapInArrow(_counted, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    """(word, c, by) over all rows of (text, k): a word's count, and its counts by class k.
+
+    Counted in tasks before the one shuffle, by word; a word has at most as many rows as tasks send and ``by`` as many entries as there are classes.
+    """
+    sent = texts.select("text", "k").mapInArrow(_counted, "word binary, k int, c long").repartition("word")
+    return sent.groupBy("word", "k").agg(F.sum("c").alias("c")).groupBy("word").agg(F.sum("c").alias("c"), F.collect_list(F.struct("k", "c")).alias("by"))
 
 
 def _expected(lattice):
@@ -201,7 +222,7 @@ def train(counts: DataFrame, path: str, rounds: int = ROUNDS) -> tuple[list[byte
     for _ in range(rounds):
         lattice = spark.sparkContext.broadcast((list(pieces), logs))
         uses = np.zeros(len(pieces))
-        for piece, n in counts.mapInArrow(_expected(lattice), "piece int, uses double").groupBy("piece").agg(F.sum("uses")).collect():
+        for piece, n in counts.select("word").mapInArrow(_expected(lattice), "piece int, uses double").groupBy("piece").agg(F.sum("uses")).collect():
             uses[piece] = round(n, 6)  # so that the order of sums leaves no trace
         total = uses.sum() + 1 + SMOOTH * (len(pieces) + 1)
         logs, end = np.log((uses + SMOOTH) / total), np.log((1 + SMOOTH) / total)
@@ -210,41 +231,98 @@ def train(counts: DataFrame, path: str, rounds: int = ROUNDS) -> tuple[list[byte
     return list(pieces), logs, float(end - np.log(starts + np.exp(end)))
 
 
+class Classes(NamedTuple):
+    """Word shares of each class of documents.
+
+    In class k a word with c of its ``tokens[k]`` tokens has the share
+    (c - discount[k]) / tokens[k]; what the discounts free, ``spelt[k]``, is
+    given out again by the lattice. ``prior`` is the classes' share of documents.
+    """
+
+    prior: np.ndarray
+    tokens: np.ndarray
+    discount: np.ndarray
+    spelt: np.ndarray
+
+    def gain(self, k: np.ndarray, c: np.ndarray, mark: np.ndarray) -> np.ndarray:
+        """Log of a word's probability in class k over that of its spellings alone."""
+        return np.logaddexp(0.0, np.log((c - self.discount[k]) / (self.tokens[k] * self.spelt[k])) - mark)
+
+
+def _classes(counts: DataFrame, documents: np.ndarray) -> Classes:
+    """Shares by class, from the words' counts and the number of documents, whose ends are tokens too."""
+    if not documents.sum():
+        one = np.ones(1)
+        return Classes(one, one, 0 * one, one)
+    n = len(documents)
+    tokens, kinds, once, two = (np.zeros(n) for _ in range(4))
+    sums = counts.select(F.inline("by")).groupBy("k").agg(F.sum("c"), F.count(F.lit(1)), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2))
+    for k, *own in sums.collect():  # a row a class
+        tokens[k], kinds[k], once[k], two[k] = own
+    used = documents > 0
+    tokens, kinds = np.where(used, tokens + documents, 1.0), kinds + used
+    discount = np.where(once > 0, np.clip(once / np.maximum(once + 2.0 * two, 1.0), 0.1, 0.9), 0.5)
+    return Classes(documents / documents.sum(), tokens, discount, np.where(used, discount * kinds / tokens, 1.0))
+
+
+class Head(NamedTuple):
+    """Frequent words by place: base scores, lattice scores, and gains in the classes ``kind[start[i]:start[i + 1]]``."""
+
+    place: dict[bytes, int]
+    base: np.ndarray
+    mark: np.ndarray
+    start: np.ndarray
+    kind: np.ndarray
+    gain: np.ndarray
+
+
+def _sums(at: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
+    """Sums by place; floats even where there is nothing to add."""
+    return np.bincount(at, weights=values, minlength=size).astype(np.float64)
+
+
 def _scored(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, logs, end, head = shared.value
+        pieces, logs, first_gain, step, end, head = shared.value
         model = Lattice(pieces, logs)
-        names = ["tag", "n_tokens", "head", "head_known", "score", "tail"]
-        get = head.get
+        names = ["tag", "n_tokens", "head", "head_known", "spelt", "gains", "tail"]
+        get = head.place.get
+        kinds = len(step)
         for whole in batches:
             for first in range(0, whole.num_rows, 500):
                 batch = whole.slice(first, 500)
                 docs = [Counter(words_of(t)) for t in batch.column("text").to_pylist()]
-                rest = list(dict.fromkeys(w for d in docs for w in d if w not in head))
+                rest = list(dict.fromkeys(w for d in docs for w in d if w not in head.place))
                 scores = dict(zip(rest, model.run(rest)[0].tolist(), strict=True))
-                n, base, known, total, tail = [], [], [], [], []
-                for d in docs:
+                row, at, times, n, far, tail = [], [], [], [], [], []
+                for r, d in enumerate(docs):
                     n.append(sum(d.values()) + 1)
-                    b, k, s, t = 0.0, 0, end, []
-                    for w, times in d.items():
-                        got = get(w)
-                        if got is None:
-                            t.append({"word": w, "times": times, "mark": scores[w]})
+                    own = []
+                    for w, c in d.items():
+                        place = get(w)
+                        if place is None:
+                            own.append({"word": w, "times": c, "mark": scores[w]})
                         else:
-                            b += times * got[0]
-                            k += times
-                            s += times * got[1]
-                    base.append(b)
-                    known.append(k)
-                    total.append(s)
-                    tail.append(t)
+                            row.append(r)
+                            at.append(place)
+                            times.append(c)
+                    far.append(sum(t["times"] * t["mark"] for t in own))
+                    tail.append(own)
+                size = len(docs)
+                row, at, times = np.array(row, np.int64), np.array(at, np.int64), np.array(times, np.float64)
+                base, known, near = (_sums(row, x, size) for x in (times * head.base[at], times, times * head.mark[at]))
+                many = head.start[at + 1] - head.start[at]
+                entry = np.arange(many.sum()) + np.repeat(head.start[at] - np.cumsum(many) + many, many)
+                gains = _sums(np.repeat(row, many) * kinds + head.kind[entry], np.repeat(times, many) * head.gain[entry], size * kinds).reshape(size, kinds)
+                gains += first_gain + np.array(n)[:, None] * step
+                gains = pa.FixedSizeListArray.from_arrays(pa.array(gains.reshape(-1)), kinds).cast(pa.list_(pa.float64()))
                 kind = pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int64()), ("mark", pa.float64())]))
-                yield pa.RecordBatch.from_arrays([batch.column("tag"), pa.array(n, pa.int64()), pa.array(base, pa.float64()), pa.array(known, pa.int64()), pa.array(total, pa.float64()), pa.array(tail, kind)], names)
+                yield pa.RecordBatch.from_arrays([batch.column("tag"), pa.array(n, pa.int64()), pa.array(base), pa.array(known.astype(np.int64)), pa.array(near + np.array(far) + end), gains, pa.array(tail, kind)], names)
 
     return run
 
 
-def lm_scores(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", *, folds: int = FOLDS, rounds: int = ROUNDS, head_words: int = HEAD_WORDS) -> DataFrame:
+def lm_scores(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", class_col: str | None = None, *, folds: int = FOLDS, rounds: int = ROUNDS, head_words: int = HEAD_WORDS) -> DataFrame:
     """Scores of all texts by a subword lattice that learns from the documents outside one fold.
 
     A text is its words, each after a space, and an end. A word's lattice has
@@ -253,54 +331,89 @@ def lm_scores(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     the discount pays for the other segmentations. Its probability is the sum
     over all paths, by forward recursion in log space, and a text's is the
     product over its words and the end; these sum to one over all texts.
-    ``base_score`` is the smoothed word unigram score. Words are counted in
-    tasks and summed by key; counts of the ``head_words`` most frequent are
-    broadcast, those of all others are joined to the documents.
-
-    Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score
-    (both log10). Null texts are empty: they have their end only. Null ids count
-    as the empty string in the split. Repeated rows are each learnt and scored.
-    With an empty training part, words have the smoothed mass alone.
+
+    With ``class_col`` (say, the language) the arcs over whole words are learnt
+    by class, and a text's probability is the sum over classes of the class's
+    share of training documents times the text's probability in it. The class
+    of a text that is scored isn't looked at. Null classes, and those with less
+    than ``CLASS_SHARE`` of the training documents, are one class together, so
+    that there are at most 101. Without ``class_col`` there is one class.
+
+    ``base_score`` is the smoothed word unigram score, ``lattice_score`` that of
+    the segmentations into pieces of the vocabulary alone, without whole words.
+    Words are counted in tasks and summed by key; counts of the ``head_words``
+    most frequent are broadcast, those of all others are joined to the documents.
+
+    Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score,
+    lattice_score (all log10). Null texts are empty: they have their end only.
+    Null ids count as the empty string in the split. Repeated rows are each
+    learnt and scored. With an empty training part, words have the smoothed mass
+    alone.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
+    label = F.lit(None).cast("string") if class_col is None else F.col(class_col).cast("string")
+    rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"), label.alias("label"))
     rows = rows.withColumn("held_out", F.pmod(F.crc32(F.encode(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "UTF-8")), F.lit(folds)) == 0)
     training = rows.where("not held_out")
-    counts = cut(word_counts(training))
     n_docs = training.count()
-    n_words, distinct, once, two = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1)), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
+    sizes = training.where("label is not null").groupBy("label").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= CLASS_SHARE * n_docs).orderBy("label").collect()
+    documents = np.array([n_docs - sum(r.n for r in sizes), *(r.n for r in sizes)], np.float64)  # class 0: all others
+    k = F.coalesce(F.array_position(F.array(*[F.lit(r.label) for r in sizes]), F.col("label")), F.lit(0)) if sizes else F.lit(0)
+    counts = cut(word_counts(training.select("text", k.cast("int").alias("k"))))
+    n_words, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     tokens, kinds = n_words + n_docs, distinct + bool(n_docs)
     scale = tokens + SMOOTH * (kinds + 1)
     pieces, logs, end = train(counts, path, rounds)
-    discount = min(0.9, max(0.1, once / (once + 2.0 * two))) if once else 0.5
-    spelt = discount * kinds / tokens if tokens else 1.0  # mass of the segmentations into pieces
-    log10 = lambda c: float(np.log10((c + SMOOTH) / scale))
-    both = lambda c, mark: float(np.logaddexp(np.log((c - discount) / tokens) if c else -np.inf, np.log(spelt) + mark) / np.log(10.0))
-    head = {w: (log10(c), both(c, m)) for w, c, m in _head(counts, head_words, Lattice(pieces, logs))}
-    shared = spark.sparkContext.broadcast((pieces, logs, both(n_docs, end), head))
+    model = _classes(counts, documents)
+    head = _head(counts, head_words, Lattice(pieces, logs), model, scale)
+    used = np.flatnonzero(model.prior)
+    with np.errstate(divide="ignore"):
+        first_gain, step = np.log(model.prior), np.log(model.spelt)
+    first_gain[used] += model.gain(used, documents[used], end) if n_docs else 0.0
+    shared = spark.sparkContext.broadcast((pieces, logs, first_gain, step, end, head))
     tagged = rows.withColumn("tag", F.monotonically_increasing_id())
-    schema = "tag long, n_tokens long, head double, head_known long, score double, tail array<struct<word:binary,times:long,mark:double>>"
+    schema = "tag long, n_tokens long, head double, head_known long, spelt double, gains array<double>, tail array<struct<word:binary,times:long,mark:double>>"
     scored = cut(_with(tagged, ("doc_id", "held_out"), _scored(shared), schema))
     tail = scored.select("tag", F.explode("tail").alias("t")).select("tag", "t.word", "t.times", "t.mark")
     joined = tail.join(counts, "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
-    base = F.log10((F.col("c") + SMOOTH) / F.lit(scale))
-    novel = F.lit(float(np.log10(spelt))) + F.col("mark") / F.lit(float(np.log(10.0)))
-    score = F.when(F.col("c") > 0, F.log10((F.col("c") - discount) / F.lit(float(max(tokens, 1))) + spelt * F.exp("mark"))).otherwise(novel)
-    sums = joined.groupBy("tag").agg(F.sum(F.col("times") * base).alias("rest"), F.sum(F.col("times") * score).alias("rest_score"), F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("rest_known"))
-    out = scored.drop("tail").join(sums, "tag", "left")
+    sums = joined.groupBy("tag").agg(
+        F.sum(F.col("times") * F.log10((F.col("c") + SMOOTH) / F.lit(float(scale)))).alias("rest"),
+        F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("rest_known"),
+        *[F.sum(F.col("times") * _gain(model, int(j))).alias(f"rest_{j}") for j in used],
+    )
     none = F.lit(0.0)
-    return out.select("doc_id", "held_out", "n_tokens", (F.col("head_known") + F.coalesce("rest_known", F.lit(0)) + (1 if n_docs else 0)).cast("long").alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"), (F.col("head") + F.coalesce("rest", none) + F.lit(log10(n_docs))).alias("base_score"), (F.col("score") + F.coalesce("rest_score", none)).alias("score"))
+    out = scored.drop("tail").join(sums, "tag", "left")
+    parts = F.array(*[F.element_at("gains", int(j) + 1) + F.coalesce(f"rest_{j}", none) for j in used])
+    out = out.withColumn("parts", parts).withColumn("most", F.array_max("parts"))
+    score = F.col("spelt") + F.col("most") + F.log(F.aggregate("parts", none, lambda a, x: a + F.exp(x - F.col("most"))))
+    ten = F.lit(float(np.log(10.0)))
+    end_base = float(np.log10((n_docs + SMOOTH) / scale))
+    return out.select("doc_id", "held_out", "n_tokens", (F.col("head_known") + F.coalesce("rest_known", F.lit(0)) + (1 if n_docs else 0)).cast("long").alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"), (F.col("head") + F.coalesce("rest", none) + F.lit(end_base)).alias("base_score"), (score / ten).alias("score"), (F.col("spelt") / ten).alias("lattice_score"))
+
+
+def _gain(model: Classes, j: int) -> Column:
+    """``Classes.gain`` of a joined word in class j, 0 where it has no count there."""
+    c = F.get(F.filter("by", lambda x: x["k"] == j), F.lit(0))["c"]
+    over = F.log((c - F.lit(float(model.discount[j]))) / F.lit(float(model.tokens[j] * model.spelt[j]))) - F.col("mark")
+    return F.when(c.isNull(), 0.0).when(over > 30, over).otherwise(F.log1p(F.exp(F.least(over, F.lit(30.0)))))
 
 
-def _head(counts: DataFrame, most: int, model: Lattice) -> list[tuple[bytes, int, float]]:
-    """Words with counts and lattice scores, from the least count that ``most`` words or fewer reach."""
+def _head(counts: DataFrame, most: int, lattice: Lattice, model: Classes, scale: float) -> Head:
+    """The words from the least count that ``most`` words or fewer reach."""
     short = counts.where(F.length("word") <= HEAD_BYTES)
     steps = sorted({round(2 ** (k / 4)) for k in range(200)})
     reached = short.agg(*[F.count_if(F.col("c") >= t).alias(f"t{k}") for k, t in enumerate(steps)]).first()
     least = next(t for k, t in enumerate(steps) if reached[k] <= most)
-    table = short.where(F.col("c") >= least).toArrow()
-    words, times = table.column("word").to_pylist(), table.column("c").to_pylist()
-    return [x for k in range(0, len(words), 20_000) for x in zip(words[k : k + 20_000], times[k : k + 20_000], model.run(words[k : k + 20_000])[0].tolist(), strict=True)]
+    table = short.where(F.col("c") >= least).toArrow().combine_chunks()
+    words, times = table.column("word").to_pylist(), table.column("c").to_numpy()
+    marks = np.concatenate([np.zeros(0), *(lattice.run(words[k : k + 20_000])[0] for k in range(0, len(words), 20_000))])
+    by = table.column("by")
+    many = np.array([x for chunk in by.chunks for x in chunk.value_lengths().to_pylist()], np.int64)
+    entries = [chunk.flatten() for chunk in by.chunks]
+    kind, own = (np.concatenate([np.zeros(0, np.int64), *(e.field(f).to_numpy() for e in entries)]).astype(np.int64) for f in ("k", "c"))
+    gain = model.gain(kind, own, np.repeat(marks, many))
+    start = np.concatenate([np.zeros(1, np.int64), np.cumsum(many)])
+    return Head({w: k for k, w in enumerate(words)}, np.log10((times + SMOOTH) / scale), marks, start, kind, gain)
 
 
 def _with(rows: DataFrame, carried: tuple[str, ...], run, schema: str) -> DataFrame:
@@ -324,4 +437,4 @@ def op2_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return lm_scores(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    return lm_scores(docs, public_tokenizers.path("piece_bpe_32k.model"), class_col="lang" if "lang" in docs.columns else None)

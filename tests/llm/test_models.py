@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from fourfold.llm import cotrain, lattice_lm, licence, linear, toxicity
+from fourfold.llm.common import cut
 
 SF = "/root/testdata/sf0.001"
 
@@ -78,6 +79,56 @@ def test_scores_follow_the_contract(spark, path):
         assert again[r.doc_id] == pytest.approx(r.score)
 
 
+def test_scores_mix_classes(spark, path):
+    """The score equals the plain sum over classes, for any split of head and joined words; clashing columns, rare and null classes included."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").selectExpr("doc_id", "text", "lang", "1 as k", "2 as word", "3 as tag", "4 as held_out").limit(300)
+    docs = cut(docs.withColumn("lang", F.expr("case when doc_id % 50 = 0 then null when doc_id % 97 = 0 then 'rare' else lang end")))
+    rows = [(r.doc_id, r.text or "", r.lang) for r in docs.collect()]
+    training = [x for x in rows if zlib.crc32(str(x[0]).encode()) % 10]
+    sizes = Counter(g for _, _, g in training)
+    kind = lambda g: g if g is not None and sizes[g] >= lattice_lm.CLASS_SHARE * len(training) else None
+    by: dict = {}
+    for _, t, g in training:
+        by.setdefault(kind(g), Counter()).update([*lattice_lm.words_of(t), None])
+    counts = cut(lattice_lm.word_counts(docs.where("crc32(cast(doc_id as string)) % 10 <> 0").select("text", F.lit(0).alias("k"))))
+    pieces, logs, end = lattice_lm.train(counts, path, 1)
+    known = sorted({w for _, t, _ in rows for w in lattice_lm.words_of(t)})
+    mark = dict(zip(known, lattice_lm.Lattice(pieces, logs).run(known)[0], strict=True)) | {None: end}
+    share = {}
+    for g, c in by.items():
+        n, once, two = sum(c.values()), sum(w is not None and m == 1 for w, m in c.items()), sum(w is not None and m == 2 for w, m in c.items())
+        d = min(0.9, max(0.1, once / (once + 2 * two))) if once else 0.5
+        share[g] = (sum(kind(x) == g for _, _, x in training) / len(training), n, d, d * len(c) / n)
+
+    def plain(text: str) -> float:
+        tokens = [*lattice_lm.words_of(text), None]
+        each = [math.log(p) + sum(math.log(max(by[g][w] - d, 0) / n + free * math.exp(mark[w])) for w in tokens) for g, (p, n, d, free) in share.items()]
+        return float(np.logaddexp.reduce(each)) / math.log(10)
+
+    for head in (10_000_000, 30):
+        got = {r.doc_id: r.score for r in lattice_lm.lm_scores(docs, path, class_col="lang", rounds=1, head_words=head).collect()}
+        assert len(got) == len(rows)
+        for k, t, _ in rows:
+            assert got[k] == pytest.approx(plain(t))
+
+
+def test_known_languages_beat_the_base_on_held_out_texts(spark, path):
+    scores = lattice_lm.lm_scores(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), path, class_col="lang")
+    held, base = scores.where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
+    assert held > base
+
+
+def test_long_words_go_by_the_block(monkeypatch):
+    pieces = sorted({b" a", b"ab", b"abb", b"bbab", *(bytes([k]) for k in range(256))})
+    logs = np.log(np.random.default_rng(4).dirichlet(np.ones(len(pieces))))
+    model = lattice_lm.Lattice(pieces, logs)
+    word = bytes(np.random.default_rng(5).choice(list(b"ab"), 5000))
+    whole = model.run([word], np.ones(1))
+    monkeypatch.setattr(lattice_lm, "BLOCK", 7)
+    parts = model.run([word], np.ones(1))
+    assert parts[0] == pytest.approx(whole[0]) and parts[1] == pytest.approx(whole[1])
+
+
 def test_scores_are_probabilities(spark, path):
     """Over a small closed set of texts the mass stays under one; unseen training gives finite scores."""
     docs = spark.createDataFrame([(k, "a b") for k in range(30)] + [(999, "b a")], "doc_id long, text string")
