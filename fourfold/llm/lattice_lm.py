@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain, repeat
 from typing import NamedTuple
 
 import numpy as np
@@ -29,6 +30,8 @@ HELD_WORDS = 200_000
 #: Longer words go through the recursion by themselves, this many positions at a time.
 LONG_WORD = 96
 BLOCK = 8192
+#: Places that hashes of piece length are sieved by before they are looked up.
+SIEVE_BITS = 18
 
 _words = re.compile(rb"[^\x20\x09-\x0D]+").findall
 
@@ -55,6 +58,16 @@ def read_pieces(path: str) -> list[tuple[bytes, float]]:
     return sorted(found.items())
 
 
+def _log_sum(terms: list[np.ndarray]) -> np.ndarray:
+    """Log of the sum of exponentials by place; one of the terms is finite, as all bytes are pieces."""
+    if len(terms) == 1:
+        return terms[0]
+    every = np.stack(terms)
+    most = every.max(axis=0)
+    every -= most
+    return most + np.log(np.exp(every, out=every).sum(axis=0))
+
+
 class Lattice:
     """Pieces with log probabilities; scores and expected piece counts of words."""
 
@@ -63,38 +76,47 @@ class Lattice:
         by_length: dict[int, list[int]] = {}
         for k, p in enumerate(pieces):
             by_length.setdefault(len(p), []).append(k)
-        self.tables = []  # (length, sorted hashes, piece of each)
+        self.tables = []  # (length, sorted hashes, piece of each, which hash prefixes occur)
         for n, own in sorted(by_length.items()):
             flat = np.frombuffer(b"".join(pieces[k] for k in own), np.uint8)
             sums, down = kernels.prefix_hash(flat)
             at = np.arange(len(own)) * n
             h = (sums[at + n] - sums[at]) * down[at]
             order = np.argsort(h)
-            self.tables.append((n, h[order], np.array(own)[order]))
+            seen = np.zeros(1 << SIEVE_BITS, bool)
+            seen[self._prefix(h)] = True
+            self.tables.append((n, h[order], np.array(own)[order], seen))
+
+    @staticmethod
+    def _prefix(h: np.ndarray) -> np.ndarray:
+        return (h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SIEVE_BITS)
 
     def _edges(self, rows: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray]]:
         """For a matrix of equally long words: (length, piece or -1 by start, log probability by start)."""
         k, size = rows.shape
         sums, down = kernels.prefix_hash(rows.reshape(-1))
         out = []
-        for n, table, own in self.tables:
+        for n, table, own, seen in self.tables:
             if n > size:
                 break
             at = (np.arange(k) * size)[:, None] + np.arange(size - n + 1)[None, :]
-            h = (sums[at + n] - sums[at]) * down[at]
-            place = np.minimum(np.searchsorted(table, h), len(table) - 1)
-            hit = table[place] == h
+            h = ((sums[at + n] - sums[at]) * down[at]).reshape(-1)
+            may = np.flatnonzero(seen[self._prefix(h)])
+            place = np.minimum(np.searchsorted(table, h[may]), len(table) - 1)
+            hit = table[place] == h[may]
             if hit.any():
-                piece = np.where(hit, own[place], -1)
-                out.append((n, piece, np.where(hit, self.logs[piece], -np.inf)))
+                piece, logs = np.full(at.shape, -1), np.full(at.shape, -np.inf)
+                found = own[place[hit]]
+                piece.reshape(-1)[may[hit]] = found
+                logs.reshape(-1)[may[hit]] = self.logs[found]
+                out.append((n, piece, logs))
         return out
 
     def _forward(self, edges: list, k: int, size: int) -> np.ndarray:
         alpha = np.full((k, size + 1), -np.inf)
         alpha[:, 0] = 0.0
         for j in range(1, size + 1):
-            into = [alpha[:, j - n] + logs[:, j - n] for n, _, logs in edges if n <= j]
-            alpha[:, j] = np.logaddexp.reduce(np.stack(into), axis=0)
+            alpha[:, j] = _log_sum([alpha[:, j - n] + logs[:, j - n] for n, _, logs in edges if n <= j])
         return alpha
 
     def run(self, words: list[bytes], weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray | None]:
@@ -126,12 +148,11 @@ class Lattice:
         beta = np.full((k, size + 1), -np.inf)
         beta[:, size] = 0.0
         for i in range(size - 1, -1, -1):
-            out = [logs[:, i] + beta[:, i + n] for n, _, logs in edges if i + n <= size]
-            beta[:, i] = np.logaddexp.reduce(np.stack(out), axis=0)
+            beta[:, i] = _log_sum([logs[:, i] + beta[:, i + n] for n, _, logs in edges if i + n <= size])
         for n, piece, logs in edges:
-            share = np.exp(alpha[:, : size - n + 1] + logs + beta[:, n:] - alpha[:, -1:]) * weights[:, None]
-            hit = piece >= 0
-            uses += np.bincount(piece[hit], weights=share[hit], minlength=len(uses))
+            row, at = np.nonzero(piece >= 0)
+            share = np.exp(alpha[row, at] + logs[row, at] + beta[row, at + n] - alpha[row, -1]) * weights[row]
+            uses += np.bincount(piece[row, at], weights=share, minlength=len(uses))
 
     def _starts(self, word: bytes, first: int) -> list[list[tuple[int, int, float]]]:
         """Of each position in the block from ``first``: (length, piece, log probability) of the pieces there."""
@@ -292,32 +313,31 @@ def _scored(shared):
             for first in range(0, whole.num_rows, 500):
                 batch = whole.slice(first, 500)
                 docs = [Counter(words_of(t)) for t in batch.column("text").to_pylist()]
-                rest = list(dict.fromkeys(w for d in docs for w in d if w not in head.place))
+                names_in = [w for d in docs for w in d]
+                many = np.fromiter(map(len, docs), np.int64, len(docs))
+                every = np.repeat(np.arange(len(docs)), many)
+                count = np.fromiter(chain.from_iterable(d.values() for d in docs), np.int64, len(names_in))
+                place = np.fromiter(map(get, names_in, repeat(-1)), np.int64, len(names_in))
+                far = np.flatnonzero(place < 0)
+                tail = [names_in[i] for i in far.tolist()]
+                rest = list(dict.fromkeys(tail))
                 scores = dict(zip(rest, model.run(rest)[0].tolist(), strict=True))
-                row, at, times, n, far, tail = [], [], [], [], [], []
-                for r, d in enumerate(docs):
-                    n.append(sum(d.values()) + 1)
-                    own = []
-                    for w, c in d.items():
-                        place = get(w)
-                        if place is None:
-                            own.append({"word": w, "times": c, "mark": scores[w]})
-                        else:
-                            row.append(r)
-                            at.append(place)
-                            times.append(c)
-                    far.append(sum(t["times"] * t["mark"] for t in own))
-                    tail.append(own)
+                marks = np.fromiter(map(scores.__getitem__, tail), np.float64, len(tail))
+                near = np.flatnonzero(place >= 0)
+                row, at, times = every[near], place[near], count[near].astype(np.float64)
                 size = len(docs)
-                row, at, times = np.array(row, np.int64), np.array(at, np.int64), np.array(times, np.float64)
-                base, known, near = (_sums(row, x, size) for x in (times * head.base[at], times, times * head.mark[at]))
+                n = _sums(every, count.astype(np.float64), size).astype(np.int64) + 1
+                base, known, spelt = (_sums(row, x, size) for x in (times * head.base[at], times, times * head.mark[at]))
+                spelt += _sums(every[far], count[far] * marks, size) + end
                 many = head.start[at + 1] - head.start[at]
                 entry = np.arange(many.sum()) + np.repeat(head.start[at] - np.cumsum(many) + many, many)
                 gains = _sums(np.repeat(row, many) * kinds + head.kind[entry], np.repeat(times, many) * head.gain[entry], size * kinds).reshape(size, kinds)
-                gains += first_gain + np.array(n)[:, None] * step
+                gains += first_gain + n[:, None] * step
                 gains = pa.FixedSizeListArray.from_arrays(pa.array(gains.reshape(-1)), kinds).cast(pa.list_(pa.float64()))
-                kind = pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int64()), ("mark", pa.float64())]))
-                yield pa.RecordBatch.from_arrays([batch.column("tag"), pa.array(n, pa.int64()), pa.array(base), pa.array(known.astype(np.int64)), pa.array(near + np.array(far) + end), gains, pa.array(tail, kind)], names)
+                fields = {"word": pa.array(tail, pa.binary()), "times": pa.array(count[far]), "mark": pa.array(marks)}
+                ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(np.bincount(every[far], minlength=size))])
+                joined = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(list(fields.values()), list(fields)))
+                yield pa.RecordBatch.from_arrays([batch.column("tag"), pa.array(n), pa.array(base), pa.array(known.astype(np.int64)), pa.array(spelt), gains, joined], names)
 
     return run
 
