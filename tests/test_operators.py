@@ -211,6 +211,35 @@ def test_persistence_of_a_circle():
     assert topology.matching_distance(a, b) == pytest.approx(0.25) and topology.matching_distance(a, b, 1) == pytest.approx(0.45) and topology.matching_distance(a, a, 2) == 0
 
 
+def test_nearest_in_blocks(spark):
+    rng = np.random.default_rng(5)
+    data = np.round(rng.random((90, 2)), 1)  # ties
+    data[60:] = data[60]
+    points = spark.createDataFrame([(k, [float(x) for x in p]) for k, p in enumerate(data)], "id long, p array<double>")
+    d = np.sqrt(((data[:, None] - data[None]) ** 2).sum(axis=2))
+    np.fill_diagonal(d, np.inf)
+    got = topology.nearest(points, points.where("id % 7 = 0"), 5, query_block=4, block=20).orderBy("query", "rank").collect()
+    want = [(q, int(x)) for q in range(0, 90, 7) for x in np.argsort(d[q], kind="stable")[:5]]
+    assert [(r.query, r.id) for r in got] == want
+    assert topology.nearest(points.where("id < 3"), points.where("id = 0"), 5).count() == 2
+
+
+def test_local_curvature_asks_for_a_hundredth(spark):
+    from fourfold import catalog
+
+    sf = "/root/testdata/sf0.001"
+    points = {r.vec_id: np.array(r.embedding, float) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()}
+    ids = np.array(sorted(points))
+    data = np.stack([points[k] for k in ids])
+    got = {r.query: r.curvature for r in catalog.QUERIES["local_curvature"](spark, sf).collect()}
+    assert sorted(got) == [k for k in ids if k % 100 == 0]
+    for q, found in got.items():
+        d = np.sqrt(((data - points[q]) ** 2).sum(axis=1))
+        d[ids == q] = np.inf
+        values = np.linalg.eigvalsh(np.cov(data[np.argsort(d, kind="stable")[:80]].T))
+        assert found == pytest.approx(max(values[0], 0) / values[-1], abs=1e-9)
+
+
 def test_transition_paths(spark):
     found = topology.paths(spark, topology.transition_edges(spark))
     safest = topology.best_path(found, "risk").where("source = 0 and target = 3").first()
