@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+import time
 
 import numpy as np
 import pytest
@@ -240,6 +241,27 @@ def test_local_curvature_asks_for_a_hundredth(spark):
         assert found == pytest.approx(max(values[0], 0) / values[-1], abs=1e-9)
 
 
+def test_loops_of_edges_equal_the_whole_reduction():
+    rng = np.random.default_rng(1)
+    for n, dims, limit in ((0, 2, 1.0), (1, 2, 9.0), (12, 2, math.inf), (25, 3, math.inf), (30, 2, 0.5), (40, 2, 0.4), (30, 8, 1.1)):
+        data = rng.random((n, dims))
+        if dims == 3:
+            data = np.round(data, 1)  # ties
+        if n == 40:
+            data[5:9] = data[4]
+        whole = [x for x in topology.rips(data, limit, 2) if x[0] < 2]
+        assert topology.rips(data, limit) == whole and topology.rips(data, limit, 0) == [x for x in whole if x[0] == 0]
+
+
+def test_loops_of_a_dense_group():
+    """2.6 million triangles, which nearly all die with their longest edge."""
+    data = np.random.default_rng(3).random((250, 6))
+    start = time.monotonic()
+    found = topology.rips(data, math.inf)
+    assert sum(dim == 0 for dim, _, _ in found) == 250 and all(b < e < math.inf for dim, b, e in found if dim == 1)
+    assert time.monotonic() - start < 20
+
+
 def test_transition_paths(spark):
     found = topology.paths(spark, topology.transition_edges(spark))
     safest = topology.best_path(found, "risk").where("source = 0 and target = 3").first()
