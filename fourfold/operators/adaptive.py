@@ -6,16 +6,19 @@ each key's ordered rows, streaming ones keep them as state (see ``streaming``).
 
 from __future__ import annotations
 
+import math
 from collections import deque
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from fourfold.operators.quantiles import quantiles
-from fourfold.operators.series import scan
+from fourfold.operators.series import numbered, scan
+from fourfold.sources.tables import written
 
 
 class MomentTracker:
@@ -50,26 +53,53 @@ def code(x: float, ti: float, tq: float) -> int:
 
 
 def density(data: np.ndarray, points: int = 1000, factor: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
-    """Gaussian kernel density over the data's range; the width is ``factor`` deviations (ddof 1)."""
+    """Gaussian kernel density over the data's range; the width is ``factor`` deviations (ddof 1).
+
+    More than 200 values fall to their nearest grid points, where powers of what
+    they are off by are summed; the kernel's Taylor series over these, up to the
+    rounding of doubles, is the density.
+    """
     grid = np.linspace(data.min(), data.max(), points)
     width = factor * data.std(ddof=1)
     if not width > 0:
         return grid, np.zeros(points)
+    step = (grid[-1] - grid[0]) / (points - 1) / width
+    if len(data) > 200 and 0 < step <= 1:
+        return grid, _series(data, grid[0], width, step, points) / (len(data) * width * np.sqrt(2 * np.pi))
     total = np.zeros(points)
     for part in np.array_split(data, max(1, len(data) // 2000)):
         total += np.exp(-0.5 * ((grid[:, None] - part[None, :]) / width) ** 2).sum(axis=1)
     return grid, total / (len(data) * width * np.sqrt(2 * np.pi))
 
 
+def _series(data: np.ndarray, low: float, width: float, step: float, points: int) -> np.ndarray:
+    at = (data - low) / width
+    place = np.clip(np.rint(at / step), 0, points - 1).astype(np.int64)
+    off = at - place * step
+    reach = min(points - 1, int(np.ceil(9 / step)))
+    t = np.arange(-reach, reach + 1) * step
+    total = np.zeros(points)
+    part, kernel = np.exp(-0.5 * off**2), np.exp(-0.5 * t**2)
+    k, most = 0, 1.0
+    while most > 1e-17:  # the largest that the next term can be
+        total += np.convolve(np.bincount(place, weights=part, minlength=points), kernel)[reach : reach + points]
+        k += 1
+        part *= off / k
+        kernel = kernel * t
+        most = np.exp(k * np.log(step / 2) + 0.5 * k * (np.log(k) - 1) - sum(np.log(np.arange(1, k + 1))))
+    return np.maximum(total, 0.0)
+
+
 def peaks(y: np.ndarray, prominence: float, apart: int) -> list[int]:
     """Local maxima, the higher first, ``apart`` positions from each other, that stand out by ``prominence``."""
     tops, k = [], 1
-    while k < len(y) - 1:
-        if y[k] > y[k - 1]:
+    v = y.tolist()
+    while k < len(v) - 1:
+        if v[k] > v[k - 1]:
             end = k
-            while end < len(y) - 1 and y[end + 1] == y[k]:
+            while end < len(v) - 1 and v[end + 1] == v[k]:
                 end += 1
-            if end < len(y) - 1 and y[end + 1] < y[k]:
+            if end < len(v) - 1 and v[end + 1] < v[k]:
                 tops.append((k + end) // 2)
             k = end
         k += 1
@@ -97,7 +127,8 @@ def shape(data: np.ndarray) -> dict:
     ordered = np.sort(data)
     steps = np.diff(ordered)
     typical = np.median(steps)
-    gaps = [(float(ordered[k]), float(ordered[k + 1])) for k in np.flatnonzero(steps > 3 * typical)] if typical > 0 else []
+    wide = np.flatnonzero(steps > 3 * typical) if typical > 0 else np.zeros(0, int)
+    gaps = list(zip(ordered[wide].tolist(), ordered[wide + 1].tolist(), strict=True))
     grid, y = density(data)
     tops = peaks(y, 0.05 * y.max(), len(grid) // 20) if y.max() > 0 else []
     high = y > 0.1 * y.max() if y.max() > 0 else np.ones(1, bool)
@@ -105,16 +136,16 @@ def shape(data: np.ndarray) -> dict:
     k = min(10, len(data) // 10)
     variance = 0.0
     if k >= 2:
+        # the k nearest of a sorted value, itself among them, lie side by side
         n = len(ordered)
-        near = np.full((n, 2 * k - 1), np.inf)
-        for shift in range(-k + 1, k):
-            rows = np.arange(max(0, -shift), min(n, n - shift))
-            near[rows, shift + k - 1] = np.abs(ordered[rows + shift] - ordered[rows])
-        far = np.sort(near, axis=1)[:, k - 1]
+        far = np.full(n, np.inf)
+        for left in range(k):
+            own = slice(left, n - (k - 1 - left))
+            far[own] = np.fmin(far[own], np.maximum(ordered[own] - ordered[: n - k + 1], ordered[k - 1 :] - ordered[own]))
         with np.errstate(divide="ignore"):
             d = np.where(far > 0, k / (2 * np.where(far > 0, far, 1.0)), 0.0)
         variance = float(d.var())
-    return {"modality": max(1, len(tops)), "maxima": [float(grid[t]) for t in tops], "skew": float((z**3).mean()), "kurt": float((z**4).mean() - 3) if std > 0 else 0.0, "gaps": gaps, "density_variance": variance, "components": max(1, components)}
+    return {"modality": max(1, len(tops)), "maxima": [float(grid[t]) for t in tops], "skew": float((z * z * z).mean()), "kurt": float((z * z * z * z).mean() - 3) if std > 0 else 0.0, "gaps": gaps, "density_variance": variance, "components": max(1, components)}
 
 
 def shape_thresholds(data: np.ndarray, found: dict) -> tuple[str, float, float]:
@@ -151,11 +182,14 @@ class ShapeTracker:
         if self.n % self.every == 0 and len(self.values) >= self.least:
             data = np.array(self.values)
             self.before, self.found = self.found, shape(data)
-            self.strategy, ti, tq = shape_thresholds(data, self.found)
-            self.ti += self.alpha * (ti - self.ti)
-            self.tq += self.alpha * (tq - self.tq)
+            self.strategy, *targets = shape_thresholds(data, self.found)
+            self.follow(*targets)
         return self
 
+    def follow(self, ti: float, tq: float) -> None:
+        self.ti += self.alpha * (ti - self.ti)
+        self.tq += self.alpha * (tq - self.tq)
+
     def changed(self, sensitivity: float = 0.5) -> bool:
         if not self.before or not self.found:
             return False
@@ -179,25 +213,36 @@ class ScaleTracker:
         for t in self.scales.values():
             t.step(x)
         if self.n % self.every == 0:
-            fm, fs, ms = (self.divergence(*p) for p in (("fast", "medium"), ("fast", "slow"), ("medium", "slow")))
-            new = classify(fm, fs, ms)
-            self.changes += new != self.regime
-            self.regime, self.confidence = new, min((fm + fs) / 6, 1.0)
+            self.judge(*(_deviation(np.array(self.scales[name].values)) for name in ("medium", "slow")))
         return self
 
-    def divergence(self, a: str, b: str) -> float:
+    def judge(self, medium: float, slow: float) -> None:
+        """The regime at the deviations of the medium and the slow window."""
+        fm, fs, ms = self.divergence("fast", "medium", medium), self.divergence("fast", "slow", slow), self.divergence("medium", "slow", slow)
+        new = classify(fm, fs, ms)
+        self.changes += new != self.regime
+        self.regime, self.confidence = new, min((fm + fs) / 6, 1.0)
+
+    def divergence(self, a: str, b: str, size: float) -> float:
         """Distance of the two thresholds in deviations of the second scale's window; 0 without any scale."""
         first, second = self.scales[a], self.scales[b]
-        size = float(np.std(second.values)) if len(second.values) > 1 else 0.0
         size = size or second.tq - second.ti
         return float(np.hypot(first.ti - second.ti, first.tq - second.tq) / abs(size)) if size else 0.0
 
-    def encode(self, x: float) -> int:
+    def own(self) -> ShapeTracker:
+        """The scale that the regime goes by."""
         calm = {"stable": "slow", "mean_reverting": "slow", "volatile": "fast"}
-        own = self.scales[calm.get(self.regime, "medium")]
+        return self.scales[calm.get(self.regime, "medium")]
+
+    def encode(self, x: float) -> int:
+        own = self.own()
         return code(x, own.ti, own.tq)
 
 
+def _deviation(data: np.ndarray) -> float:
+    return float(np.std(data)) if len(data) > 1 else 0.0
+
+
 def classify(fm: float, fs: float, ms: float, low: float = 0.5, high: float = 2.0) -> str:
     """The regime of the divergences fast-medium, fast-slow and medium-slow; the first rule that holds."""
     table = (
@@ -230,11 +275,67 @@ def track_shape(df: DataFrame, c: str, by: Sequence[str], order: Sequence[str],
 
 
 def track_scales(df: DataFrame, c: str, by: Sequence[str], order: Sequence[str], every: int = 50) -> DataFrame:
-    def step(state: dict, row: dict) -> dict:
-        t = state.setdefault("t", ScaleTracker(every)).step(row[c])
-        return {"regime": t.regime, "confidence": t.confidence, "changes": t.changes, "s": t.encode(row[c])}
+    """What a ``ScaleTracker`` says after each row.
+
+    A window's shape and deviation depend on its values alone: they are taken in
+    tasks over chunks of a key's rows, with the rows before that the slowest
+    window needs. One pass over these few numbers a key then follows the
+    thresholds and regimes, which hold until the next ones.
+    """
+    # joins are by names of our own, as keys may be null
+    rows = numbered(df.select(*by, *order, F.col(c).cast("double").alias(c)), by, order, "__n")
+    key, longest = F.struct(F.lit(0), *by), max(window for window, _ in ScaleTracker.SCALES.values())
+    size, trackers = 2 * longest, ScaleTracker(every).scales
+    beat = next(iter(trackers.values())).every
+    chunk = F.expr(f"int((__n - 1) div {size})")
+    needed = F.when((F.col("__n") - 1) % size >= size - longest, F.array(chunk, chunk + 1)).otherwise(F.array(chunk))
+    parts = rows.select(*by, "__n", F.col(c).alias("__v"), F.explode(needed).alias("__chunk"))
+    names = [f"__{x}_{name}" for name in trackers for x in ("ti", "tq")]
+    stats = [*names, "__medium", "__slow"]
+    schema = ", ".join([*(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in by), "__n long", *(f"{x} double" for x in stats)])
+
+    def taken(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("__n")
+        first, last, values = int(pdf["__n"].iloc[0]), int(pdf["__n"].iloc[-1]), pdf["__v"].to_numpy(float)
+        found = []
+        for n in range(max(first, int(pdf["__chunk"].iloc[0]) * size + 1), last + 1):
+            if n % beat and n % every:
+                continue
+            window = {name: values[max(0, n - first + 1 - t.values.maxlen) : n - first + 1] for name, t in trackers.items()}
+            targets = [math.nan] * len(names)
+            if n % beat == 0:
+                targets = [x for name, t in trackers.items() for x in (shape_thresholds(window[name], shape(window[name]))[1:] if len(window[name]) >= t.least else (math.nan, math.nan))]
+            found.append((n, *targets, _deviation(window["medium"]), _deviation(window["slow"])))
+        out = pd.DataFrame(found, columns=["__n", *stats])
+        for place, k in enumerate(by):
+            out.insert(place, k, pd.Series([pdf[k].iloc[0]] * len(out), dtype=object))
+        return out
 
-    return scan(df, by, order, step, dict, {"regime": "string", "confidence": "double", "changes": "int", "s": "tinyint"}, [c])
+    def step(state: dict, row: dict) -> dict:
+        tracker = state.setdefault("t", ScaleTracker(every))
+        n = row["__n"]
+        if n % beat == 0:
+            for name, t in tracker.scales.items():
+                if min(n, t.values.maxlen) >= t.least:
+                    t.follow(row[f"__ti_{name}"], row[f"__tq_{name}"])
+        if n % every == 0:
+            tracker.judge(row["__medium"], row["__slow"])
+        own = tracker.own()
+        return {"regime": tracker.regime, "confidence": tracker.confidence, "changes": tracker.changes, "__ti": own.ti, "__tq": own.tq}
+
+    # long work on few bytes: a number of partitions that adaptive execution doesn't lower
+    dealt = parts.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by, "__chunk")
+    seen = written(dealt.groupBy(*by, "__chunk").applyInPandas(taken, schema))
+    states = scan(seen, by, ["__n"], step, dict, {"regime": "string", "confidence": "double", "changes": "int", "__ti": "double", "__tq": "double"}, ["__n", *stats])
+    states = states.select(key.alias("__key"), F.col("__n").alias("__held"), "regime", "confidence", "changes", "__ti", "__tq")
+    held = F.greatest(F.col("__n") - F.col("__n") % every, F.col("__n") - F.col("__n") % beat)
+    both = rows.withColumn("__key", key).withColumn("__held", held).alias("r").join(states.alias("t"), F.col("r.__key").eqNullSafe(F.col("t.__key")) & (F.col("r.__held") == F.col("t.__held")), "left")
+    since = lambda k, v: F.when(F.col("t.__held").isNull(), F.lit(v)).otherwise(F.col(f"t.{k}"))
+    ti, tq, x = since("__ti", 0.0), since("__tq", 0.0), F.col(f"r.{c}")
+    over = lambda t: F.coalesce((x > t) & ~F.isnan(x), F.lit(False)).cast("tinyint")
+    start = ScaleTracker(every)
+    told = [since(k, v).alias(k) for k, v in (("regime", start.regime), ("confidence", start.confidence), ("changes", start.changes))]
+    return both.select(*[F.col(f"r.{k}").alias(k) for k in dict.fromkeys([*by, *order, c])], *told, (over(ti) * 2 + over(tq)).cast("tinyint").alias("s"))
 
 
 def gaps(df: DataFrame, c: str, *by: str, times: float = 3.0) -> DataFrame:

@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
+from fourfold.sources.tables import written
+
 
 def ordered(by: Sequence[str], order: Sequence[str]) -> WindowSpec:
     return Window.partitionBy(*by).orderBy(*order)
@@ -99,6 +101,21 @@ def fold(df: DataFrame, by: Sequence[str], order: Sequence[str], row: Column, st
     return df.groupBy(*by).agg(done.alias(out))
 
 
+def numbered(df: DataFrame, by: Sequence[str], order: Sequence[str], out: str = "n") -> DataFrame:
+    """Rows with their number, from 1, in the order of their key; no task sees all rows of a key.
+
+    Rows are sorted by ranges and stored, and the ranges' counts give where each one starts.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartitionByRange(parts, *by, *order).sortWithinPartitions(*by, *order)
+    rows = written(dealt.withColumn("__at", F.monotonically_increasing_id())).withColumn("__key", F.struct(F.lit(0), *by)).withColumn("__part", F.shiftright("__at", 33))
+    own = rows.groupBy("__key", "__part").agg(F.count(F.lit(1)).alias("__many"), F.min("__at").alias("__first"))
+    before = F.sum("__many").over(Window.partitionBy("__key").orderBy("__part")) - F.col("__many")
+    starts = own.select("__key", "__part", (before - F.col("__first") + 1).alias("__shift"))
+    same = F.col("r.__key").eqNullSafe(F.col("s.__key")) & (F.col("r.__part") == F.col("s.__part"))
+    return rows.alias("r").join(starts.alias("s"), same).select(*[F.col(f"r.{c}").alias(c) for c in df.columns], (F.col("__at") + F.col("__shift")).alias(out))
+
+
 def scan(df: DataFrame, by: Sequence[str], order: Sequence[str], step: Callable[[dict, pd.Series], dict], start: Callable[[], dict], outputs: dict[str, str], inputs: Sequence[str], carry: Sequence[str] = ()) -> DataFrame:
     """The state after every row, in order; one pass over each key's rows, which are sorted by the shuffle.
 

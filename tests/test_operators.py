@@ -262,6 +262,41 @@ def test_loops_of_a_dense_group():
     assert time.monotonic() - start < 20
 
 
+def test_density_of_many_values():
+    """The series over grid points gives the sum over all values; a window of 10,000 takes milliseconds."""
+    rng = np.random.default_rng(4)
+    for data in (rng.exponential(50, 10_000), np.concatenate([rng.normal(0, 1, 300), rng.normal(9, 1, 300)]), rng.standard_t(1.5, 5000), np.round(rng.random(201), 1)):
+        grid, y = adaptive.density(data)
+        z = (grid[:, None] - data[None, :]) / (0.1 * data.std(ddof=1))
+        want = np.exp(-0.5 * z**2).mean(axis=1) / (0.1 * data.std(ddof=1) * math.sqrt(2 * math.pi))
+        assert np.abs(y - want).max() <= 1e-12 * want.max()
+    data, start = rng.exponential(50, 10_000), time.monotonic()
+    for _ in range(50):
+        adaptive.shape(data)
+    assert time.monotonic() - start < 2
+
+
+def test_scales_in_chunks_equal_the_tracker(spark):
+    rng = np.random.default_rng(6)
+    values = np.concatenate([rng.exponential(50, 12_000), rng.normal(300, 5, 11_030)])
+    rows = [("long", t, float(x)) for t, x in enumerate(values)] + [("short", t, float(t)) for t in range(130)] + [(None, t, float(t % 7)) for t in range(49)]
+    rows += [("gaps", t, None if t % 9 == 0 else float(t % 31)) for t in range(260)]
+    df = spark.createDataFrame(rows, "k string, t int, v double").repartition(7)
+    got = {(r.k, r.t): (r.regime, r.confidence, r.changes, r.s) for r in adaptive.track_scales(df, "v", ["k"], ["t"]).collect()}
+    assert len(got) == len(rows)
+    tracker, key = None, ""
+    for k, t, v in rows:
+        if k != key:
+            tracker, key = adaptive.ScaleTracker(), k
+        x = NAN if v is None else v
+        tracker.step(x)
+        assert got[k, t] == (tracker.regime, None if math.isnan(tracker.confidence) else tracker.confidence, tracker.changes, tracker.encode(x)), (k, t)
+    one = adaptive.track_scales(df.where("k = 'short'"), "v", [], ["t"])
+    assert one.columns == ["t", "v", "regime", "confidence", "changes", "s"] and one.count() == 130
+    most = series.numbered(df, ["k"], ["t"]).groupBy("k").agg(F.max("n").alias("n"), F.count_distinct("n").alias("m")).collect()
+    assert {(r.k, r.n, r.m) for r in most} == {("long", 23_030, 23_030), ("short", 130, 130), (None, 49, 49), ("gaps", 260, 260)}
+
+
 def test_transition_paths(spark):
     found = topology.paths(spark, topology.transition_edges(spark))
     safest = topology.best_path(found, "risk").where("source = 0 and target = 3").first()
