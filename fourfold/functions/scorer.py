@@ -52,9 +52,9 @@ class FeatureScorer:
     def explain_score(self, df: DataFrame, out: str = "explanation") -> DataFrame:
         """A line for the total and one for each dimension, best first; ties go by name."""
         scored = self.score_and_aggregate(df, out="__total")
-        line = lambda n, d: F.struct((-F.col(n)).alias("k"), F.lit(n).alias("n"), F.format_string(f"{n}: %.3f (weight {d.weight:g})" + (f" - {d.description}" if d.description else ""), F.col(n)).alias("t"))
+        line = lambda n, d: F.struct((-F.col(n)).alias("k"), F.lit(n).alias("n"), F.concat(F.lit(f"{n}: "), scoring.fixed(F.col(n)), F.lit(f" (weight {d.weight:g})" + (f" - {d.description}" if d.description else ""))).alias("t"))
         lines = F.transform(F.array_sort(F.array(*[line(n, d) for n, d in self.dimensions.items()])), lambda x: x["t"])
-        return scored.withColumn(out, F.array_join(F.concat(F.array(F.format_string("overall: %.3f", F.col("__total"))), lines), "\n")).drop("__total")
+        return scored.withColumn(out, F.array_join(F.concat(F.array(F.concat(F.lit("overall: "), scoring.fixed(F.col("__total")))), lines), "\n")).drop("__total")
 
     def record_score(self, df: DataFrame, path: str, outcome: str | None = None) -> None:
         """Append the scores of a table's rows, and their outcomes, to a history of Parquet files."""

@@ -10,6 +10,24 @@ def clip(x: Column) -> Column:
     return F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0))
 
 
+def fixed(x: Column, digits: int = 3) -> Column:
+    """A number with so many decimals, rounded by its exact binary value, halves to even, as C's printf does.
+
+    ``format_string`` rounds the shortest decimals that stand for a double, so
+    that 0.5225, whose double lies under it, goes up. Up to 6 decimals and 1e9;
+    other values fall back to ``format_string``.
+    """
+    size = F.abs(x.cast("double"))
+    scale = 10**digits
+    low = F.floor(size * float(scale)).cast("long")
+    # size * 2 * scale - (2 * low + 1): products of halves of the double are exact, and so is the sign of their sum
+    high = size.cast("float").cast("double")
+    over = (high * (2.0 * scale) - (low * 2 + 1).cast("double")) + (size - high) * (2.0 * scale)
+    k = low + F.when((over > 0) | ((over == 0) & (low % 2 == 1)), 1).otherwise(0)
+    shown = F.format_string(f"%s%d.%0{digits}d", F.when(x < 0, "-").otherwise(""), F.floor(k / scale).cast("long"), k % scale)
+    return F.when(size < 1e9, shown).otherwise(F.format_string(f"%.{digits}f", x))
+
+
 def confidence(n: Column, missing: Column, noise: Column) -> Column:
     return clip(F.least(n / 30.0, F.lit(1.0)) * (1 - missing) / (1 + noise))
 

@@ -297,6 +297,14 @@ def test_scales_in_chunks_equal_the_tracker(spark):
     assert {(r.k, r.n, r.m) for r in most} == {("long", 23_030, 23_030), ("short", 130, 130), (None, 49, 49), ("gaps", 260, 260)}
 
 
+def test_fixed_decimals_as_printf(spark):
+    rng = random.Random(8)
+    values = [k / 2000 for k in range(0, 4001)] + [math.nextafter(k / 2000, side) for k in range(1, 2001, 2) for side in (0, 9)] + [rng.random() for _ in range(500)] + [-0.0625, -1.4175, 123456.0005, 0.1 + 0.2, 1e-300]
+    got = spark.createDataFrame([(v,) for v in values], "v double").select("v", scoring.fixed(F.col("v")).alias("t"), scoring.fixed(F.col("v"), 1).alias("u")).collect()
+    assert [(r.t, r.u) for r in got] == [(f"{r.v:.3f}", f"{r.v:.1f}") for r in got]
+    assert spark.createDataFrame([(0.5225,)], "v double").select(scoring.fixed(F.col("v"))).first()[0] == "0.522"
+
+
 def test_transition_paths(spark):
     found = topology.paths(spark, topology.transition_edges(spark))
     safest = topology.best_path(found, "risk").where("source = 0 and target = 3").first()
