@@ -397,11 +397,14 @@ def st_drift(spark, d):
 
 
 def patients(spark, d):
-    li = table(spark, d, "lineitem")
-    m = lambda x: F.map_from_entries(F.transform(F.collect_list(x), lambda v, k: F.struct(k.cast("string"), v)))
+    """Measurements in the order of the table's rows, as their means are sums of doubles."""
+    li = table(spark, d, "lineitem").withColumn("at", F.struct("_metadata.file_name", "_metadata.row_index"))
     vital = [F.max(F.when(F.col("l_linenumber") == k + 1, F.col("l_quantity") * 2 + 40)) for k in range(len(apps.VITALS))]
     v = F.map_filter(F.map_from_arrays(F.array(*map(F.lit, apps.VITALS)), F.array(*vital)), lambda _, x: x.isNotNull())
-    return li.groupBy("l_orderkey").agg(m(F.col("l_discount") * 10).alias("symptoms"), m(F.col("l_quantity") / 50).alias("tests"), m(F.col("l_tax") * 11.7).alias("history"), F.max("l_shipdate").alias("ts"), v.alias("vitals"))
+    lines = F.array_sort(F.collect_list(F.struct("at", (F.col("l_discount") * 10).alias("a"), (F.col("l_quantity") / 50).alias("b"), (F.col("l_tax") * 11.7).alias("c"))))
+    rows = li.groupBy("l_orderkey").agg(lines.alias("lines"), F.max("l_shipdate").alias("ts"), v.alias("vitals"))
+    m = lambda x: F.map_from_entries(F.transform(F.filter("lines", lambda r: r[x].isNotNull()), lambda r, k: F.struct(k.cast("string"), r[x])))
+    return rows.select("l_orderkey", m("a").alias("symptoms"), m("b").alias("tests"), m("c").alias("history"), "ts", "vitals")
 
 
 def diagnosed(spark, d):

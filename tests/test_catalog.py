@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 from pathlib import Path
 
@@ -49,6 +50,25 @@ def test_query_equals_sql(spark, duck, name):
         assert [str(v) for v in x] == [str(v) for v in y] or all(u == pytest.approx(v, abs=1e-6) if isinstance(v, float) else str(u) == str(v) for u, v in zip(x, y, strict=True))
 
 
+def test_means_of_patients_add_in_the_order_of_rows(spark, tmp_path):
+    """Sums of doubles depend on their order; Spark reads the larger file first, the table's order is that of names."""
+    hundredths = [(8, 1, 0), (1, 1, 7), (1, 7, 1), (7, 1, 1), *itertools.permutations((2, 3, 4)), *itertools.permutations((4, 8, 9)), (6, 6, 9), (6, 9, 6)]
+    con = duckdb.connect(config={"threads": 1})
+    con.sql("set timezone = 'UTC'")
+    con.sql("create table l (l_orderkey bigint, l_linenumber int, l_quantity double, l_discount double, l_tax double, l_shipdate timestamp)")
+    lines = [(k, n, 30.0, x / 100, 0.01 * n) for k, own in enumerate(hundredths) for n, x in enumerate(own, 1)]
+    lines += [(100, 1, None, None, 0.02), (100, 2, 10.0, 0.05, None)]
+    for k, n, quantity, discount, tax in lines:
+        con.execute("insert into l values (?, ?, ?, ?, ?, timestamp '2000-01-01')", [k, n, quantity, discount, tax])
+    (tmp_path / "lineitem.parquet").mkdir()
+    con.sql(f"copy (from l where l_linenumber < 3) to '{tmp_path}/lineitem.parquet/a.parquet'")
+    con.sql(f"copy (from (from l where l_linenumber = 3) union all by name (select range + 1000 l_orderkey, 1 l_linenumber, 9.0 l_quantity, 0.05 l_discount, 0.05 l_tax, timestamp '2000-01-01' l_shipdate from range(3000))) to '{tmp_path}/lineitem.parquet/b.parquet'")
+    con.sql(f"create view lineitem as from read_parquet('{tmp_path}/lineitem.parquet/*.parquet')")
+    want = con.sql(catalog.SQL["med_encode"])
+    got = catalog.QUERIES["med_encode"](spark, str(tmp_path)).select(*want.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(want.fetchall())
+
+
 def test_entry(spark):
     queries, sql = registered.queries(), registered.oracle_sql()
     assert set(sql) <= set(queries) and set(catalog.QUERIES) <= set(queries) and set(catalog.SQL) <= set(catalog.QUERIES)
