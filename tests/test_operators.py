@@ -279,7 +279,7 @@ def test_density_of_many_values():
 def test_scales_in_chunks_equal_the_tracker(spark):
     rng = np.random.default_rng(6)
     values = np.concatenate([rng.exponential(50, 12_000), rng.normal(300, 5, 11_030)])
-    rows = [("long", t, float(x)) for t, x in enumerate(values)] + [("short", t, float(t)) for t in range(130)] + [(None, t, float(t % 7)) for t in range(49)]
+    rows = [("long", t, float(x)) for t, x in enumerate(values)] + [("short", t, float(t)) for t in range(130)] + [(None, t, float(t % 7)) for t in range(249)]
     rows += [("gaps", t, None if t % 9 == 0 else float(t % 31)) for t in range(260)]
     df = spark.createDataFrame(rows, "k string, t int, v double").repartition(7)
     got = {(r.k, r.t): (r.regime, r.confidence, r.changes, r.s) for r in adaptive.track_scales(df, "v", ["k"], ["t"]).collect()}
@@ -294,7 +294,7 @@ def test_scales_in_chunks_equal_the_tracker(spark):
     one = adaptive.track_scales(df.where("k = 'short'"), "v", [], ["t"])
     assert one.columns == ["t", "v", "regime", "confidence", "changes", "s"] and one.count() == 130
     most = series.numbered(df, ["k"], ["t"]).groupBy("k").agg(F.max("n").alias("n"), F.count_distinct("n").alias("m")).collect()
-    assert {(r.k, r.n, r.m) for r in most} == {("long", 23_030, 23_030), ("short", 130, 130), (None, 49, 49), ("gaps", 260, 260)}
+    assert {(r.k, r.n, r.m) for r in most} == {("long", 23_030, 23_030), ("short", 130, 130), (None, 249, 249), ("gaps", 260, 260)}
 
 
 def test_fixed_decimals_as_printf(spark):
