@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 from itertools import chain, repeat
@@ -10,7 +9,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fourfold.llm import kernels
@@ -30,14 +29,15 @@ HELD_WORDS = 200_000
 #: Longer words go through the recursion by themselves, this many positions at a time.
 LONG_WORD = 96
 BLOCK = 8192
-#: Places that hashes of piece length are sieved by before they are looked up.
+#: Bits, at most, of the places by which pieces and their beginnings of a length are looked up.
 SIEVE_BITS = 18
-
-_words = re.compile(rb"[^\x20\x09-\x0D]+").findall
+#: Bytes of words that go through the recursion together.
+CELLS = 50_000
 
 
 def words_of(text: str) -> list[bytes]:
-    return _words(text.encode("utf-8", "surrogatepass").lower())
+    """Of bytes, lower() and split() know A-Z and the white space 20, 09-0D alone."""
+    return text.encode("utf-8", "surrogatepass").lower().split()
 
 
 def read_pieces(path: str) -> list[tuple[bytes, float]]:
@@ -58,14 +58,11 @@ def read_pieces(path: str) -> list[tuple[bytes, float]]:
     return sorted(found.items())
 
 
-def _log_sum(terms: list[np.ndarray]) -> np.ndarray:
-    """Log of the sum of exponentials by place; one of the terms is finite, as all bytes are pieces."""
-    if len(terms) == 1:
-        return terms[0]
-    every = np.stack(terms)
-    most = every.max(axis=0)
-    every -= most
-    return most + np.log(np.exp(every, out=every).sum(axis=0))
+def _log_sum(terms: np.ndarray) -> np.ndarray:
+    """Log of the sum of exponentials by column; one of the terms is finite, as all bytes are pieces. Overwrites them."""
+    most = terms.max(axis=0)
+    terms -= most
+    return most + np.log(np.exp(terms, out=terms).sum(axis=0))
 
 
 class Lattice:
@@ -73,96 +70,137 @@ class Lattice:
 
     def __init__(self, pieces: list[bytes], logs: np.ndarray):
         self.pieces, self.logs = pieces, logs
-        by_length: dict[int, list[int]] = {}
+        starts: dict[int, dict[bytes, int]] = {}  # by length: what pieces start with, and which piece it is itself (or -1)
+        for p in pieces:
+            for n in range(1, len(p)):
+                starts.setdefault(n, {})[p[:n]] = -1
         for k, p in enumerate(pieces):
-            by_length.setdefault(len(p), []).append(k)
-        self.tables = []  # (length, sorted hashes, piece of each, which hash prefixes occur)
-        for n, own in sorted(by_length.items()):
-            flat = np.frombuffer(b"".join(pieces[k] for k in own), np.uint8)
-            sums, down = kernels.prefix_hash(flat)
-            at = np.arange(len(own)) * n
-            h = (sums[at + n] - sums[at]) * down[at]
-            order = np.argsort(h)
-            seen = np.zeros(1 << SIEVE_BITS, bool)
-            seen[self._prefix(h)] = True
-            self.tables.append((n, h[order], np.array(own)[order], seen))
+            starts.setdefault(len(p), {})[p] = k
+        self.tables = []  # (length, first entry by hash place or -1, hashes, piece of each or -1, bits of a place, most entries of one)
+        for n, own in sorted(starts.items()):
+            h = self._hashes(*kernels.prefix_hash(np.frombuffer(b"".join(own), np.uint8)), np.arange(len(own)) * n, n)
+            bits = min(SIEVE_BITS, len(own).bit_length() + 4)
+            slot = self._slot(h, bits)
+            order = np.argsort(slot, kind="stable")
+            used, at, many = np.unique(slot[order], return_index=True, return_counts=True)
+            first = np.full(1 << bits, -1, np.int32)
+            first[used] = at
+            kept = np.append(h[order], np.zeros(many.max(), np.uint64))
+            piece = np.append(np.fromiter(own.values(), np.int64, len(own))[order], np.full(many.max(), -1))
+            self.tables.append((n, first, kept, piece, bits, int(many.max())))
+
+    @staticmethod
+    def _hashes(sums: np.ndarray, down: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+        return (sums[at + n] - sums[at]) * down[at]
 
     @staticmethod
-    def _prefix(h: np.ndarray) -> np.ndarray:
-        return (h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SIEVE_BITS)
+    def _slot(h: np.ndarray, bits: int) -> np.ndarray:
+        return ((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).view(np.int64)
 
-    def _edges(self, rows: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray]]:
-        """For a matrix of equally long words: (length, piece or -1 by start, log probability by start)."""
-        k, size = rows.shape
-        sums, down = kernels.prefix_hash(rows.reshape(-1))
+    def _edges(self, flat: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray]]:
+        """(length, starts, pieces) of all pieces in a run of bytes; only where one can still go on are longer ones looked for.
+
+        Words may follow each other, each after its space: no piece has a space but at its start.
+        """
+        sums, down = kernels.prefix_hash(flat)
+        at = np.arange(len(flat))
         out = []
-        for n, table, own, seen in self.tables:
-            if n > size:
+        for n, first, table, own, bits, most in self.tables:
+            at = at[: np.searchsorted(at, len(flat) - n, "right")]
+            if not len(at):
                 break
-            at = (np.arange(k) * size)[:, None] + np.arange(size - n + 1)[None, :]
-            h = ((sums[at + n] - sums[at]) * down[at]).reshape(-1)
-            may = np.flatnonzero(seen[self._prefix(h)])
-            place = np.minimum(np.searchsorted(table, h[may]), len(table) - 1)
-            hit = table[place] == h[may]
-            if hit.any():
-                piece, logs = np.full(at.shape, -1), np.full(at.shape, -np.inf)
-                found = own[place[hit]]
-                piece.reshape(-1)[may[hit]] = found
-                logs.reshape(-1)[may[hit]] = self.logs[found]
-                out.append((n, piece, logs))
+            h = self._hashes(sums, down, at, n)
+            place = first[self._slot(h, bits)]
+            may = np.flatnonzero(place >= 0)
+            at, h, place = at[may], h[may], place[may]
+            wrong = np.flatnonzero(table[place] != h)
+            for _ in range(1, most):  # others of the same place; an entry of another place has another hash
+                place[wrong] += 1
+                wrong = wrong[table[place[wrong]] != h[wrong]]
+            if len(wrong):
+                good = np.ones(len(at), bool)
+                good[wrong] = False
+                at, place = at[good], place[good]
+            piece = own[place]
+            is_one = np.flatnonzero(piece >= 0)
+            if len(is_one):
+                out.append((n, at[is_one], piece[is_one]))
         return out
 
-    def _forward(self, edges: list, k: int, size: int) -> np.ndarray:
-        alpha = np.full((k, size + 1), -np.inf)
-        alpha[:, 0] = 0.0
-        for j in range(1, size + 1):
-            alpha[:, j] = _log_sum([alpha[:, j - n] + logs[:, j - n] for n, _, logs in edges if n <= j])
-        return alpha
-
     def run(self, words: list[bytes], weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Natural log of each word's probability over all segmentations of " " + word;
         with weights, also the expected number of uses of each piece."""
         scores = np.zeros(len(words))
         uses = np.zeros(len(self.pieces)) if weights is not None else None
         lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
+        order = np.argsort(-lengths, kind="stable")
+        ends = np.cumsum(lengths[order])
+        first = 0
         with np.errstate(invalid="ignore"):
-            for size in np.unique(lengths):
-                every = np.flatnonzero(lengths == size)
-                step = max(1, 400_000 // int(size))
-                for first in range(0, len(every), step):
-                    own = every[first : first + step]
-                    if size > LONG_WORD and len(own) < 32:
-                        for k in own:
-                            scores[k] = self._long(b" " + words[k], None if weights is None else weights[k], uses)
-                        continue
-                    rows = np.frombuffer(b"".join(b" " + words[k] for k in own), np.uint8).reshape(len(own), size)
-                    edges = self._edges(rows)
-                    alpha = self._forward(edges, len(own), int(size))
-                    scores[own] = alpha[:, -1]
-                    if uses is not None:
-                        self._count(edges, alpha, weights[own], uses)
+            while first < len(order):
+                last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + CELLS, "right")))
+                own = order[first:last]
+                most = max(LONG_WORD, int(lengths[own[31]]) if len(own) > 31 else 0)
+                alone = int(np.searchsorted(-lengths[own], -most, "left"))
+                for k in own[:alone].tolist():
+                    scores[k] = self._long(b" " + words[k], None if weights is None else weights[k], uses)
+                if alone < len(own):
+                    own = own[alone:]
+                    scores[own] = self._sorted([words[k] for k in own.tolist()], lengths[own], None if weights is None else weights[own], uses)
+                first = last
         return scores, uses
 
-    def _count(self, edges: list, alpha: np.ndarray, weights: np.ndarray, uses: np.ndarray) -> None:
-        k, size = alpha.shape[0], alpha.shape[1] - 1
-        beta = np.full((k, size + 1), -np.inf)
-        beta[:, size] = 0.0
-        for i in range(size - 1, -1, -1):
-            beta[:, i] = _log_sum([logs[:, i] + beta[:, i + n] for n, _, logs in edges if i + n <= size])
-        for n, piece, logs in edges:
-            row, at = np.nonzero(piece >= 0)
-            share = np.exp(alpha[row, at] + logs[row, at] + beta[row, at + n] - alpha[row, -1]) * weights[row]
-            uses += np.bincount(piece[row, at], weights=share, minlength=len(uses))
+    def _sorted(self, words: list[bytes], lengths: np.ndarray, weights: np.ndarray | None, uses: np.ndarray | None) -> np.ndarray:
+        """``run`` for words whose ``lengths``, with their space, don't rise.
+
+        Row j of a table of states holds position j of the first ``many[j]`` words, all that are so long.
+        """
+        flat = np.frombuffer(b" " + b" ".join(words), np.uint8)
+        size = int(lengths[0])
+        many = np.searchsorted(-lengths, -np.arange(size + 1), "right")
+        row = np.concatenate([np.zeros(1, np.int64), np.cumsum(many)])
+        word = np.repeat(np.arange(len(words)), lengths)
+        place = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        state = row[place] + word
+        edges = self._edges(flat)
+        arcs = []
+        for n, at, piece in edges:
+            logs = np.full(row[-1], -np.inf)
+            logs[state[at]] = self.logs[piece]
+            arcs.append((n, logs))
+        terms = np.empty((len(arcs), len(words)))
+        alpha = np.zeros(row[-1])
+        for j in range(1, size + 1):
+            k, own = many[j], [(n, logs) for n, logs in arcs if n <= j]
+            for term, (n, logs) in zip(terms, own, strict=False):
+                i = row[j - n]
+                np.add(alpha[i : i + k], logs[i : i + k], out=term[:k])
+            alpha[row[j] : row[j] + k] = _log_sum(terms[: len(own), :k])
+        scores = alpha[row[lengths] + np.arange(len(words))]
+        if uses is not None:
+            beta = np.zeros(row[-1])  # ends stay 0
+            for i in range(size - 1, -1, -1):
+                k, own = many[i + 1], [(n, logs) for n, logs in arcs if i + n <= size]
+                for term, (n, logs) in zip(terms, own, strict=False):
+                    m, j = many[i + n], row[i + n]
+                    np.add(logs[row[i] : row[i] + m], beta[j : j + m], out=term[:m])
+                    term[m:k] = -np.inf
+                beta[row[i] : row[i] + k] = _log_sum(terms[: len(own), :k])
+            at, piece = np.concatenate([at for _, at, _ in edges]), np.concatenate([piece for *_, piece in edges])
+            end = row[place[at] + np.repeat([n for n, *_ in edges], [len(at) for _, at, _ in edges])] + word[at]
+            share = np.exp(alpha[state[at]] + self.logs[piece] + beta[end] - scores[word[at]]) * weights[word[at]]
+            uses += np.bincount(piece, weights=share, minlength=len(uses))
+        return scores
 
     def _starts(self, word: bytes, first: int) -> list[list[tuple[int, int, float]]]:
         """Of each position in the block from ``first``: (length, piece, log probability) of the pieces there."""
         size = min(BLOCK, len(word) - first)
         longest = self.tables[-1][0]
-        rows = np.frombuffer(word[first : first + size + longest - 1], np.uint8).reshape(1, -1)
         starts: list[list[tuple[int, int, float]]] = [[] for _ in range(size)]
-        for n, piece, logs in self._edges(rows):
-            for i in np.flatnonzero(piece[0, :size] >= 0).tolist():
-                starts[i].append((n, int(piece[0, i]), float(logs[0, i])))
+        for n, at, piece in self._edges(np.frombuffer(word[first : first + size + longest - 1], np.uint8)):
+            for i, k, log in zip(at.tolist(), piece.tolist(), self.logs[piece].tolist(), strict=True):
+                if i < size:
+                    starts[i].append((n, k, log))
         return starts
 
     def _long(self, word: bytes, weight: float | None, uses: np.ndarray | None) -> float:
@@ -302,7 +340,29 @@ def _sums(at: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
     return np.bincount(at, weights=values, minlength=size).astype(np.float64)
 
 
+def _marked(shared):
+    """Of counted words: the count, the lattice score and by class the gain."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces, logs, classes = shared.value
+        model = Lattice(pieces, logs)
+        for batch in batches:
+            marks, _ = model.run(batch.column("word").to_pylist())
+            many = batch.column("by").value_lengths().to_numpy()
+            entries = batch.column("by").flatten()
+            kind = entries.field("k")
+            gain = classes.gain(kind.to_numpy(), entries.field("c").to_numpy(), np.repeat(marks, many))
+            ends = np.concatenate([np.zeros(1, np.int32), np.cumsum(many, dtype=np.int32)])
+            gains = pa.MapArray.from_arrays(pa.array(ends), kind, pa.array(gain))
+            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("c"), pa.array(marks), gains], ["word", "c", "known_mark", "known_gains"])
+
+    return run
+
+
 def _scored(shared):
+    """Sums over the frequent words of texts, and lists of all others. Only held-out texts have words that
+    aren't counted, so only their lists have lattice scores; other words get them beside their counts."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, logs, first_gain, step, end, head = shared.value
         model = Lattice(pieces, logs)
@@ -320,21 +380,22 @@ def _scored(shared):
                 place = np.fromiter(map(get, names_in, repeat(-1)), np.int64, len(names_in))
                 far = np.flatnonzero(place < 0)
                 tail = [names_in[i] for i in far.tolist()]
-                rest = list(dict.fromkeys(tail))
+                asked = batch.column("held_out").to_numpy(zero_copy_only=False)[every[far]]
+                rest = list(dict.fromkeys(names_in[i] for i in far[asked].tolist()))
                 scores = dict(zip(rest, model.run(rest)[0].tolist(), strict=True))
-                marks = np.fromiter(map(scores.__getitem__, tail), np.float64, len(tail))
+                marks = np.fromiter(map(scores.get, tail, repeat(0.0)), np.float64, len(tail))
                 near = np.flatnonzero(place >= 0)
                 row, at, times = every[near], place[near], count[near].astype(np.float64)
                 size = len(docs)
                 n = _sums(every, count.astype(np.float64), size).astype(np.int64) + 1
                 base, known, spelt = (_sums(row, x, size) for x in (times * head.base[at], times, times * head.mark[at]))
-                spelt += _sums(every[far], count[far] * marks, size) + end
+                spelt += end
                 many = head.start[at + 1] - head.start[at]
                 entry = np.arange(many.sum()) + np.repeat(head.start[at] - np.cumsum(many) + many, many)
                 gains = _sums(np.repeat(row, many) * kinds + head.kind[entry], np.repeat(times, many) * head.gain[entry], size * kinds).reshape(size, kinds)
                 gains += first_gain + n[:, None] * step
                 gains = pa.FixedSizeListArray.from_arrays(pa.array(gains.reshape(-1)), kinds).cast(pa.list_(pa.float64()))
-                fields = {"word": pa.array(tail, pa.binary()), "times": pa.array(count[far]), "mark": pa.array(marks)}
+                fields = {"word": pa.array(tail, pa.binary()), "times": pa.array(count[far]), "mark": pa.array(marks, mask=~asked)}
                 ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(np.bincount(every[far], minlength=size))])
                 joined = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(list(fields.values()), list(fields)))
                 yield pa.RecordBatch.from_arrays([batch.column("tag"), pa.array(n), pa.array(base), pa.array(known.astype(np.int64)), pa.array(spelt), gains, joined], names)
@@ -385,7 +446,7 @@ def lm_scores(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     scale = tokens + SMOOTH * (kinds + 1)
     pieces, logs, end = train(counts, path, rounds)
     model = _classes(counts, documents)
-    head = _head(counts, head_words, Lattice(pieces, logs), model, scale)
+    head, others = _head(counts, head_words, Lattice(pieces, logs), model, scale)
     used = np.flatnonzero(model.prior)
     with np.errstate(divide="ignore"):
         first_gain, step = np.log(model.prior), np.log(model.spelt)
@@ -395,14 +456,16 @@ def lm_scores(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     schema = "tag long, n_tokens long, head double, head_known long, spelt double, gains array<double>, tail array<struct<word:binary,times:long,mark:double>>"
     scored = cut(_with(tagged, ("doc_id", "held_out"), _scored(shared), schema))
     tail = scored.select("tag", F.explode("tail").alias("t")).select("tag", "t.word", "t.times", "t.mark")
-    joined = tail.join(counts, "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
+    known = others.mapInArrow(_marked(spark.sparkContext.broadcast((pieces, logs, model))), "word binary, c long, known_mark double, known_gains map<int,double>")
+    joined = tail.join(known, "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
     sums = joined.groupBy("tag").agg(
         F.sum(F.col("times") * F.log10((F.col("c") + SMOOTH) / F.lit(float(scale)))).alias("rest"),
         F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("rest_known"),
-        *[F.sum(F.col("times") * _gain(model, int(j))).alias(f"rest_{j}") for j in used],
+        F.sum(F.col("times") * F.coalesce("known_mark", "mark")).alias("rest_spelt"),
+        *[F.sum(F.col("times") * F.element_at("known_gains", F.lit(int(j)))).alias(f"rest_{j}") for j in used],
     )
     none = F.lit(0.0)
-    out = scored.drop("tail").join(sums, "tag", "left")
+    out = scored.drop("tail").join(sums, "tag", "left").withColumn("spelt", F.col("spelt") + F.coalesce("rest_spelt", none))
     parts = F.array(*[F.element_at("gains", int(j) + 1) + F.coalesce(f"rest_{j}", none) for j in used])
     out = out.withColumn("parts", parts).withColumn("most", F.array_max("parts"))
     score = F.col("spelt") + F.col("most") + F.log(F.aggregate("parts", none, lambda a, x: a + F.exp(x - F.col("most"))))
@@ -411,16 +474,10 @@ def lm_scores(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     return out.select("doc_id", "held_out", "n_tokens", (F.col("head_known") + F.coalesce("rest_known", F.lit(0)) + (1 if n_docs else 0)).cast("long").alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"), (F.col("head") + F.coalesce("rest", none) + F.lit(end_base)).alias("base_score"), (score / ten).alias("score"), (F.col("spelt") / ten).alias("lattice_score"))
 
 
-def _gain(model: Classes, j: int) -> Column:
-    """``Classes.gain`` of a joined word in class j, 0 where it has no count there."""
-    c = F.get(F.filter("by", lambda x: x["k"] == j), F.lit(0))["c"]
-    over = F.log((c - F.lit(float(model.discount[j]))) / F.lit(float(model.tokens[j] * model.spelt[j]))) - F.col("mark")
-    return F.when(c.isNull(), 0.0).when(over > 30, over).otherwise(F.log1p(F.exp(F.least(over, F.lit(30.0)))))
-
-
-def _head(counts: DataFrame, most: int, lattice: Lattice, model: Classes, scale: float) -> Head:
-    """The words from the least count that ``most`` words or fewer reach."""
-    short = counts.where(F.length("word") <= HEAD_BYTES)
+def _head(counts: DataFrame, most: int, lattice: Lattice, model: Classes, scale: float) -> tuple[Head, DataFrame]:
+    """The words from the least count that ``most`` words or fewer reach, and the counts of all others."""
+    is_short = F.length("word") <= HEAD_BYTES
+    short = counts.where(is_short)
     steps = sorted({round(2 ** (k / 4)) for k in range(200)})
     reached = short.agg(*[F.count_if(F.col("c") >= t).alias(f"t{k}") for k, t in enumerate(steps)]).first()
     least = next(t for k, t in enumerate(steps) if reached[k] <= most)
@@ -433,7 +490,8 @@ def _head(counts: DataFrame, most: int, lattice: Lattice, model: Classes, scale:
     kind, own = (np.concatenate([np.zeros(0, np.int64), *(e.field(f).to_numpy() for e in entries)]).astype(np.int64) for f in ("k", "c"))
     gain = model.gain(kind, own, np.repeat(marks, many))
     start = np.concatenate([np.zeros(1, np.int64), np.cumsum(many)])
-    return Head({w: k for k, w in enumerate(words)}, np.log10((times + SMOOTH) / scale), marks, start, kind, gain)
+    head = Head({w: k for k, w in enumerate(words)}, np.log10((times + SMOOTH) / scale), marks, start, kind, gain)
+    return head, counts.where(~is_short | (F.col("c") < least))
 
 
 def _with(rows: DataFrame, carried: tuple[str, ...], run, schema: str) -> DataFrame:

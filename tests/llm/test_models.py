@@ -8,8 +8,10 @@ import re
 import textwrap
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -129,6 +131,51 @@ def test_long_words_go_by_the_block(monkeypatch):
     assert parts[0] == pytest.approx(whole[0]) and parts[1] == pytest.approx(whole[1])
 
 
+def test_lattice_of_words_of_many_lengths(monkeypatch):
+    """Words that go through the recursion together have the sums and uses that a plain recursion gives them one by one."""
+    rng = np.random.default_rng(6)
+    pieces = sorted({b" a", b" ab", b"ab", b"abc", b"abcab", b"bca", b"ca", b"c" * 25, *(bytes([k]) for k in range(256))})
+    logs = np.log(rng.dirichlet(np.ones(len(pieces))))
+    sizes = [*rng.integers(1, 30, 300), *rng.integers(97, 130, 50), 260, 300]
+    words = [bytes(rng.choice(list(b"aabbccx"), n)) for n in sizes] + [b"c" * 60, b"\xff\x00"]
+    weights = rng.random(len(words))
+    table = dict(zip(pieces, logs, strict=True))
+
+    def plain(word: bytes, weight: float, uses: Counter) -> float:
+        alpha, beta = np.full(len(word) + 1, -np.inf), np.full(len(word) + 1, -np.inf)
+        alpha[0] = beta[-1] = 0.0
+        arcs = [(i, i + n, word[i : i + n]) for i in range(len(word)) for n in range(1, 26) if word[i : i + n] in table and i + n <= len(word)]
+        for i, j, p in arcs:
+            alpha[j] = np.logaddexp(alpha[j], alpha[i] + table[p])
+        for i, j, p in reversed(arcs):
+            beta[i] = np.logaddexp(beta[i], beta[j] + table[p])
+        for i, j, p in arcs:
+            uses[p] += weight * math.exp(alpha[i] + table[p] + beta[j] - alpha[-1])
+        return alpha[-1]
+
+    uses: Counter = Counter()
+    wanted = [plain(b" " + w, x, uses) for w, x in zip(words, weights, strict=True)]
+    for cells in (1, 300, 50_000):
+        monkeypatch.setattr(lattice_lm, "CELLS", cells)
+        got, found = lattice_lm.Lattice(pieces, logs).run(words, weights)
+        assert got == pytest.approx(wanted)
+        assert found == pytest.approx([uses[p] for p in pieces])
+
+
+def test_the_lattice_spells_counted_words_once(monkeypatch):
+    """Texts of the training part don't ask the lattice for their rare words again: the counts have the scores."""
+    pieces = [bytes([k]) for k in range(256)]
+    head = lattice_lm.Head({b"the": 0}, np.zeros(1), np.zeros(1), np.array([0, 1]), np.zeros(1, np.int64), np.zeros(1))
+    shared = SimpleNamespace(value=(pieces, np.full(256, -6.0), np.zeros(1), np.zeros(1), -1.0, head))
+    run, asked = lattice_lm.Lattice.run, []
+    monkeypatch.setattr(lattice_lm.Lattice, "run", lambda self, words, *a: (asked.extend(words), run(self, words, *a))[1])
+    batch = pa.RecordBatch.from_pydict({"tag": [1, 2, 3], "text": ["the rare rare word", "the held word", ""], "held_out": [False, True, False]})
+    (out,) = lattice_lm._scored(shared)(iter([batch]))
+    assert sorted(asked) == [b"held", b"word"]
+    tail = [{t["word"]: (t["times"], t["mark"]) for t in own} for own in out.column("tail").to_pylist()]
+    assert tail == [{b"rare": (2, None), b"word": (1, None)}, {b"held": (1, pytest.approx(-30.0)), b"word": (1, pytest.approx(-30.0))}, {}]
+
+
 def test_scores_are_probabilities(spark, path):
     """Over a small closed set of texts the mass stays under one; unseen training gives finite scores."""
     docs = spark.createDataFrame([(k, "a b") for k in range(30)] + [(999, "b a")], "doc_id long, text string")
