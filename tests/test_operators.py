@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import random
 import time
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -262,6 +263,24 @@ def test_loops_of_a_dense_group():
     assert time.monotonic() - start < 20
 
 
+def test_loops_hold_edges_not_pairs(monkeypatch):
+    """6,000 points on a circle with a gap: 18 million pairs, 400,000 edges, and the gap's own edge among the last."""
+    angle = np.arange(6000) / 6000 * 6.2
+    data = np.stack([np.cos(angle), np.sin(angle)], axis=1)
+    gap = float(np.sqrt(((data[0] - data[-1]) ** 2).sum()))
+    tracemalloc.start()
+    try:
+        found = topology.rips(data, gap)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert [(b, e) for dim, b, e in found if dim == 1] == [(gap, math.inf)] and most < 250_000_000
+    data = np.random.default_rng(6).random((120, 8))
+    want = topology.rips(data, 1.1)
+    monkeypatch.setattr(topology, "COLUMN_BYTES", 0)
+    assert topology.rips(data, 1.1) == want and any(dim for dim, _, _ in want)
+
+
 def test_density_of_many_values():
     """The series over grid points gives the sum over all values; a window of 10,000 takes milliseconds."""
     rng = np.random.default_rng(4)
