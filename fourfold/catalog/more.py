@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from fourfold.catalog import series as _series
 from fourfold.catalog import space as _space
@@ -41,8 +42,14 @@ def rounded(df: DataFrame, *names: str) -> DataFrame:
 _USERS = "u as (select user_id, count(*) n, avg(value) m, stddev_pop(value) s, max(value) x from events group by 1), d as (select user_id, least(greatest(m / 100, 0), 1) signal_strength, least(greatest(least(n / 30.0, 1) / (1 + s / 100), 0), 1) noise_level, case when n < 3 then 0.5 else 1 / (1 + s / abs(m)) end temporal_stability, least(x / 400, 1) local_density from u)"
 
 
-def _scored(spark, d):
-    rows = table(spark, d, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("m"), F.stddev_pop("value").alias("s"), F.max("value").alias("x"))
+def _scored(spark, d, in_order: bool = False):
+    """Values by user; ``in_order`` takes means and deviations in the order of the table's rows, as they are sums of doubles."""
+    rows, m, s = table(spark, d, "events"), F.avg("value"), F.stddev_pop("value")
+    if in_order:
+        w = Window.partitionBy("user_id").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        rows = rows.select("user_id", "value", F.struct("_metadata.file_name", "_metadata.row_index").alias("at"))
+        rows, m, s = rows.select("user_id", "value", m.over(w).alias("m"), s.over(w).alias("s")), F.max("m"), F.max("s")
+    rows = rows.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), m.alias("m"), s.alias("s"), F.max("value").alias("x"))
     made = scorer.create_signal_scorer(lambda: F.col("m") / 100, lambda: scoring.confidence(F.col("n"), F.lit(0.0), F.col("s") / 100), lambda: scoring.stability(F.col("n"), F.col("m"), F.col("s")), lambda: F.col("x") / 400)
     return rows, made
 
@@ -57,7 +64,7 @@ def scorer_signal(spark, d):
 @query(f"""with {_USERS}, l as (select user_id, unnest([{{'k': signal_strength, 'n': 'signal_strength', 'w': '2'}}, {{'k': noise_level, 'n': 'noise_level', 'w': '1.5'}}, {{'k': temporal_stability, 'n': 'temporal_stability', 'w': '1.5'}}, {{'k': local_density, 'n': 'local_density', 'w': '1'}}]) x, (2 * signal_strength + 1.5 * noise_level + 1.5 * temporal_stability + local_density) / 6 t from d)
 select user_id, printf('overall: %.3f', any_value(t)) || chr(10) || string_agg(printf('%s: %.3f (weight %s)', x.n, x.k, x.w), chr(10) order by x.k desc, x.n) as explanation from l group by user_id""")
 def scorer_explain(spark, d):
-    rows, made = _scored(spark, d)
+    rows, made = _scored(spark, d, in_order=True)
     return made.explain_score(rows).select("user_id", "explanation")
 
 

@@ -69,6 +69,21 @@ def test_means_of_patients_add_in_the_order_of_rows(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == sorted(want.fetchall())
 
 
+def test_explained_scores_add_in_the_order_of_rows(spark, tmp_path):
+    """Means of three values that print as halves: (a + b) + c and a + (b + c) fall on both sides of them."""
+    con = duckdb.connect(config={"threads": 1})
+    con.sql("set timezone = 'UTC'")
+    con.sql("create table v as select u user_id, [1 + u * 37 % 2000, 1 + u * 91 % 3000] c, 30 * (200 + u % 97) + 15 total from range(400) r(u)")
+    con.sql("create table e as select user_id * 3 + k event_id, user_id, ([c[1], c[2], total - c[1] - c[2]])[k + 1] / 100.0::double as value, k from v, range(3) r(k) order by user_id, k")
+    (tmp_path / "events.parquet").mkdir()
+    con.sql(f"copy (select event_id, user_id, value from e where k = 0 order by event_id) to '{tmp_path}/events.parquet/a.parquet'")
+    con.sql(f"copy (from (select event_id, user_id, value from e where k > 0 order by event_id) union all select 10000 + range, 1000 + range, 1.0 from range(3000)) to '{tmp_path}/events.parquet/b.parquet'")
+    con.sql(f"create view events as from read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    want = con.sql(catalog.SQL["scorer_explain"])
+    got = catalog.QUERIES["scorer_explain"](spark, str(tmp_path)).select(*want.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(want.fetchall())
+
+
 def test_entry(spark):
     queries, sql = registered.queries(), registered.oracle_sql()
     assert set(sql) <= set(queries) and set(catalog.QUERIES) <= set(queries) and set(catalog.SQL) <= set(catalog.QUERIES)
